@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import decontaminate, mixing, quality_rules, simhash, tokens
-from tracklake.llm.common import table
+from tracklake.llm import decontaminate, language_id, mixing, quality_classifier, quality_rules, secret_scan, simhash, tokens
+from tracklake.llm.common import held_out, table
+
+
+def listed(spans: str) -> Column:
+    """kind:start:end of an array of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def counted(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    kinds = [counted("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *kinds, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +35,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", *[F.col(f"_tl_{c}").alias(c) for c in ("rank", "block", "slot", "release", "deadline", "mixed")])
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.predict(docs.select("doc_id", "text", "held_out"), model)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -38,6 +59,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("labelled_id")).distinct()
+    train = docs.where(~F.col("held_out"))
+    model = quality_classifier.fit(
+        train.join(trusted, F.col("doc_id") == F.col("labelled_id"), "left_semi"), train.join(trusted, F.col("doc_id") == F.col("labelled_id"), "left_anti")
+    )
+    return quality_classifier.predict(docs, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_output, op3_source_mixing, op6_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules)
+    f.__name__: f for f in (
+        op1_secret_scan, op2_token_output, op3_source_mixing, op5_language_id, op6_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules,
+        op10_quality_classifier,
+    )
 }
