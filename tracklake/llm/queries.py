@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import decontaminate, language_id, mixing, quality_classifier, quality_rules, secret_scan, simhash, tokens
+from tracklake.llm import decontaminate, language_id, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, tokens
 from tracklake.llm.common import held_out, table
 
 
@@ -35,6 +35,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", *[F.col(f"_tl_{c}").alias(c) for c in ("rank", "block", "slot", "release", "deadline", "mixed")])
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
     model = language_id.fit(docs.where(~F.col("held_out")))
@@ -71,7 +76,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_scan, op2_token_output, op3_source_mixing, op5_language_id, op6_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules,
+        op1_secret_scan, op2_token_output, op3_source_mixing, op4_substring_dedup, op5_language_id, op6_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules,
         op10_quality_classifier,
     )
 }
