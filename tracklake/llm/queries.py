@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import decontaminate, language_id, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, tokens
+from tracklake.llm import decontaminate, language_id, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, tokens
 from tracklake.llm.common import held_out, table
 
 
@@ -54,6 +54,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pii_spans(table(spark, sf_dir, "documents"))
+    kinds = [counted("base", k).alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return out.select("doc_id", *kinds, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -76,7 +82,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_scan, op2_token_output, op3_source_mixing, op4_substring_dedup, op5_language_id, op6_benchmark_decontamination, op8_simhash_near_dedup, op9_quality_rules,
+        op1_secret_scan, op2_token_output, op3_source_mixing, op4_substring_dedup, op5_language_id, op6_benchmark_decontamination, op7_pii, op8_simhash_near_dedup, op9_quality_rules,
         op10_quality_classifier,
     )
 }
