@@ -1,0 +1,317 @@
+"""Each corpus operator against a plain version, with nulls, blanks, ties, repeated rows, empty tables and extra columns."""
+
+from __future__ import annotations
+
+import random
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute
+import public_tokenizers
+from tracklake.llm import decontaminate, language_id, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, tokens
+
+SCHEMA = "doc_id long, text string, lang string, source string, score double, n_words long, key string, kept string"
+ITEM = "item_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return brute.corpus()
+
+
+def frame(spark, docs, extra=()):
+    rows = [(i, t, "en" if (i or 0) % 3 else None, f"s{(i or 0) % 2}", 1.0, 5, "k", "x") for i, t in [*docs.items(), *extra]]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def df(spark, docs):
+    return frame(spark, docs)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def spans(rows, column):
+    return {r["doc_id"]: [tuple(x) for x in r[column]] for r in rows}
+
+
+def test_secret_scan(spark, df, docs, empty):
+    rows = secret_scan.secret_spans(df).collect()
+    assert spans(rows, "base") == {i: brute.secrets(t) for i, t in docs.items()}
+    found = spans(rows, "spans")
+    assert any(k in ("client", "opaque", "endpoint") for x in found.values() for k, _, _ in x)
+    assert all(set(b) <= set(found[i]) for i, b in spans(rows, "base").items())
+    assert secret_scan.secret_spans(empty).count() == 0
+
+
+def test_secret_linking_needs_the_other_part(spark):
+    far = " word" * 100
+    texts = ["login: annabel and k9ZzQ1x7Lm3Pw8Rt5", "only k9ZzQ1x7Lm3Pw8Rt5 here", "login: annabel alone", f"login: annabel {far} k9ZzQ1x7Lm3Pw8Rt5", "see https://ex.org/x", "login: annabel https://ex.org/x secret: abcdef1"]
+    rows = secret_scan.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: sorted(s["kind"] for s in r["spans"]) for r in rows} == {0: ["client", "opaque"], 1: [], 2: [], 3: [], 4: [], 5: ["assign", "client", "endpoint"]}
+
+
+def test_secret_base_is_case_blind_in_ascii_only(spark):
+    texts = {0: "PassWord='abcdef'", 1: "toKen=abcdef", 2: "api_key:abc", 3: "ſecret=abcdef", 4: "aaaa" * 6 + "Z" + "0" * 23}
+    rows = secret_scan.secret_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert spans(rows, "base") == {i: brute.secrets(t) for i, t in texts.items()}
+
+
+def test_tokens_round_trip(spark, df, docs, empty):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    extra = [(5, docs[5]), (None, "null id"), (99, "Special <|endoftext|> text, é it's a'sé ſ."), (100, "x" * 30000)]
+    read = tokens.write_and_read(frame(spark, docs, extra))
+    got = {}
+    start = 0
+    for r in sorted(read.collect(), key=lambda r: r["start"]):
+        assert r["start"] == start and r["n_tokens"] == len(r["tokens"])
+        start += len(r["tokens"])
+        got.setdefault(r["doc_id"], []).append(r["tokens"])
+    for i, t in [*docs.items(), *extra]:
+        assert plain.encode(t or "", add_special_tokens=False).ids + [1] in got[i]
+    ids = [r["doc_id"] for r in sorted(read.select("doc_id", "start").collect(), key=lambda r: r["start"])]
+    assert ids[0] is None and ids[1:] == sorted(ids[1:])
+    crc = {r["doc_id"]: r["ids_crc32"] for r in tokens.digests(read).collect()}
+    assert crc[8] == zlib.crc32(np.array(got[8][0], "<u4").tobytes())
+    assert tokens.write_and_read(empty).count() == 0
+
+
+def test_token_format(spark, df, tmp_path):
+    import pyarrow.parquet as pq
+
+    tokens.write_tokens(df, f"file://{tmp_path}/t")
+    file = pq.ParquetFile(sorted((tmp_path / "t").glob("part*"))[0])
+    group = file.metadata.row_group(0)
+    column = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+    assert "RLE_DICTIONARY" in column["tokens.list.element"].encodings and "DELTA_BINARY_PACKED" in column["doc_id"].encodings
+    assert column["doc_id"].has_column_index and column["doc_id"].has_offset_index
+
+
+def test_encoder_equals_tokenizer_on_odd_texts():
+    rnd = random.Random(5)
+    encoder = tokens.WordEncoder(public_tokenizers.path(tokens.VOCABULARY))
+    signs = [*"aAbzé ß'.,!?-_0123\n\t\x0b\x85\xa0́ÀŁ中文ſ😀<|>", "'s", "'re", "<|endoftext|>", "the ", "then,", "ﬁ", "ǅ", "İ", "ŉ", " "]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(40))) for _ in range(2000)]
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_period_is_pfair(spark):
+    for shares in ([500, 300, 200], [273] + [36] * 20 + [7], [1, 999], [1000], [334, 333, 333]):
+        rows = mixing.period(spark, shares, 1000).orderBy("slot").collect()
+        had = [0] * len(shares)
+        for r in rows:
+            assert r["nth"] == had[r["stream"]]
+            had[r["stream"]] += 1
+            assert all(abs(h - q * (r["slot"] + 1) / 1000) < 1 for h, q in zip(had, shares, strict=True))
+        assert had == shares
+
+
+def test_mixing(spark, empty):
+    rows = [(i, ["big", "big", "big", "a", "b", None][i % 6]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("rank", F.lit("mine"))
+    out = mixing.mix(df, block_rows=8).collect()
+    assert len(out) == 3000 and {r["rank"] for r in out} == {"mine"}
+    by = {}
+    for r in out:
+        assert r["_tl_release"] <= r["_tl_slot"] < r["_tl_deadline"]
+        by.setdefault(r["source"], []).append(r)
+    for rs in by.values():
+        assert sorted(r["_tl_rank"] for r in rs) == list(range(len(rs)))
+        assert all(r["_tl_block"] == r["_tl_rank"] // 8 for r in rs)
+    assert sum(r["_tl_mixed"] for r in by["big"]) == 750 and all(r["_tl_mixed"] for s in ("a", "b", None) for r in by[s])
+    slots = {}
+    for r in out:
+        slots.setdefault(r["_tl_slot"], set()).add((r["source"], r["_tl_block"]))
+    assert all(len(x) == 1 for x in slots.values())
+    given = mixing.mix(df, weights={"a": 3, None: 1}, block_rows=8).where("_tl_mixed").groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in given} == {"a": 500, None: 166}
+    assert mixing.keep_mixed(df).columns == df.columns and mixing.mix(empty).count() == 0
+
+
+@pytest.mark.parametrize("cells", [None, 1 << 17])
+def test_substring_dedup(spark, docs, df, empty, cells, monkeypatch):
+    if cells:  # a sketch far too small loses nothing
+        monkeypatch.setattr(substring_dedup, "MAX_CELLS", cells)
+    many = docs | {1000 + i: t for i, t in brute.corpus(2, 80).items()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(frame(spark, many)).collect()}
+    assert got == brute.repeats(many)
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_substring_dedup_same_text_and_null_id(spark):
+    passage = " ".join(f"w{i}" for i in range(25))
+    rows = [(1, f"{passage} x {passage}"), (None, passage), (2, passage), (3, " ".join(["a"] * 60))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (51, 25), None: (25, 25), 2: (25, 25), 3: (60, 59)}
+
+
+def test_sketch_merges_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FAN_IN", 2)
+    many = brute.corpus(3, 60)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(frame(spark, many).repartition(7)).collect()}
+    assert got == brute.repeats(many)
+
+
+LANGUAGES = {"aa": "the and of with there", "bb": "der und die mit auch", "cc": "le et des avec pour"}
+
+
+def test_language_id(spark, empty):
+    rnd = random.Random(1)
+    rows = [(i, " ".join(rnd.choice(LANGUAGES[g].split()) for _ in range(rnd.randrange(1, 40))), g, 7) for i, g in enumerate(rnd.choice(list(LANGUAGES)) for _ in range(300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    model = language_id.fit(df.where("doc_id < 200"))
+    got = {r["doc_id"]: r for r in language_id.predict(df.drop("lang"), model).collect()}
+    held = [i for i in range(200, 300)]
+    assert sum(got[i]["lang_pred"] == rows[i][2] for i in held) >= 98 and all(0 <= r["score"] <= 1 for r in got.values())
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !! 34"), (4, "x" * 100_000), (5, "中文")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in language_id.predict(odd, model).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+    none = language_id.fit(empty)
+    assert [r["lang_pred"] for r in language_id.predict(odd, none).collect()] == ["und"] * 5
+    assert language_id.predict(empty, model).count() == 0
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["▁", "a", "b", "▁a", "ab", "▁ab"]
+    p = np.random.default_rng(1).random((6, 2))
+    at = {x: i for i, x in enumerate(pieces)}
+
+    def total(s):
+        return np.ones(2) if not s else sum(p[at[s[:n]]] * total(s[n:]) for n in range(1, min(3, len(s)) + 1) if s[:n] in at)
+
+    words = ["ab", "a", "abab", "bbab"]
+    assert np.allclose(np.exp(language_id.Scorer(pieces, p).forward(words)), [total("▁" + w) for w in words])
+
+
+def test_decontamination(spark, docs, df, empty):
+    items = {1: " ".join(brute.words(docs[0])[:30]), 2: " ".join(brute.words(docs[5])[10:22]).upper(), 3: "of the, the", 4: None, 5: "", 6: " ".join(brute.words(docs[8])[:9]), 7: " ".join(brute.words(docs[0])[2:14])}
+    want = brute.contamination(docs, items)
+    assert sum(1 for x in want.values() if x[1]) >= 3
+    items_df = spark.createDataFrame(list(items.items()), ITEM)
+    extra = frame(spark, docs, [(5, docs[5])])
+    rows = decontaminate.decontaminate(extra, items_df).collect()
+    assert len(rows) == len(docs) + 1
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in rows} == want
+    kept = decontaminate.drop_contaminated(df, items_df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in want.items() if not x[1]}
+    assert decontaminate.decontaminate(df, spark.createDataFrame([], ITEM)).where("n_hit > 0").count() == 0
+    assert decontaminate.decontaminate(empty, items_df).count() == 0
+
+
+def test_winnowing_keeps_a_fingerprint_of_every_span():
+    h = np.random.default_rng(2).integers(0, 50, 3000).astype(np.uint64)
+    chosen = decontaminate.winnowed(h, 6)
+    assert all(chosen[i : i + 6].any() for i in range(len(h) - 5)) and chosen.mean() < 0.6
+
+
+def test_pii(spark, docs, df, empty):
+    rows = pii.pii_spans(df).collect()
+    assert spans(rows, "base") == {i: brute.personal(t) for i, t in docs.items()}
+    assert pii.pii_spans(empty).count() == 0
+
+
+def test_pii_patterns_on_odd_texts(spark):
+    rnd = random.Random(1)
+    signs = [*"12094. -+()@aé_\n😀", "b.c", "x@y.z", "4111 1111 1111 1111", "+1 (555) 123-4567", "1.2.3.4", "255"]
+    texts = dict(enumerate("".join(rnd.choice(signs) for _ in range(rnd.randrange(60))) for _ in range(1500)))
+    texts |= {9000: "a" * 50_000, 9001: "1" * 50_000, 9002: "1 " * 30_000, 9003: "a@b.c " * 2000, 9004: None}
+    got = pii.pii_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert spans(got, "base") == {i: brute.personal(t) for i, t in texts.items()}
+
+
+def test_disclosing_terms(spark):
+    texts = {1: "call alphaword me at a@b.co zebraterm", 2: "x alphaword a@b.co zebraterm y", 3: "nothing alphaword", 4: "call me at c@d.co zebra", 5: None, 6: "call alphaword me at a@b.co zebraterm"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: [(texts[r["doc_id"]] or "")[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in pii.pii_spans(df).collect()}
+    assert got == {1: ["zebraterm"], 2: ["zebraterm"], 3: [], 4: [], 5: [], 6: ["zebraterm"]}
+    clean = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(df).collect()}
+    assert clean[2] == "x alphaword <email> <term> y" and clean[5] == "" and clean[4] == "call me at <email> zebra"
+
+
+def test_simhash(spark, docs, df, empty):
+    assert all(simhash.fingerprint(t) & (2**64 - 1) == brute.simhash(t) for t in docs.values())
+    rows = simhash.near_duplicates(df).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == brute.components(docs)
+    kept = simhash.keep_one(frame(spark, docs, [(5, docs[5]), (None, "alone here"), (None, docs[0])]))
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == df.columns and sorted(i for i in ids if i is not None) == sorted(set(brute.components(docs).values()))
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_simhash_links_are_complete_in_wide_variants(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 6, dtype=np.int64)
+    flips = [b ^ (1 << int(i)) ^ (1 << int(j)) for b in base.tolist() for i, j in rng.integers(0, 63, (60, 2))]
+    prints = sorted({*base.tolist(), *flips, 0, -1, 1})
+    u = np.array(prints, np.int64).view(np.uint64)
+    want = {(prints[i], prints[j]) for i in range(len(u)) for j in range(i + 1, len(u)) if int(u[i] ^ u[j]).bit_count() <= 2}
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for wide in (500, 3):
+        assert {tuple(r) for r in simhash.links(df, wide).collect()} == want
+
+
+def test_components_of_long_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20], "u long, v long")
+    assert {r["u"]: r["root"] for r in simhash.components(edges).collect()} == {i: 0 if i <= 20 else 21 for i in range(41) if i not in (0, 21)}
+
+
+def test_quality_rules(spark, docs, df, empty):
+    out = quality_rules.quality_rules(df)
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in out.collect()}
+    assert got == {i: brute.base_counts(t) for i, t in docs.items()}
+    assert out.where("base_failed and kept").count() == 0
+    assert quality_rules.quality_rules(empty).count() == 0
+    kept = quality_rules.keep_good(frame(spark, docs, [(5, docs[5])]))
+    assert kept.columns == df.columns
+
+
+def test_quality_divergence_rejects_what_is_unlike_any_language(spark):
+    rnd = random.Random(3)
+    say = lambda vocabulary, n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    rows = [(i, say([*"the of and to in a that is".split(), *(f"{a}{b}le" for a in "bcdfg" for b in "aeiou")], 160), "en") for i in range(60)]
+    rows += [(100, say([f"{a}#{b}|{a}" for a in "$%&" for b in "*<>"], 160), "en"), (101, say([f"{a}{b}q{c}" for a in "BCDF" for b in "AEIO" for c in "XYZ"], 160), None)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i in range(60)) and not got[100] and not got[101]
+
+
+def test_jensen_shannon(spark):
+    p, q = [3, 1, 0, 4], [0.1, 0.4, 0.3, 0.2]
+    got = spark.range(1).select(quality_rules.jensen_shannon(F.array(*map(F.lit, p)), q).alias("d")).first()["d"]
+    x = np.array(p) / 8
+    m = (x + q) / 2
+    kl = lambda a: sum(v * np.log2(v / w) for v, w in zip(a, m, strict=True) if v > 0)
+    assert abs(got - np.sqrt((kl(x) + kl(q)) / 2)) < 1e-12
+
+
+def test_quality_classifier(spark, empty):
+    rnd = random.Random(2)
+    good = lambda: " ".join(rnd.choice("the cat sat on a mat and then it left the house".split()) for _ in range(60)) + "."
+    bad = lambda: " | ".join(rnd.choice("BUY NOW !!! $$$ ### CLICK".split()) for _ in range(60))
+    rows = [(i, good() if i % 5 else bad()) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("old"))
+    model = quality_classifier.fit(df.where("doc_id % 5 <> 0 and doc_id % 2 = 0 and doc_id < 400"), df.where("(doc_id % 5 = 0 or doc_id % 2 = 1) and doc_id < 400"))
+    assert 0.5 < model["prior"] < 0.85
+    got = {r["doc_id"]: r["predicted"] for r in quality_classifier.predict(df, model).collect()}
+    assert sum(got[i] == int(i % 5 > 0) for i in range(400, 600)) >= 195
+    odd = spark.createDataFrame([(1, None), (2, ""), (2, "")], "doc_id long, text string")
+    scores = [r["score"] for r in quality_classifier.predict(odd, model).collect()]
+    assert len(set(scores)) == 1 and 0 <= scores[0] <= 1
+    assert quality_classifier.fit(empty, df) is None and [r["score"] for r in quality_classifier.predict(odd, None).collect()] == [0.5] * 3
+    assert quality_classifier.predict(empty, model).count() == 0
+
+
+def test_extra_columns_do_not_clash(spark, docs):
+    clash = frame(spark, docs).withColumns({c: F.lit("z") for c in ("fp", "component_id", "doc", "parts", "at", "n", "keys", "found", "terms", "owned", "start", "tokens", "id", "base_failed", "lang_pred")})
+    for op in (secret_scan.secret_spans, tokens.write_and_read, substring_dedup.remove_repeats, pii.pii_spans, simhash.near_duplicates, quality_rules.quality_rules, mixing.mix):
+        assert op(clash).count() == len(docs), op

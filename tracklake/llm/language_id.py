@@ -156,11 +156,11 @@ def predict(df: DataFrame, model: tuple[list[str], list[str], np.ndarray], text:
     """df with its text replaced by lang_pred and score, the posterior probability of lang_pred at equal priors.
 
     Texts that are null or have no letter, and all texts if nothing was learned, are `und` with score 0. Ties go to the
-    language that sorts first. Repeated rows are scored alike.
+    language that sorts first. Repeated rows are scored alike. Columns lang_pred and score of df are replaced.
     """
     spark = df.sparkSession
     small_batches(spark)
-    langs, keep = model[0], [c for c in df.columns if c != text]
+    langs, keep = model[0], [c for c in df.columns if c not in (text, "lang_pred", "score")]
     shared = spark.sparkContext.broadcast(model)  # vocabulary x languages, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

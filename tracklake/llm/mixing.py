@@ -92,7 +92,7 @@ def mix(
     names = sorted(quota)
     shares = largest_remainder([quota[k] if not weights else given[k] for k in names], resolution)
     by_name = F.create_map(*[F.lit(x) for k, q, s in zip(names, range(len(names)), shares, strict=True) for x in (k, q)])
-    number = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("_tl_k") + 1).cast("long")
+    number = lambda values: F.when(F.col("_tl_k").isNotNull(), F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("_tl_k") + 1)).cast("long")
 
     # nth row of its stream
     bucket = F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 3)

@@ -118,10 +118,10 @@ def fit(positives: DataFrame, unlabelled: DataFrame, doc_id: str = "doc_id", tex
 def predict(df: DataFrame, model: dict[str, np.ndarray | float] | None, text: str = "text", least: float = 0.3) -> DataFrame:
     """df with its text replaced by score (0 to 1) and predicted (1 if score >= least, else 0).
 
-    Null and empty texts are scored as empty; without a model every score is 0.5. Repeated rows are scored alike.
+    Null and empty texts are scored as empty; without a model every score is 0.5. Repeated rows are scored alike. Columns score and predicted of df are replaced.
     """
     small_batches(df.sparkSession)
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, "score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

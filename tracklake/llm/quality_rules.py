@@ -24,6 +24,9 @@ COMMON_WORDS = {
 VOCABULARY = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 CLASSES = ("lower", "upper", "space", "digit", "punct", "other")
 
+#: Columns that the rules add; those that df has by these names are replaced.
+OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.275
 MIN_CHARS = 200
@@ -73,7 +76,7 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     w = F.col("_tl_words")
     out = df.withColumn("_tl_words", words(F.col(text))).select(
-        *[c for c in df.columns if c != text],
+        *[c for c in df.columns if c != text and c not in OUTPUTS],
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),

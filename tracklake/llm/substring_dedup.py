@@ -124,7 +124,7 @@ def sketch(texts: DataFrame, cells: int, span: int = SPAN, k: int = K) -> bytes:
 
     while parts > FAN_IN:
         parts = -(-parts // FAN_IN)
-        pieces = pieces.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", F.floor(F.col("chunk") / 16).alias("g")).applyInPandas(lambda p: merge(p.drop(columns="g")), pieces.schema)
+        pieces = pieces.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", F.floor(F.col("chunk") / 16).alias("g")).applyInPandas(merge, pieces.schema)
     merged = pieces.withColumn("g", F.floor(F.col("chunk") / 16)).groupBy("g").applyInPandas(lambda p: final(p.drop(columns="g")), "chunk long, bits binary")
     out = np.zeros(cells // 8, np.uint8)
     size = CHUNK // 8
