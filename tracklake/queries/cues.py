@@ -94,15 +94,15 @@ book.add("clean_cue_text", lambda x: cues(x).select("media_id", "cue_index", T.c
 with {CUES} select media_id, cue_index, trim(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n\\s*\\n+', chr(10), 'g'), E' \\n\\t') as text from cue""")
 book.add("escape_vtt", lambda x: cues(x).select("media_id", "cue_index", T.escape_vtt(F.col("text")).alias("text")), f"with {CUES} select media_id, cue_index, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as text from cue")
 book.add("escape_ass", lambda x: cues(x).select("media_id", "cue_index", T.escape_ass(F.col("text")).alias("text")), f"with {CUES} select media_id, cue_index, replace(replace(replace(text, '{{', '('), '}}', ')'), chr(10), '\\N') as text from cue")
-curly = F.concat(F.lit("“Well” –  "), F.substring("text", 1, 60), F.lit(" , ‘ok’ !"))
+curly = lambda: F.concat(F.lit("“Well” –  "), F.substring("text", 1, 60), F.lit(" , ‘ok’ !"))
 CURLY = "('“Well” –  ' || substr(text, 1, 60) || ' , ‘ok’ !')"
 TYPO = f"trim(regexp_replace(regexp_replace(translate({CURLY}, '‘’‚‛′‵“”„‟″‶–—', '''''''''''''\"\"\"\"\"\"--'), ' {{2,}}', ' ', 'g'), '\\s+([,.;:!?])', '\\1', 'g'))"
-book.add("typography_normalise", lambda x: d(x).select("doc_id", T.typography_normalise(curly).alias("text")), f"select doc_id, {TYPO} as text from documents")
-fill = F.concat(F.lit("Well, actually, Also, bueno, en fait, "), F.substring(F.trim("text"), 1, 40))
+book.add("typography_normalise", lambda x: d(x).select("doc_id", T.typography_normalise(curly()).alias("text")), f"select doc_id, {TYPO} as text from documents")
+fill = lambda: F.concat(F.lit("Well, actually, Also, bueno, en fait, "), F.substring(F.trim("text"), 1, 40))
 FILL = "('Well, actually, Also, bueno, en fait, ' || substr(trim(text, ' '), 1, 40))"
 strip = lambda x: F.when(F.col("lang") == "en", F.col("f")).otherwise(F.regexp_replace("f", "^Well, actually, ", ""))
 STRIPPED = f"case when lang = 'en' then {FILL} else regexp_replace({FILL}, '^Well, actually, ', '') end"
-book.add("strip_fillers", lambda x: d(x).withColumn("f", F.trim(fill)).withColumn("f", strip(x)).select("doc_id", T.strip_fillers(F.col("f"), F.col("lang")).alias("text")), f"""
+book.add("strip_fillers", lambda x: d(x).withColumn("f", F.trim(fill())).withColumn("f", strip(x)).select("doc_id", T.strip_fillers(F.col("f"), F.col("lang")).alias("text")), f"""
 with f as (select doc_id, lang, trim({STRIPPED}, ' ') as f from documents) select doc_id, case lang when 'en' then regexp_replace(f, '(?i)^((well,|you know,|i mean,|actually,|like,)\\s+)+', '') when 'de' then regexp_replace(f, '(?i)^((also,|na ja,|weißt du,|eigentlich,)\\s+)+', '')
  when 'es' then regexp_replace(f, '(?i)^((bueno,|pues,|o sea,|digamos,|en plan,)\\s+)+', '') when 'fr' then regexp_replace(f, '(?i)^((eh bien,|ben,|en fait,|tu vois,)\\s+)+', '') else f end as text from f""")
 book.add("collapse_intensifiers", lambda x: d(x).select("doc_id", T.collapse_intensifiers(F.concat(F.lit("muy muy, really  really and also sehr "), F.substring("text", 1, 30))).alias("text")), """
@@ -138,8 +138,8 @@ STEPS = ("T04_VAD", "T15_es", "T02_x", "COMPLETED", "unknown", "T10_QUALITY", "T
 book.add("stage_canonical", lambda x: d(x).withColumn("s", T.stage_of(F.element_at(F.array(*map(F.lit, STEPS)), (F.col("doc_id") % 8 + 1).cast("int")))).select("doc_id", F.col("s").alias("stage"), T.stage_percent(F.col("s")).cast("long").alias("percent"), T.stage_status(F.col("s")).alias("status")), """
 select doc_id, ['VAD', 'TRANSLATING', 'MEDIA_PREP', 'COMPLETED', 'PROCESSING', 'QUALITY', 'COMPLETED', 'PROCESSING'][doc_id % 8 + 1] as stage, cast([16, 88, 8, 100, 50, 72, 100, 50][doc_id % 8 + 1] as bigint) as percent,
  ['PROCESSING', 'TRANSLATING', 'PROCESSING', 'COMPLETED', 'PROCESSING', 'PROCESSING', 'COMPLETED', 'PROCESSING'][doc_id % 8 + 1] as status from documents""")
-secret = F.create_map(F.lit("api-Key"), F.col("lang"), F.lit("name"), F.col("source"), F.lit("HF_TOKEN"), F.lit("x"))
-book.add("redact_secrets", lambda x: x.documents.select("doc_id", F.to_json(T.redact_map(secret)).alias("fields")), """select doc_id, '{"api-Key":"***REDACTED***","name":"' || source || '","HF_TOKEN":"***REDACTED***"}' as fields from documents""")
+secret = lambda: F.create_map(F.lit("api-Key"), F.col("lang"), F.lit("name"), F.col("source"), F.lit("HF_TOKEN"), F.lit("x"))
+book.add("redact_secrets", lambda x: x.documents.select("doc_id", F.to_json(T.redact_map(secret())).alias("fields")), """select doc_id, '{"api-Key":"***REDACTED***","name":"' || source || '","HF_TOKEN":"***REDACTED***"}' as fields from documents""")
 book.add("language_name", lambda x: d(x).select("doc_id", T.language_name(F.when(F.col("doc_id") % 9 == 0, "xx").when(F.col("doc_id") % 9 == 1, "nn").otherwise(F.upper("lang"))).alias("name")), """
 select doc_id, case when doc_id % 9 = 0 then 'Xx' when doc_id % 9 = 1 then 'Norwegian Nynorsk' else case lang when 'en' then 'English' when 'de' then 'German' when 'fr' then 'French' when 'es' then 'Spanish' end end as name from documents""")
 book.add("target_languages", lambda x: d(x).select("doc_id", T.target_languages(F.lit(" ES, fr,xx,es ,en"), F.col("lang")).alias("targets")), "select doc_id, case lang when 'es' then ['fr', 'en'] when 'fr' then ['es', 'en'] when 'en' then ['es', 'fr'] else ['es', 'fr', 'en'] end as targets from documents")

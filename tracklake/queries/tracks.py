@@ -116,10 +116,10 @@ with {COVER}, m as (select media_id, max(end_ms) - 800 as d from cov group by 1)
 select media_id, bool_and(coalesce(s <= 0 and e >= d, false)) as complete from g left join f using (media_id, language) group by 1""")
 
 # clustering
-book.add("cosine_pairs", lambda x: K.cosine_pairs(x.fx_subsegments).withColumn("mean_cosine", F.round("mean_cosine", 5)), """
+book.add("cosine_pairs", lambda x: K.cosine_pairs(x.fx_subsegments), """
 with u as (select media_id, seed_label, vec_id, i, x / sqrt(sum(x * x) over (partition by vec_id)) as x from (select vec_id % 20 as media_id, case when label >= 7 then -1 else label end as seed_label, vec_id, unnest(range(1, 65)) as i, cast(unnest(embedding) as double) as x from embeddings) e),
  s as (select media_id, seed_label, i, sum(x) as x from u group by 1, 2, 3), n as (select media_id, seed_label, count(distinct vec_id) as n from u group by 1, 2)
-select a.media_id, a.seed_label as cluster_a, b.seed_label as cluster_b, round(round(sum(a.x * b.x) / (any_value(na.n) * any_value(nb.n)), 6), 5) as mean_cosine from s a join s b on a.media_id = b.media_id and a.i = b.i and a.seed_label < b.seed_label
+select a.media_id, a.seed_label as cluster_a, b.seed_label as cluster_b, round(sum(a.x * b.x) / (any_value(na.n) * any_value(nb.n)), 6) as mean_cosine from s a join s b on a.media_id = b.media_id and a.i = b.i and a.seed_label < b.seed_label
  join n na on na.media_id = a.media_id and na.seed_label = a.seed_label join n nb on nb.media_id = b.media_id and nb.seed_label = b.seed_label group by 1, 2, 3""")
 book.add("agglomerate_clusters", lambda x: K.agglomerate_clusters(x.fx_subsegments))
 book.add("seed_labels", lambda x: K.seed_labels(x.fx_subsegments.drop("seed_label")).select("media_id", "seq", "seed_label"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +32,12 @@ def media_manifest(spark: SparkSession, path: str, limit: int = LIMIT) -> DataFr
     ext = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     error = F.when(F.col("length") == 0, "empty").when(F.col("length") > limit, "too_large").when(~ext.isin(*EXTENSIONS), "unsupported")
     columns = lambda sha: [F.sha2("path", 256).alias("media_id"), "path", F.substring(safe_filename(name), 1, 220).alias("safe_name"), ext.alias("ext"), F.col("length").alias("size_bytes"), sha.alias("sha256"), error.alias("error_code")]
+    # The reader passes over empty files; its listing has them.
+    listed = [(re.sub(r"^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti").withColumn("length", F.lit(0).cast("long"))
     good = files.where(error.isNull()).select(*columns(F.sha2("content", 256)))
     bad = files.where(error.isNotNull()).select(*columns(F.lit(None).cast("string")))
-    return good.unionByName(bad)
+    return good.unionByName(bad).unionByName(empty.select(*columns(F.lit(None).cast("string"))))
 
 
 def wav_blocks(spark: SparkSession, path: str, block: int = 1600, rate: int = 16000, channel_mode: str = "mean") -> DataFrame:
