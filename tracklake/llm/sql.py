@@ -1,5 +1,92 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express. Hashing, tokenizing, fitted models and spans with offsets are not among them."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from tracklake.llm import mixing, quality_rules
+
+WORDS = r"words as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents) t)"
+
+SUBSTRING_DEDUP = f"""
+with {WORDS}, win as (select doc_id, i, w, string_agg(w, ' ') over f as g, count(*) over f as n from words window f as (partition by doc_id order by i rows between current row and 19 following)),
+ later as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as r from win where n = 20) x where r > 1),
+ gone as (select distinct doc_id, i + k as i from later, range(0, 20) t(k)),
+ kept as (select words.doc_id, count(*) as n_words, count(gone.i) as n_removed, string_agg(w, ' ' order by words.i) filter (where gone.i is null) as kept from words left join gone using (doc_id, i) group by 1)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join kept using (doc_id)"""
+
+
+def spans(table: str, key: str, name: str) -> str:
+    """Words of a table as (key, w, i), A-Z lower-cased."""
+    find = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"{name} as (select {key}, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from (select {key}, {find} as ws from {table}) t)"
+
+
+def grams(name: str, key: str) -> str:
+    """(key, i, n, g): the n words from place i, for n from 1 to 10."""
+    parts = [f"select {key}, i, {n} as n, string_agg(w, ' ') over f as g, count(*) over f as c from {name} window f as (partition by {key} order by i rows between current row and {n - 1} following)" for n in range(1, 11)]
+    return f"(select * from ({' union all '.join(parts)}) u where c = n)"
+
+
+DECONTAMINATION = f"""
+with {spans("benchmark", "item_id", "iw")}, {spans("documents", "doc_id", "dw")}, size as (select item_id, count(*) as n_words from iw group by 1),
+ windows as (select distinct item_id, n, g from {grams("iw", "item_id")} x join size using (item_id) where n = least(10, n_words)),
+ hits as (select doc_id, i, n, g from {grams("dw", "doc_id")} x where g in (select g from windows) and (n, g) in (select (n, g) from windows)),
+ hit as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hits) x group by 1),
+ ids as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hits join windows using (n, g)) x group by 1),
+ total as (select doc_id, count(*) as n_words from dw group by 1)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from documents left join total using (doc_id) left join hit using (doc_id) left join ids using (doc_id)"""
+
+
+def quality() -> str:
+    """Base counts, then both histograms as rows, references by language, and distances to the nearest."""
+    removed = [r"\p{Ll}+", r"\p{Lu}+", r"[\x20\x09-\x0D]+", "[0-9]+", """[.,;:!?''"()-]+"""]
+    left = ["coalesce(text, '')"]
+    for p in removed:
+        left.append(f"regexp_replace({left[-1]}, '{p}', '', 'g')")
+    classes = ", ".join([*(f"length({a}) - length({b})" for a, b in zip(left, left[1:], strict=False)), f"length({left[-1]})"])
+    vocabulary = ", ".join(f"'{w}'" for w in quality_rules.VOCABULARY)
+    langs = ", ".join(f"'{g}'" for g in quality_rules.COMMON_WORDS)
+    return rf"""
+with {WORDS}, grams as (select doc_id, i, string_agg(w, ' ') over f as g, count(*) over f as n from words window f as (partition by doc_id order by i rows between current row and 2 following)),
+ twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from grams where n = 3) x where c > 1),
+ covered as (select doc_id, count(distinct i + k) as n_repeat_words from twice, range(0, 3) t(k) group by 1),
+ counts as (select doc_id, count(*) as n_words, cast(sum(length(w)) as bigint) as word_chars from words group by 1),
+ lines as (select doc_id, count(*) - count(distinct l) as n_dup_lines from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l from documents) x where regexp_matches(l, '[^\x20\x09-\x0D]') group by 1),
+ base as (select doc_id, lang, text, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from documents left join counts using (doc_id) left join lines using (doc_id) left join covered using (doc_id)),
+ failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base),
+ cls as (select doc_id, 0 as h, unnest(range(0, 6)) as i, unnest([{classes}]) as c from documents),
+ voc as (select doc_id, v as w from documents, unnest([{vocabulary}]) t(v)), seen as (select doc_id, w, count(*) as c from words where w in ({vocabulary}) group by 1, 2),
+ com as (select doc_id, 1 as h, list_position([{vocabulary}], w) as i, coalesce(c, 0) as c from voc left join seen using (doc_id, w) union all select doc_id, 1, 0, coalesce(n, 0) from documents left join (select doc_id, count(*) as n from words where w not in ({vocabulary}) group by 1) o using (doc_id)),
+ hist as (select * from cls union all select * from com), part as (select *, sum(c) over (partition by doc_id, h) as t from hist),
+ ref0 as (select lang, h, i, sum(c) as c from hist join failed using (doc_id) where lang in ({langs}) and not base_failed group by 1, 2, 3), ref as (select lang, h, i, c / cast(sum(c) over (partition by lang, h) as double) as q from ref0),
+ each as (select doc_id, lang, h, max(t) as t, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2 as d
+  from (select doc_id, r.lang, h, t, case when t > 0 then c / cast(t as double) else 0 end as p, q from part join ref r using (h, i)) x group by 1, 2, 3),
+ near as (select doc_id, min(case when h = 0 then dist end) as dc, min(case when h = 1 then dist end) as dw from (select *, case when t > 0 then sqrt(greatest(d, 0)) else 1 end as dist from each) e group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ not base_failed and not coalesce(length(text) >= {quality_rules.MIN_CHARS} and dc > {quality_rules.MAX_CLASS_DISTANCE}, false) and not coalesce(n_words >= {quality_rules.MIN_WORDS} and dw > {quality_rules.MAX_WORD_DISTANCE}, false) as kept
+from failed left join near using (doc_id)"""
+
+
+Q, B = mixing.RESOLUTION, mixing.BLOCK_ROWS
+#: For tables in which no source has under 1 / resolution of the rows.
+MIXING = f"""
+with recursive src as (select doc_id, source, coalesce(source, ' none') as s from documents), n as (select s, count(*) as n from src group by 1), tot as (select sum(n) as t, count(*) as k from n),
+ quota as (select s, least(n, cast(floor(greatest({mixing.MAX_SHARE}e0, 1e0 / k) * t) as bigint)) as q from n, tot),
+ exact as (select s, q, q * {Q} / cast(sum(q) over () as double) as e, row_number() over (order by s) - 1 as k from quota),
+ share as (select *, cast(floor(e) as bigint) + case when row_number() over (order by floor(e) - e, k) <= {Q} - sum(floor(e)) over () then 1 else 0 end as w from exact),
+ shares as (select list(w order by k) as w from share),
+ slot as (select 0 as t, list_transform(w, lambda x: 0) as had, -1 as pick from shares
+  union all select t + 1, list_transform(had, lambda h, i: h + case when i - 1 = p then 1 else 0 end), p from (
+   select t, had, list_min(list_filter(list_transform(w, lambda x, i: case when x > 0 and had[i] < x and had[i] * {Q} // x <= t then {{'d': (had[i] + 1) * {Q} // x + case when (had[i] + 1) * {Q} % x > 0 then 1 else 0 end, 'k': i - 1}} end), lambda c: c is not null)).k as p from slot, shares where t < {Q}) x),
+ period as (select pick as k, row_number() over (partition by pick order by t) - 1 as j, t - 1 as slot from slot where t > 0),
+ ranked as (select doc_id, source, s, row_number() over (partition by s order by substr(md5(cast(doc_id as varchar)), 1, 3), doc_id) - 1 as rank from src),
+ b as (select doc_id, source, rank, rank // {B} as block, q, w, k, rank // {B} // w as cycle, rank // {B} % w as j from ranked join share using (s))
+select doc_id, source, rank, block, cycle * {Q} + slot as slot, cycle * {Q} + j * {Q} // w as release, cycle * {Q} + (j + 1) * {Q} // w + case when (j + 1) * {Q} % w > 0 then 1 else 0 end as deadline, rank < q as mixed from b join period using (k, j)"""
+
+ORACLES: dict[str, str] = {
+    "op3_source_mixing": MIXING,
+    "op4_substring_dedup": SUBSTRING_DEDUP,
+    "op6_benchmark_decontamination": DECONTAMINATION,
+    "op9_quality_rules": quality(),
+}
