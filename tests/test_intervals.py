@@ -60,7 +60,8 @@ def test_union(df, rows):
             else:
                 cover.append([s, e])
         want += [(m, s, e) for s, e in cover]
-    assert got(I.interval_union(df), "start_ms", "end_ms") == sorted(want)
+    for bin_ms in (None, 40, 1000):
+        assert got(I.interval_union(df, bin_ms=bin_ms), "start_ms", "end_ms") == sorted(want)
 
 
 def test_merge_proximal(df, rows):

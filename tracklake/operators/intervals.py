@@ -91,8 +91,15 @@ def vad_totals(voice: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def interval_union(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Disjoint cover of the intervals; ranges that touch merge."""
+def interval_union(df: DataFrame, keys: tuple[str, ...] = KEYS, bin_ms: int | None = None) -> DataFrame:
+    """Disjoint cover of the intervals; ranges that touch merge.
+
+    For keys that hold a large share of all rows, bin_ms unites within bins of the start first, in many tasks, so that
+    only the bins' covers meet in the key's task. The result is the same.
+    """
+    if bin_ms:
+        bins = df.select(*keys, F.floor(F.col("start_ms") / bin_ms).alias("_bin"), "start_ms", "end_ms")
+        df = interval_union(bins, (*keys, "_bin")).drop("_bin")
     w = by_time(keys)
     seen = F.max("end_ms").over(before(w))
     parts = islands(df, F.coalesce(F.col("start_ms") > seen, F.lit(True)), w).groupBy(*keys, "_island")
