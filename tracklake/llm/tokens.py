@@ -8,8 +8,11 @@ wants some documents' tokens, or only counts, touches only those pages or column
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,38 +37,81 @@ FORMAT = {
     "parquet.enable.dictionary#first": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-#: Distinct words whose ids a task remembers; past that it starts anew.
-REMEMBERED = 300_000
+#: Distinct words whose ids a Python worker remembers, from task to task; past that it starts anew (some 100 MB).
+REMEMBERED = 600_000
 
-_TAIL = re.compile(r"(?<=[a-z])([.,])(?= |$)")
-_SPACE = str.maketrans("\n\t\r", "   ")
+#: A word that ends in ASCII marks (no apostrophe: it can begin a token of letters) after a letter.
+_MARKED = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.S).fullmatch
+
+
+#: Characters that stand for the bytes of a byte-level vocabulary: printable ones for themselves, the others from 256 up.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_UNITS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class WordEncoder:
     """Token ids of texts, each distinct word encoded once.
 
-    The vocabulary drops white space and never joins across it, nor from a letter to a following stop or comma; so ids
-    of a text are those of its words in turn. Texts that hold a special token's string are encoded whole.
+    The vocabulary drops white space and never joins across it, nor from a letter to a following mark, and case does not
+    matter to it; so ids of a text are those of its lower-cased words in turn. Texts that hold a special token's
+    string are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes."""
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """A word of letters alone is one unit for the vocabulary's model, once it is in normal form; others take the
+        tokenizer's whole way."""
+        tokenize, known, rest = self.tokenizer.model.tokenize, self.known, []
+        for w in words:
+            s = w.decode()
+            if not s.isascii():
+                if not unicodedata.is_normalized("NFC", s) or s.lower() != s:
+                    s = self.tokenizer.normalizer.normalize_str(s)
+                units = s.encode().decode("latin-1").translate(_UNITS)
+            else:
+                units = s
+            if s.isalpha():
+                ids = [t.id for t in tokenize(units)]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text as little-endian uint32 bytes."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        split = [None if "<|" in t else _TAIL.sub(r" \1", t.translate(_SPACE).lower() if t.isascii() else t.translate(_SPACE)).split(" ") for t in texts]
-        new = list({w for ws in split if ws for w in ws} - self.known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if ws is None else b"".join(map(self.known.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
+        split = [None if b"<|" in t else t.lower().split() for t in texts]  # of bytes: A-Z, and ASCII white space
+        new: set[bytes] = set()
+        for ws in split:
+            new.update(ws or ())
+        new = set(filterfalse(self.known.__contains__, new))
+        marked = {w: m.groups() for w in new if (m := _MARKED(w))}
+        plain = filterfalse(marked.__contains__, new)
+        self._learn(list(filterfalse(self.known.__contains__, {*plain, *chain.from_iterable(marked.values())})))
+        for w, (stem, marks) in marked.items():
+            self.known[w] = self.known[stem] + self.known[marks]
+        whole = lambda t: np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        out = [whole(t) if ws is None else b"".join(map(self.known.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
+        for w in marked:  # their stems are remembered
+            del self.known[w]
+        return out
+
+    @classmethod
+    def of_worker(cls, path: str) -> WordEncoder:
+        """The Python worker's encoder, kept on the tokenizers module while the worker lives."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_tracklake_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
 
 def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> None:
@@ -82,10 +128,10 @@ def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, shard, first = WordEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, shard, first = WordEncoder.of_worker(vocabulary), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            encoded = [x + end for x in encoder.encode(b.column("text").to_pylist())]
+            encoded = [x + end for x in encoder.encode(b.column("text").cast(pa.binary()).to_pylist())]
             n = np.array([len(x) // 4 for x in encoded], np.int64)
             ends = np.concatenate([[0], np.cumsum(n)])
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32()))
