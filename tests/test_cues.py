@@ -128,3 +128,18 @@ def test_glossary_round_trip(spark):
     p = T.protect_glossary(F.lit("a cat and a cat flap"), terms)
     row = spark.range(1).select(p.alias("p")).select("p.text", T.restore_glossary(F.col("p.text"), F.col("p.tokens")).alias("r")).first()
     assert tuple(row) == ("a __G1__ and a __G0__", "a gato and a gatera")
+
+
+def test_resolve_cue_timing_reads_whole_turns(spark, tmp_path):
+    from tracklake import registry
+
+    texts = ["x" * 30, "y" * 800, "z" * 700, ""]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    at, cues = 1000, []
+    for i, t in enumerate(texts):
+        end = at + 400 + len(t) * 4
+        text = " <b>{x}</b>\r\n\r\n & " + t if i % 5 == 0 else t[:30] + "\n" + t[30:]
+        cues.append((at - 1200, (at if (13 + i * 29) % 100 % 9 == 0 else end) - 1200, text))
+        at = end + ((31 + i * 17) % 5 + 1) * 150
+    got = registry.QUERIES["resolve_cue_timing"](spark, str(tmp_path)).collect()
+    assert sorted((r["start_ms"], r["end_ms"]) for r in got) == repaired(cues)

@@ -16,9 +16,13 @@ from tracklake.sources import documents as S
 book = Book()
 
 
-def cues(x: Inputs) -> DataFrame:
-    """Cues with line breaks, markup and some faults, one track a medium, from the conversation turns."""
-    text = F.when(F.col("segment_index") % 5 == 0, F.concat(F.lit(" <b>{x}</b>\r\n\r\n & "), F.substring("text", 1, 40))).otherwise(F.concat(F.substring("text", 1, 30), F.lit("\n"), F.substring("text", 31, 20)))
+def cues(x: Inputs, whole: bool = False) -> DataFrame:
+    """Cues with line breaks, markup and some faults, one track a medium, from the conversation turns.
+
+    Of each turn, as the SQL has it, the first 40 or 50 code points; whole: all of it.
+    """
+    part = lambda n: F.length("text") if whole else F.lit(n)
+    text = F.when(F.col("segment_index") % 5 == 0, F.concat(F.lit(" <b>{x}</b>\r\n\r\n & "), F.substring(F.col("text"), F.lit(1), part(40)))).otherwise(F.concat(F.substring("text", 1, 30), F.lit("\n"), F.substring(F.col("text"), F.lit(31), part(20))))
     end = F.when(F.col("conf_pct") % 9 == 0, F.col("start_ms")).otherwise(F.col("end_ms"))
     return x.fx_segments.select("media_id", F.lit("en").alias("language"), F.col("segment_index").alias("cue_index"), (F.col("start_ms") - 1200).alias("start_ms"), (end - 1200).alias("end_ms"), text.alias("text"))
 
@@ -80,7 +84,7 @@ with t as (select distinct media_id, language from fx_coverage where media_id %
 # folds: no SQL; tests hold them against a plain loop
 track = lambda x: x.fx_segments.select("media_id", F.lit("en").alias("language"), "segment_index", "start_ms", "end_ms", "text", F.col("speaker_label").alias("speaker"))
 book.add("wrap_blocks", lambda x: x.documents.select("doc_id", F.to_json(C.wrap_blocks(F.col("text"))).alias("blocks")))
-book.add("resolve_cue_timing", lambda x: cues(x).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))).alias("c")).select("media_id", F.explode(C.resolve_timing(F.col("c"))).alias("t")).select("media_id", "t.*"))
+book.add("resolve_cue_timing", lambda x: cues(x, whole=True).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))).alias("c")).select("media_id", F.explode(C.resolve_timing(F.col("c"))).alias("t")).select("media_id", "t.*"))
 book.add("build_cues", lambda x: C.build_cues(track(x)))
 book.add("protect_glossary", lambda x: x.conversations.select("conv_id", "turn", T.protect_glossary(F.col("text"), F.array(*[F.struct(F.lit(a).alias("term"), F.lit(b).alias("replacement")) for a, b in (("the", "el"), ("then", "luego"), ("of", "de"))])).alias("p")).select("conv_id", "turn", F.col("p.text").alias("protected"), T.restore_glossary(F.col("p.text"), F.col("p.tokens")).alias("restored")))
 book.add("proportional_split", lambda x: C.split_segments(track(x)).drop("text"))
