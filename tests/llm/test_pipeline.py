@@ -40,3 +40,8 @@ def test_entry_lists_all():
     names = set(e.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
     assert set(e.oracle_sql()) <= names
+
+
+def test_mix_stage_keeps_all_rows_of_a_hot_source(spark):
+    docs = spark.createDataFrame([(i, "t", "en", "hot" if i % 4 else f"s{i % 3}", 1) for i in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.mix(spark, docs, "").collect()} == set(range(2000))
