@@ -239,6 +239,13 @@ def test_disclosing_terms(spark):
     assert clean[2] == "x alphaword <email> <term> y" and clean[5] == "" and clean[4] == "call me at <email> zebra"
 
 
+
+def test_copies_of_a_text_do_not_hide_a_term(spark):
+    texts = ["mail a@b.co zebraterm", "or a@b.co zebraterm now", *["one page has zebraterm"] * 50, *(f"other text {i}" for i in range(200))]
+    out = pii.pii_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("doc_id < 2").collect()
+    assert {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in out} == {0: ["zebraterm"], 1: ["zebraterm"]}
+
+
 def test_simhash(spark, docs, df, empty):
     assert all(simhash.fingerprint(t) & (2**64 - 1) == brute.simhash(t) for t in docs.values())
     rows = simhash.near_duplicates(df).collect()

@@ -2,10 +2,10 @@
 
 Patterns give the base spans. A base span's text is a protected entity; the words around it are terms. Over the corpus,
     PMI(t, e) = log2(n(t, e) N / (n(t) n(e)))     IC(e) = log2(N / n(e))
-with n counting documents: n(t, e) where t stands near e, n(e) where e has a term near, n(t) where t stands anywhere.
-A term discloses an entity if PMI reaches THRESHOLD of the entity's whole information IC, and t stands near e in SUPPORT
-different texts or more (exact copies are one text); where it stands near that entity it is a span of kind `term`,
-generalised to a mark in the sanitised text.
+with n and N counting different texts (exact copies count once): n(t, e) where t stands near e, n(e) where e has a term
+near, n(t) where t stands anywhere. A term discloses an entity if PMI reaches THRESHOLD of the entity's whole information
+IC in SUPPORT texts or more; where it stands near that entity it is a span of kind `term`, generalised to a mark in the
+sanitised text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 64  # code points on either side of a span
 THRESHOLD = 0.9
 SUPPORT = 2
-POSITIONS = 1 << 20  # of the hashed set of candidate terms that is broadcast: its size is bounded by this
+POSITIONS = 1 << 20  # of the hashed sets (candidate terms, copied texts) that are broadcast: their size is bounded by this
 
 # Each pattern finds what the plain one finds, from left to right; look-behinds and possessive counts only keep long
 # runs of letters or digits from being tried again at every offset.
@@ -108,21 +108,30 @@ def terms_near(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, F.array().cast(_TERM)).otherwise(F.filter(near, clear))
 
 
+def one_each(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns once for each _tl_copy; copies fall away within tasks first."""
+    return df.groupBy("_tl_copy").agg(*[F.first(c).alias(c) for c in columns])
+
+
 def disclosing(rows: DataFrame, texts: DataFrame, threshold: float, support: int) -> DataFrame:
-    """(entity, term) pairs over the threshold. rows: _tl_row, _tl_copy (its text's hash) and terms; texts: text.
+    """(entity, term) pairs over the threshold. rows: _tl_copy (its text's hash) and terms; texts: _tl_copy and text.
 
-    Words are counted within tasks first, and only those whose hash is a candidate's.
+    Words are counted within tasks first, and only those whose hash is a candidate's. Texts that have no copy stay where
+    they are; of the others (found by a hashed set, so perhaps a few more) one of each is taken.
     """
-    near = rows.where(F.size("terms") > 0).select("_tl_row", "_tl_copy", F.explode("terms").alias("t")).select("_tl_row", "_tl_copy", "t.entity", "t.term").distinct()
-    by_text = near.groupBy("entity", "term", "_tl_copy").agg(F.count("*").alias("n"))
-    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= support)
-    n_e = near.select("entity", "_tl_row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = cut(pairs.join(n_e, "entity"))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(POSITIONS))
+    copies = rows.groupBy("_tl_copy").agg(F.count("*").alias("n"))
+    near = one_each(rows.where(F.size("terms") > 0), "terms").select("_tl_copy", F.explode("terms").alias("t")).select("_tl_copy", "t.entity", "t.term").distinct()
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    n_e = near.select("entity", "_tl_copy").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = cut(pairs.join(n_e, "entity"))
+    copied = F.broadcast(copies.where("n > 1").select(place("_tl_copy").alias("place")).distinct())  # POSITIONS numbers at most
+    placed = texts.withColumn("place", place("_tl_copy"))
+    texts = placed.join(copied, "place", "left_anti").select("text").unionAll(one_each(placed.join(copied, "place", "left_semi"), "text").select("text"))
     maybe = F.broadcast(pairs.select(place("term").alias("place")).distinct())  # POSITIONS numbers at most
     words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+", -1))).alias("term")).where(F.length("term") >= 4)
     n_t = words.withColumn("place", place("term")).join(maybe, "place", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = rows.count()
+    n = copies.count()
     ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
     pmi = ic + F.log2(F.col("n_te") / F.col("n_t"))
     return pairs.join(n_t, "term").where((ic > 0) & (pmi >= threshold * ic)).select("entity", "term")
@@ -132,7 +141,8 @@ def pii_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     """One row per row of df: doc_id, base and spans (arrays of kind, start, end; spans: base and disclosing terms).
 
     Sorted by start, then kind as in KINDS; offsets are code points, ends exclusive. Null and empty texts have none. Rows
-    that repeat an id, or a text, each get their own. An empty table stays empty. Other columns are not read.
+    that repeat an id, or a text, each get their own; copies of a text count once in the corpus statistics. An empty
+    table stays empty. Other columns are not read.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("_tl_copy", F.xxhash64(t))
