@@ -107,6 +107,16 @@ def test_encoder_equals_tokenizer_on_odd_texts():
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
+
+def test_encoder_composes_before_it_lowers():
+    rnd = random.Random(6)
+    encoder = tokens.WordEncoder(public_tokenizers.path(tokens.VOCABULARY))
+    signs = [*"HJTWYAhjtwya ,.\u0331\u030c\u0308\u030a\u0323\u0301\u1dc2é", "H\u0331ayy", "J\u030c", "T\u0308", "W\u030a", "Y\u030a", "J\u1dc2\u030c"]
+    texts = ["H\u0331ayy", "J\u030c", *("".join(rnd.choice(signs) for _ in range(rnd.randrange(20))) for _ in range(3000))]
+    for t, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_period_is_pfair(spark):
     for shares in ([500, 300, 200], [273] + [36] * 20 + [7], [1, 999], [1000], [334, 333, 333]):
         rows = mixing.period(spark, shares, 1000).orderBy("slot").collect()

@@ -42,6 +42,8 @@ REMEMBERED = 600_000
 
 #: A word that ends in ASCII marks (no apostrophe: it can begin a token of letters) after a letter.
 _MARKED = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.S).fullmatch
+#: A capital with a combining mark (U+0300 to U+036F) on it, perhaps after other ones.
+_ACCENTED = re.compile(rb"[A-Z][\x80-\xff]*?(?:\xcc|\xcd[\x80-\xaf])").search
 
 
 #: Characters that stand for the bytes of a byte-level vocabulary: printable ones for themselves, the others from 256 up.
@@ -53,8 +55,9 @@ class WordEncoder:
     """Token ids of texts, each distinct word encoded once.
 
     The vocabulary drops white space and never joins across it, nor from a letter to a following mark, and case does not
-    matter to it; so ids of a text are those of its lower-cased words in turn. Texts that hold a special token's
-    string are encoded whole.
+    matter to it, but that it composes letters and marks first: some small letters have a composed form where the capital
+    has none. So ids of a text are those of its words in turn, lower-cased if no capital has a mark. Texts that hold a
+    special token's string are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -83,11 +86,18 @@ class WordEncoder:
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
             known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        """Words as they are known; of bytes: A-Z, and ASCII white space."""
+        if (b"\xcc" in text or b"\xcd" in text) and _ACCENTED(text):
+            return [w if _ACCENTED(w) else w.lower() for w in text.split()]
+        return text.lower().split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian uint32 bytes."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        split = [None if b"<|" in t else t.lower().split() for t in texts]  # of bytes: A-Z, and ASCII white space
+        split = [None if b"<|" in t else self._words(t) for t in texts]
         new: set[bytes] = set()
         for ws in split:
             new.update(ws or ())
