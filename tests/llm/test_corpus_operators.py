@@ -256,6 +256,26 @@ def test_copies_of_a_text_do_not_hide_a_term(spark):
     assert {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in out} == {0: ["zebraterm"], 1: ["zebraterm"]}
 
 
+
+def test_disclosing_terms_are_found_at_any_length_and_place(spark):
+    far = " filler" * 40
+    texts = [f"ask Lee or 李明 a@b.co{far} Farname end", f"from Farname{far} a@b.co by lee and 李明, also lee", "no value, only LEE here and farname", "alone é a@c.coé 1.2.3.4", *(f"filler text {i} or by no ask" for i in range(200))]
+    out = pii.pii_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("doc_id < 5").collect()
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in out}
+    assert got == {0: ["Lee", "李明", "Farname"], 1: ["Farname", "lee", "李明", "lee"], 2: ["LEE", "farname"], 3: [], 4: []}
+
+
+def test_masked_blanks_base_spans_only(spark):
+    texts = dict(enumerate(t or "" for t in brute.corpus(4, 60).values())) | {100: "x@y.z é +1 (555) 123-4567 1.2.3.4 4111 1111 1111 1111a@b.c"}
+    found = spark.createDataFrame(list(texts.items()), "doc_id long, text string").select("doc_id", "text", pii.base_spans(F.col("text")).alias("found"))
+    rows = found.select("doc_id", pii.masked(F.col("text"), F.col("found")).alias("m")).collect()
+    for r in rows:
+        want = list(texts[r["doc_id"]])
+        for _, s, e in brute.personal(texts[r["doc_id"]]):
+            want[s:e] = " " * (e - s)
+        assert r["m"] == "".join(want)
+
+
 def test_simhash(spark, docs, df, empty):
     assert all(simhash.fingerprint(t) & (2**64 - 1) == brute.simhash(t) for t in docs.values())
     rows = simhash.near_duplicates(df).collect()

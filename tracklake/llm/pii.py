@@ -1,10 +1,11 @@
 """Personal data: patterns, and terms that disclose them by co-occurrence. Built-in functions only.
 
-Patterns give the base spans. A base span's text is a protected entity; the words around it are terms. Over the corpus,
+Patterns give the base spans. A base span's text is a protected entity; the words of its document are terms, whatever
+their length or place. Over the corpus,
     PMI(t, e) = log2(n(t, e) N / (n(t) n(e)))     IC(e) = log2(N / n(e))
-with n and N counting different texts (exact copies count once): n(t, e) where t stands near e, n(e) where e has a term
-near, n(t) where t stands anywhere. A term discloses an entity if PMI reaches THRESHOLD of the entity's whole information
-IC in SUPPORT texts or more; where it stands near that entity it is a span of kind `term`, generalised to a mark in the
+with n and N counting different texts (exact copies count once): n(t, e) with both, n(e) with e, n(t) with t.
+A term discloses an entity if PMI reaches THRESHOLD of the entity's whole information IC in SUPPORT texts or more; wherever
+it stands in the corpus, beside the entity or without it, it is a span of kind `term`, generalised to a mark in the
 sanitised text.
 """
 
@@ -16,10 +17,9 @@ from pyspark.sql import functions as F
 from tracklake.llm.common import cut, let
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 64  # code points on either side of a span
 THRESHOLD = 0.9
 SUPPORT = 2
-POSITIONS = 1 << 20  # of the hashed sets (candidate terms, copied texts) that are broadcast: their size is bounded by this
+POSITIONS = 1 << 20  # of the hashed sets (entities, terms, copied texts) that are broadcast: their size is bounded by this
 
 # Each pattern finds what the plain one finds, from left to right; look-behinds and possessive counts only keep long
 # runs of letters or digits from being tried again at every offset.
@@ -29,7 +29,7 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 _SPAN = "array<struct<start:int,k:int,end:int,value:string>>"
-_TERM = "array<struct<entity:string,term:string,start:int,end:int>>"
+WORD = r"\p{L}++"
 
 
 def running_sum(lengths: Column, block: int = 256) -> Column:
@@ -83,29 +83,38 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*each))
 
 
-def terms_near(text: Column, spans: Column) -> Column:
-    """(entity, term, start, end) of the words of 4 letters or more within CONTEXT of a base span, whole words only."""
-    word = r"\p{L}{4,}+"
-    entity = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["k"] + 1), F.lower(s["value"]))
+def entity(span: Column) -> Column:
+    return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), span["k"] + 1), F.lower(span["value"]))
 
-    def side(s: Column, start: Column, length: Column, cut_left: Column, cut_right: Column) -> Column:
-        def words(c: Column) -> Column:
-            whole = lambda m: ~(cut_left & (m["start"] == 0)) & ~(cut_right & (m["end"] == F.length(c)))
-            return F.transform(F.filter(matches(c, word, F.lit(True)), whole), lambda m: F.struct(
-                entity(s).alias("entity"), F.lower(m["value"]).alias("term"), (start + m["start"]).alias("start"), (start + m["end"]).alias("end")))
 
-        return let(F.substring(text, start + 1, length), words)
+def masked(text: Column, spans: Column, kinds: int = len(KINDS) - 1) -> Column:
+    """The text with base spans blanked, of the same length; spans of one kind lie one after the other."""
+    def blanked(t: Column, own: Column) -> Column:
+        def pieces(a: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.get(a, i - 1)["end"]).otherwise(0)
+            return F.transform(a, lambda s, i: F.concat(F.substring(t, before(i) + 1, s["start"] - before(i)), F.repeat(F.lit(" "), s["end"] - s["start"])))
 
-    def both(s: Column) -> Column:
-        left = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        return F.concat(
-            side(s, left, s["start"] - left, left > 0, F.lit(False)),
-            side(s, s["end"], F.lit(CONTEXT), F.lit(False), s["end"] + CONTEXT < F.length(text)),
-        )
+        whole = lambda a: F.concat(F.array_join(pieces(a), ""), F.substring(t, F.element_at(a, -1)["end"] + 1, F.length(t)))
+        return let(own, lambda a: F.when(F.size(a) == 0, t).otherwise(whole(a)))
 
-    near = F.flatten(F.transform(spans, both))
-    clear = lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    return F.when(F.size(spans) == 0, F.array().cast(_TERM)).otherwise(F.filter(near, clear))
+    def step(t: Column, k: int) -> Column:
+        return t if k == kinds else let(blanked(t, F.filter(spans, lambda s: s["k"] == k)), lambda r: step(r, k + 1))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(text, lambda t: step(t, 0)))
+
+
+def words_of(text: Column) -> Column:
+    """Distinct lower-cased words."""
+    return F.array_distinct(F.transform(F.split(text, r"[^\p{L}]+", -1), lambda w: F.lower(w)))
+
+
+def place(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(POSITIONS))
+
+
+def places(df: DataFrame, c: str) -> DataFrame:
+    """The hashed set of a column's values, to be broadcast: POSITIONS numbers at most."""
+    return F.broadcast(df.select(place(c).alias("place")).distinct())
 
 
 def one_each(df: DataFrame, *columns: str) -> DataFrame:
@@ -113,24 +122,24 @@ def one_each(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy("_tl_copy").agg(*[F.first(c).alias(c) for c in columns])
 
 
-def disclosing(rows: DataFrame, texts: DataFrame, threshold: float, support: int) -> DataFrame:
-    """(entity, term) pairs over the threshold. rows: _tl_copy (its text's hash) and terms; texts: _tl_copy and text.
+def disclosing(rows: DataFrame, threshold: float, support: int) -> DataFrame:
+    """(entity, term) pairs over the threshold. rows: _tl_copy (its text's hash), text, and entities and terms of the text.
 
     Words are counted within tasks first, and only those whose hash is a candidate's. Texts that have no copy stay where
-    they are; of the others (found by a hashed set, so perhaps a few more) one of each is taken.
+    they are; of the others (found by a hashed set, so perhaps a few more) one of each is taken. Entities of fewer than
+    support texts can have no pair, so most are gone before pairs are made.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(POSITIONS))
     copies = rows.groupBy("_tl_copy").agg(F.count("*").alias("n"))
-    near = one_each(rows.where(F.size("terms") > 0), "terms").select("_tl_copy", F.explode("terms").alias("t")).select("_tl_copy", "t.entity", "t.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    n_e = near.select("entity", "_tl_copy").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    near = cut(one_each(rows.where(F.size("entities") > 0), "entities", "terms"))
+    n_e = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    wanted = near.select(F.explode("entities").alias("entity"), "terms").withColumn("place", place("entity")).join(places(n_e, "entity"), "place", "left_semi")
+    pairs = wanted.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
     pairs = cut(pairs.join(n_e, "entity"))
-    copied = F.broadcast(copies.where("n > 1").select(place("_tl_copy").alias("place")).distinct())  # POSITIONS numbers at most
-    placed = texts.withColumn("place", place("_tl_copy"))
+    placed = rows.select("_tl_copy", "text", place("_tl_copy").alias("place"))
+    copied = places(copies.where("n > 1"), "_tl_copy")
     texts = placed.join(copied, "place", "left_anti").select("text").unionAll(one_each(placed.join(copied, "place", "left_semi"), "text").select("text"))
-    maybe = F.broadcast(pairs.select(place("term").alias("place")).distinct())  # POSITIONS numbers at most
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+", -1))).alias("term")).where(F.length("term") >= 4)
-    n_t = words.withColumn("place", place("term")).join(maybe, "place", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    words = texts.select(F.explode(words_of(F.col("text"))).alias("term"))
+    n_t = words.withColumn("place", place("term")).join(places(pairs, "term"), "place", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     n = copies.count()
     ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
     pmi = ic + F.log2(F.col("n_te") / F.col("n_t"))
@@ -144,14 +153,15 @@ def pii_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     that repeat an id, or a text, each get their own; copies of a text count once in the corpus statistics. An empty
     table stays empty. Other columns are not read.
     """
-    t = F.coalesce(F.col("text"), F.lit(""))
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("_tl_copy", F.xxhash64(t))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_tl_row"), "_tl_copy", *(["text"] if keep_text else []), base_spans(t).alias("_tl_base"), t.alias("_tl_text"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_tl_row"), F.xxhash64("text").alias("_tl_copy"), "text", base_spans(F.col("text")).alias("_tl_base"))
     base = F.transform("_tl_base", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
-    rows = cut(rows.select(*[c for c in rows.columns if c not in ("_tl_base", "_tl_text")], base.alias("found"), terms_near(F.col("_tl_text"), F.col("_tl_base")).alias("terms")))
-    flagged = disclosing(rows, docs, threshold, support)
-    near = rows.where(F.size("terms") > 0).select("_tl_row", F.explode("terms").alias("t")).select("_tl_row", "t.*")
-    added = near.join(flagged, ["entity", "term"]).groupBy("_tl_row").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("k"), "end")).alias("added"))
+    terms = F.when(F.size("_tl_base") == 0, F.array().cast("array<string>")).otherwise(F.array_remove(words_of(masked(F.col("text"), F.col("_tl_base"))), ""))
+    rows = cut(rows.select("doc_id", "_tl_row", "_tl_copy", "text", base.alias("found"), F.array_distinct(F.transform("_tl_base", entity)).alias("entities"), terms.alias("terms")))
+    flagged = cut(disclosing(rows, threshold, support).select("term").distinct())
+    hits = rows.select("_tl_row", F.explode(matches(masked(F.col("text"), F.col("found")), WORD, F.lit(True))).alias("m")).select("_tl_row", F.lower("m.value").alias("term"), "m.start", "m.end")
+    hits = hits.withColumn("place", place("term")).join(places(flagged, "term"), "place", "left_semi").join(flagged, "term", "left_semi")
+    added = hits.groupBy("_tl_row").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("k"), "end")).alias("added"))
     names = lambda a: F.transform(a, lambda p: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), p["k"] + 1).alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
     spans = F.when(F.col("added").isNull(), F.col("found")).otherwise(F.sort_array(F.concat("found", "added")))
     out = rows.join(added, "_tl_row", "left")
