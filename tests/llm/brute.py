@@ -139,5 +139,38 @@ def secrets(t):
     return [(k, s, e) for s, _, e, k in sorted(rows)]
 
 
+def linked_secrets(t, scope=200):
+    """Base spans, and weak parts with a part of every role they need, of other characters, that starts within scope."""
+    t = t or ""
+    base = secrets(t)
+    finds = {
+        "client": (r"""(?ai)(?:user(?:_?name)?|login|client_?id|account|access_?key_?id)["']?\x20*[:=]\x20*["']?(?!https?:)[A-Za-z0-9@._-]{3,}""", "id"),
+        "mailbox": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", "id"),
+        "endpoint": (r"""https?://[^\s"'<>|]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])""", "endpoint"),
+        "opaque": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", "secret"),
+    }
+    used, chosen = set(), []
+    for kind, role in (("access", "id"), ("assign", "secret"), ("hex", "secret")):
+        for k, s, e in base:
+            if k == kind and not used & set(range(s, e)):
+                chosen.append((k, s, e, role))
+        used |= {i for k, s, e in base if k == kind for i in range(s, e)}
+    for kind, (pattern, role) in finds.items():
+        mine = [m for m in re.finditer(pattern, t) if not used & set(range(*m.span()))]
+        if kind == "opaque":
+            bits = lambda x: -sum(n / len(x) * np.log2(n / len(x)) for n in Counter(x).values())
+            mine = [m for m in mine if bits(m[0]) >= 3 and re.search("[0-9]", m[0]) and any(c.isalpha() for c in m[0])]
+        chosen += [(kind, *m.span(), role) for m in mine]
+        used |= {i for m in mine for i in range(*m.span())}
+    out = list(base)
+    for kind, s, e, role in chosen:
+        near = {r for _, s2, _, r in chosen if abs(s2 - s) <= scope}
+        needs = {"id": {"secret"}, "secret": {"id"}, "endpoint": {"id", "secret"}}[role]
+        if kind in finds and needs <= near:
+            out.append((kind, s, e))
+    order = ["assign", "access", "hex", "client", "opaque", "endpoint", "mailbox"]
+    return sorted(out, key=lambda x: (x[1], order.index(x[0])))
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()

@@ -1,16 +1,18 @@
 """Secret scans with multipart credential linking.
 
-A credential has parts: an identifier (access key id, client or user name), a secret and an endpoint. Strong parts are
-reported as they are. Weak ones (a client name, an opaque token, an endpoint) are common in clean text and are reported
-only if the parts that complete them start within the same scope: an identifier and a secret for each other, both for an
-endpoint. Extraction is a small function on a text; linking joins each part with the interval around it by Spark's
-range-framed windows, so a text with very many parts makes no pairs.
+A credential has parts: an identifier (access key id, client or user name, mailbox), a secret and an endpoint. Strong
+parts are reported as they are. Weak ones (a client name, a mailbox, an opaque token, an endpoint) are common in clean
+text and are reported only if the parts that complete them start within the same scope: an identifier and a secret for
+each other, both for an endpoint. Parts that are linked share no character, so nothing completes itself. Extraction is a
+small function on a text; linking joins each part with the interval around it by Spark's range-framed windows, so a text
+with very many parts makes no pairs.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,14 +23,17 @@ from pyspark.sql import functions as F
 from tracklake.llm.common import cut, small_batches
 
 #: Span kinds in the order in which spans of equal start are listed; the first three are the base ones.
-KINDS = ("assign", "access", "hex", "client", "opaque", "endpoint")
-ROLES = {"assign": "secret", "access": "id", "hex": "secret", "client": "id", "opaque": "secret", "endpoint": "endpoint"}
+KINDS = ("assign", "access", "hex", "client", "opaque", "endpoint", "mailbox")
+ROLES = {"assign": "secret", "access": "id", "hex": "secret", "client": "id", "opaque": "secret", "endpoint": "endpoint", "mailbox": "id"}
+#: Of parts that share characters the first in this order is linked.
+FIRST = ("access", "assign", "hex", "client", "mailbox", "endpoint", "opaque")
 SCOPE = 200  # code points between the starts of parts of one credential
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ of 24 characters or more
-CLIENT = re.compile(r"""(?:user(?:_?name)?|login|client_?id|account|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.A | re.I)
+CLIENT = re.compile(r"""(?:user(?:_?name)?|login|client_?id|account|access_?key_?id)["']?\x20*[:=]\x20*["']?(?!https?:)[A-Za-z0-9@._-]{3,}""", re.A | re.I)
+MAILBOX = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""https?://[^\s"'<>|]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])""")
 
@@ -42,37 +47,57 @@ def opaque(token: str) -> bool:
     return bits >= 3 and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
-def parts(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the parts in a text. Weak parts that touch a base span are left out."""
+def parts(text: str | None) -> list[tuple[str, int, int, bool]]:
+    """(kind, start, end, linked) of the parts in a text: all base spans, and the weak ones that touch none found before.
+
+    Those that are linked share no character with one another: of base spans, too, only the first in the order of FIRST is.
+    """
     if not text:
         return []
     raw = text.encode("utf-8", "surrogatepass")
     low = raw.lower()  # of bytes: A-Z only
-    base: list[tuple[str, int, int]] = []
+    found: dict[str, list[tuple[int, int]]] = {k: [] for k in FIRST}
     if any(k in low for k in (b"passw", b"secret", b"token", b"apikey", b"api_key")):
-        base += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found["assign"] = [m.span() for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if b"AKIA" in raw:
-        base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+        found["access"] = [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     if b"x" * 24 in raw.translate(_HEX_BYTES):
-        base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    clients = [("client", m.start(), m.end()) for m in CLIENT.finditer(text)] if any(k in low for k in (b"user", b"login", b"client", b"account", b"access")) else []
-    weak = clients
-    if clients or any(ROLES[k] == "id" for k, _, _ in base):  # without an identifier no other weak part can be linked
-        weak += [("opaque", m.start(), m.end()) for m in OPAQUE.finditer(text) if opaque(m[0])]
-        weak += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    taken = sorted((s, e) for _, s, e in base)
-    return base + [w for w in weak if not _touches(taken, w[1], w[2])]
-
-
-def _touches(spans: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e in spans) if len(spans) < 50 else _touches_sorted(spans, start, end)
-
-
-def _touches_sorted(spans: list[tuple[int, int]], start: int, end: int) -> bool:
-    from bisect import bisect_left
-
-    at = bisect_left(spans, (end, -1))
-    return any(e > start for _, e in spans[max(0, at - 8) : at])
+        found["hex"] = [m.span() for m in HEX.finditer(text)]
+    if any(k in low for k in (b"user", b"login", b"client", b"account", b"access")):
+        found["client"] = [m.span() for m in CLIENT.finditer(text)]
+    if b"@" in raw:
+        found["mailbox"] = [m.span() for m in MAILBOX.finditer(text)]
+    if found["access"] or found["client"] or found["mailbox"]:  # without an identifier no other weak part can be linked
+        found["opaque"] = [m.span() for m in OPAQUE.finditer(text) if opaque(m[0])]
+        found["endpoint"] = [m.span() for m in ENDPOINT.finditer(text)]
+    taken: list[tuple[int, int]] = []  # disjoint, in order
+    out = []
+    for kind in FIRST:
+        free = apart(found[kind], taken)
+        base = kind in KINDS[:3]
+        out += [(kind, s, e, ok) for (s, e), ok in zip(found[kind], free, strict=True) if ok or base]
+        taken = united(taken + [x for x, ok in zip(found[kind], free, strict=True) if ok or base])
+    return out
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The characters of the spans as disjoint ones, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def apart(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[bool]:
+    """Whether each span shares no character with any taken one; the taken ones are disjoint and in order."""
+    def touches(start: int, end: int) -> bool:
+        before = bisect_left(taken, (end,)) - 1  # the last that starts before the end: those before it end earlier still
+        return before >= 0 and taken[before][1] > start
+
+    return [not touches(*x) for x in spans]
 
 
 def secret_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -83,17 +108,17 @@ def secret_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scop
     """
     small_batches(df.sparkSession)
     source = df.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("_tl_row"), F.col(text).alias("text"))
-    span = pa.struct([("start", pa.int64()), ("k", pa.int32()), ("end", pa.int64())])
+    span = pa.struct([("start", pa.int64()), ("k", pa.int32()), ("end", pa.int64()), ("linked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted((s, KINDS.index(k), e) for k, s, e in parts(t.as_py())) for t in b.column("text")]
-            rows = pa.array([[{"start": s, "k": k, "end": e} for s, k, e in x] for x in found], pa.list_(span))
+            found = [sorted((s, KINDS.index(k), e, ok) for k, s, e, ok in parts(t.as_py())) for t in b.column("text")]
+            rows = pa.array([[{"start": s, "k": k, "end": e, "linked": ok} for s, k, e, ok in x] for x in found], pa.list_(span))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_tl_row"), rows], ["doc_id", "_tl_row", "parts"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows = cut(source.mapInArrow(run, f"doc_id {kind}, _tl_row long, parts array<struct<start:bigint,k:int,end:bigint>>"))
-    each = rows.where(F.exists("parts", lambda p: p["k"] > 2)).select("_tl_row", F.explode("parts").alias("p"))
+    rows = cut(source.mapInArrow(run, f"doc_id {kind}, _tl_row long, parts array<struct<start:bigint,k:int,end:bigint,linked:boolean>>"))
+    each = rows.where(F.exists("parts", lambda p: p["k"] > 2)).select("_tl_row", F.explode("parts").alias("p")).where("p.linked")
     near = Window.partitionBy("_tl_row").orderBy("p.start").rangeBetween(-scope, scope)
     roles = F.array(*[F.lit(ROLES[k]) for k in KINDS])
     role = F.element_at(roles, F.col("p.k") + 1)
