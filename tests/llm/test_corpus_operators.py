@@ -129,37 +129,73 @@ def test_encoder_composes_before_it_lowers():
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
-def test_period_is_pfair(spark):
-    for shares in ([500, 300, 200], [273] + [36] * 20 + [7], [1, 999], [1000], [334, 333, 333]):
-        rows = mixing.period(spark, shares, 1000).orderBy("slot").collect()
-        had = [0] * len(shares)
-        for r in rows:
-            assert r["nth"] == had[r["stream"]]
+def test_schedule_is_pfair(spark):
+    for shares in ([500, 300, 200], [273] + [36] * 20 + [7], [1, 2499], [1], [334, 333, 333], [3, 1, 1]):
+        rows = mixing.schedule(spark, shares, 2 * sum(shares), chunk=100).orderBy("slot").collect()
+        had, total = [0] * len(shares), sum(shares)
+        for t, r in enumerate(rows):
+            assert r["slot"] == t and r["nth"] == had[r["stream"]]
+            assert r["nth"] * total // shares[r["stream"]] <= t < -(-(r["nth"] + 1) * total // shares[r["stream"]])
             had[r["stream"]] += 1
-            assert all(abs(h - q * (r["slot"] + 1) / 1000) < 1 for h, q in zip(had, shares, strict=True))
-        assert had == shares
+            assert all(abs(h * total - q * (t + 1)) < total for h, q in zip(had, shares, strict=True))
+        assert had == [2 * q for q in shares]
+
+
+def test_whole_shares():
+    assert mixing.whole_shares([0.9996, 0.0004]) == [2499, 1] and mixing.whole_shares([1 / 3, 2 / 3]) == [1, 2] and mixing.whole_shares([4, 2]) == [2, 1]
+    odd = mixing.whole_shares([0.1234567890123457, 0.7654321098765432, 1e-15])
+    assert min(odd) >= 1 and sum(odd) <= mixing.MOST_SHARES + 3 and abs(odd[0] / sum(odd) - 0.1234567890123457 / 0.8888888988888889) < 1e-9
+
+
+def pfair(out, block_rows):
+    """Slots are unique to a block, in its window, and no source is a block away from its share at any slot."""
+    slots, streams = {}, {}
+    for r in out:
+        assert r["_tl_block"] == r["_tl_rank"] // block_rows and (r["_tl_slot"] is not None) == r["_tl_mixed"]
+        if r["_tl_mixed"]:
+            assert r["_tl_release"] <= r["_tl_slot"] < r["_tl_deadline"]
+            slots.setdefault(r["_tl_slot"], set()).add((r["source"], r["_tl_block"]))
+        streams.setdefault(r["_tl_stream"], []).append(r["_tl_rank"])
+    assert all(len(x) == 1 for x in slots.values()) and sorted(slots) == list(range(len(slots)))
+    assert all(sorted(x) == list(range(len(x))) for x in streams.values())
+    return [next(iter(slots[t]))[0] for t in range(len(slots))]
 
 
 def test_mixing(spark, empty):
-    rows = [(i, ["big", "big", "big", "a", "b", None][i % 6]) for i in range(3000)]
+    rows = [(i, ["big", "big", "big", "a", "b", None][i % 6]) for i in range(3000)] + [(5, "a"), (None, "big"), (None, "big"), (9000, "one")]
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("rank", F.lit("mine"))
     out = mixing.mix(df, block_rows=8).collect()
-    assert len(out) == 3000 and {r["rank"] for r in out} == {"mine"}
-    by = {}
-    for r in out:
-        assert r["_tl_release"] <= r["_tl_slot"] < r["_tl_deadline"]
-        by.setdefault(r["source"], []).append(r)
-    for rs in by.values():
-        assert sorted(r["_tl_rank"] for r in rs) == list(range(len(rs)))
-        assert all(r["_tl_block"] == r["_tl_rank"] // 8 for r in rs)
-    assert sum(r["_tl_mixed"] for r in by["big"]) == 750 and all(r["_tl_mixed"] for s in ("a", "b", None) for r in by[s])
-    slots = {}
-    for r in out:
-        slots.setdefault(r["_tl_slot"], set()).add((r["source"], r["_tl_block"]))
-    assert all(len(x) == 1 for x in slots.values())
-    given = mixing.mix(df, weights={"a": 3, None: 1}, block_rows=8).where("_tl_mixed").groupBy("source").count().collect()
-    assert {r["source"]: r["count"] for r in given} == {"a": 500, None: 166}
-    assert mixing.keep_mixed(df).columns == df.columns and mixing.mix(empty).count() == 0
+    assert len(out) == len(rows) and {r["rank"] for r in out} == {"mine"} and all(r["_tl_mixed"] for r in out)
+    order = pfair(out, 8)
+    blocks = {s: order.count(s) for s in order}
+    assert blocks == {"big": 188, "a": 63, "b": 63, None: 63, "one": 1}
+    for t in range(len(order)):
+        assert all(abs(order[: t + 1].count(s) - n * (t + 1) / len(order)) < 1 for s, n in blocks.items())
+    kept = mixing.keep_mixed(df)
+    assert kept.columns == df.columns and kept.count() == len(rows) and mixing.mix(empty).count() == 0
+    assert mixing.mix(df, weights={"a": 1, "nowhere": 2}).where("_tl_mixed").count() == 0 and mixing.mix(df, weights={}).where("_tl_mixed").count() == 0
+
+
+@pytest.mark.parametrize("weights", [{"a": 3, None: 1}, {"big": 0.9996, "b": 0.0004}, {"big": 1 / 3, "a": 2 / 3, "b": 0}, {"big": 1e-4, "a": 0.7}])
+def test_mixing_to_given_weights(spark, weights):
+    rows = [(i, ["big", "big", "big", "a", "b", None][i % 6]) for i in range(30_000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_rows=4).collect()
+    assert len(out) == len(rows)
+    order = pfair(out, 4)
+    target = {k: w / sum(weights.values()) for k, w in weights.items() if w}
+    assert set(order) <= set(target)
+    for t in range(0, len(order), 97):
+        assert all(abs(order[:t].count(s) - w * t) < 1 for s, w in target.items())
+    # the mix ends when a source has given all its rows
+    n = {s: sum(1 for r in out if r["source"] == s) for s in target}
+    assert any(sum(r["_tl_mixed"] for r in out if r["source"] == s) == n[s] for s in target)
+
+
+def test_mixed_rows_lie_in_the_order_of_the_mix(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(2000)], "doc_id long, source string")
+    slot = {r["doc_id"]: (r["_tl_slot"], r["_tl_rank"]) for r in mixing.mix(df).collect()}
+    ids = [r["doc_id"] for r in mixing.keep_mixed(df).collect()]
+    assert [slot[i] for i in ids] == sorted(slot.values())
 
 
 @pytest.mark.parametrize("how", ["bitmap", "join", "crowded"])

@@ -68,21 +68,19 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from failed left join near using (doc_id)"""
 
 
-Q, B = mixing.RESOLUTION, mixing.BLOCK_ROWS
-#: For tables in which no source has under 1 / resolution of the rows.
+#: Every source at its own share of the blocks. `had` is the blocks that each source has had before slot t.
 MIXING = f"""
-with recursive src as (select doc_id, source, coalesce(source, ' none') as s from documents), n as (select s, count(*) as n from src group by 1), tot as (select sum(n) as t, count(*) as k from n),
- quota as (select s, least(n, cast(floor(greatest({mixing.MAX_SHARE}e0, 1e0 / k) * t) as bigint)) as q from n, tot),
- exact as (select s, q, q * {Q} / cast(sum(q) over () as double) as e, row_number() over (order by s) - 1 as k from quota),
- share as (select *, cast(floor(e) as bigint) + case when row_number() over (order by floor(e) - e, k) <= {Q} - sum(floor(e)) over () then 1 else 0 end as w from exact),
- shares as (select list(w order by k) as w from share),
- slot as (select 0 as t, list_transform(w, lambda x: 0) as had, -1 as pick from shares
+with recursive src as (select doc_id, source, coalesce(source, ' none') as s from documents),
+ size as (select greatest({mixing.BLOCK_ROWS}, cast(ceil(count(*) / {mixing.MOST_SLOTS}e0) as bigint)) as b from documents),
+ n as (select s, row_number() over (order by s) - 1 as k, (count(*) + any_value(b) - 1) // any_value(b) as blocks from src, size group by s),
+ shares as (select list(blocks // g order by k) as w, cast(sum(blocks // g) as bigint) as q from n, (select list_reduce(list(blocks), lambda x, y: gcd(x, y)) as g from n) d),
+ slot as (select cast(0 as bigint) as t, list_transform(w, lambda x: cast(0 as bigint)) as had, cast(-1 as bigint) as pick from shares
   union all select t + 1, list_transform(had, lambda h, i: h + case when i - 1 = p then 1 else 0 end), p from (
-   select t, had, list_min(list_filter(list_transform(w, lambda x, i: case when x > 0 and had[i] < x and had[i] * {Q} // x <= t then {{'d': (had[i] + 1) * {Q} // x + case when (had[i] + 1) * {Q} % x > 0 then 1 else 0 end, 'k': i - 1}} end), lambda c: c is not null)).k as p from slot, shares where t < {Q}) x),
+   select t, had, list_min(list_filter(list_transform(w, lambda x, i: case when had[i] * q // x <= t then {{'d': ((had[i] + 1) * q + x - 1) // x, 'k': i - 1}} end), lambda c: c is not null)).k as p from slot, shares where t < q) x),
  period as (select pick as k, row_number() over (partition by pick order by t) - 1 as j, t - 1 as slot from slot where t > 0),
  ranked as (select doc_id, source, s, row_number() over (partition by s order by substr(md5(cast(doc_id as varchar)), 1, 3), doc_id) - 1 as rank from src),
- b as (select doc_id, source, rank, rank // {B} as block, q, w, k, rank // {B} // w as cycle, rank // {B} % w as j from ranked join share using (s))
-select doc_id, source, rank, block, cycle * {Q} + slot as slot, cycle * {Q} + j * {Q} // w as release, cycle * {Q} + (j + 1) * {Q} // w + case when (j + 1) * {Q} % w > 0 then 1 else 0 end as deadline, rank < q as mixed from b join period using (k, j)"""
+ b as (select doc_id, source, rank, rank // b as block, q, k, w[k + 1] as w from ranked join n using (s), size, shares)
+select doc_id, source, rank, block, block // w * q + slot as slot, block * q // w as release, ((block + 1) * q + w - 1) // w as deadline, true as mixed from b join period on b.k = period.k and block % w = j"""
 
 ORACLES: dict[str, str] = {
     "op3_source_mixing": MIXING,
