@@ -251,16 +251,54 @@ def test_language_id(spark, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    pieces = ["▁", "a", "b", "▁a", "ab", "▁ab"]
-    p = np.random.default_rng(1).random((6, 2))
-    at = {x: i for i, x in enumerate(pieces)}
-
-    def total(s):
-        return np.ones(2) if not s else sum(p[at[s[:n]]] * total(s[n:]) for n in range(1, min(3, len(s)) + 1) if s[:n] in at)
-
-    words = ["ab", "a", "abab", "bbab"]
-    assert np.allclose(np.exp(language_id.Scorer(pieces, p).forward(words)), [total("▁" + w) for w in words])
+def cuts(s, pieces, longest):
+    """All ways to cut s into pieces; a letter that is none counts as one."""
+    if not s:
+        yield []
+    for n in range(1, min(longest, len(s)) + 1):
+        if s[:n] in pieces or n == 1:
+            yield from ([s[:n], *rest] for rest in cuts(s[n:], pieces, longest))
+
+
+def test_forward_and_expected_counts_sum_all_segmentations():
+    names = ["▁", "a", "b", "▁a", "ab", "▁ab", "abab", "bab"]
+    p = np.random.default_rng(1).random((8, 2))
+    at = {x: i for i, x in enumerate(names)}
+    words, weights = ["ab", "a", "abab", "bbab", "axb", "babababab"], np.array([1.0, 2, 1, 3, 1, 1])
+    value = lambda x, g: p[at[x], g] if x in at else language_id.UNKNOWN
+    ways = {w: [(c, [np.prod([value(x, g) for x in c]) for g in range(2)]) for c in cuts("▁" + w, at, 4)] for w in words}
+    total = {w: np.sum([v for _, v in ways[w]], axis=0) for w in words}
+    assert np.allclose(np.exp(language_id.Scorer(names, p).forward(words)), [total[w] for w in words])
+    for g in range(2):
+        want = np.zeros(10)
+        for w, n in zip(words, weights, strict=True):
+            for c, v in ways[w]:
+                for x in c:
+                    want[at.get(x, 9)] += n * v[g] / total[w][g]
+        with np.errstate(divide="ignore"):
+            log_p = np.log(np.concatenate([p[:, g], [0, language_id.UNKNOWN]]))
+        assert np.allclose(language_id.expected_counts(language_id.Pieces(names), log_p, words, weights), want)
+
+
+def test_forward_of_long_and_unknown_words_is_finite():
+    pieces = language_id.vocabulary_pieces(public_tokenizers.path(language_id.VOCABULARY))
+    p = np.full((len(pieces), 2), 1e-7)
+    p[pieces.index("a")] = 0.1, 0.2
+    scores = language_id.Scorer(pieces, p).forward(["Ꭰ" * 200, "a" * 3000, "aᏣ" * 1500])
+    assert np.isfinite(scores).all() and scores[1, 1] > scores[1, 0]
+    known, alpha, word = set(pieces), [0.0], "▁" + "a" * 3000
+    for i in range(1, len(word) + 1):
+        ways = [alpha[i - n] + np.log(0.2 if word[i - n : i] == "a" else 1e-7 if word[i - n : i] in known else language_id.UNKNOWN) for n in range(1, min(i, 16) + 1) if n == 1 or word[i - n : i] in known]
+        alpha.append(np.logaddexp.reduce(ways))
+    assert abs(scores[1, 1] - alpha[-1]) < 1e-6
+
+
+def test_language_scores_lie_in_0_1(spark):
+    rows = [(i, LANGUAGES[g], g) for i, g in enumerate(["aa", "bb", "cc"] * 20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = ["Ꭰ" * 200, "Ꭰ" * 40, "x" * 20_000, "中文 " * 5000, "the " * 30_000, "internationalunderstanding" * 9]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()
+    assert all(0 <= r["score"] <= 1 and r["lang_pred"] in LANGUAGES for r in got)
 
 
 def test_decontamination(spark, docs, df, empty):
