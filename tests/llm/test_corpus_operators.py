@@ -419,13 +419,35 @@ def test_quality_divergence_rejects_what_is_unlike_any_language(spark):
     assert all(got[i] for i in range(60)) and not got[100] and not got[101]
 
 
+def test_quality_keeps_clean_documents_of_any_language(spark):
+    rnd = random.Random(5)
+    say = lambda vocabulary, n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    english = [*"the of and to in a that is".split(), *(f"{a}{b}le" for a in "bcdfg" for b in "aeiou")]
+    italian = [*"di che la il un per non una".split(), *(f"{a}{b}tto" for a in "bcdfg" for b in "aeiou")]
+    chinese = [*"的 是 不 了 在 人 有".split(), *(chr(0x4E00 + rnd.randrange(2000)) * 2 for _ in range(30))]
+    rows = [(i, say(v, 160), g) for v, g, at in ((english, "en", 0), (italian, "it", 100), (chinese, "zh", 200)) for i in range(at, at + 50)]
+    rows += [(300, say(chinese, 160), None), (301, say(["βδε", "ζηθ", "ικλ", "μνξ"] + [f"ο{a}{b}" for a in "αβγδ" for b in "εζηθ"], 160), "el"), (302, say([f"{a}#{b}|{a}" for a in "$%&" for b in "*<>"], 160), None)]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [i for i, r in got.items() if not r["kept"]] == [302]  # el has one document: too little for a reference, so no rejection
+    assert got[300]["word_distance"] < 0.2 < got[301]["word_distance"]
+    assert quality_rules.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("lang = 'it'"), top=3)
+
+
 def test_jensen_shannon(spark):
-    p, q = [3, 1, 0, 4], [0.1, 0.4, 0.3, 0.2]
-    got = spark.range(1).select(quality_rules.jensen_shannon(F.array(*map(F.lit, p)), q).alias("d")).first()["d"]
-    x = np.array(p) / 8
-    m = (x + q) / 2
-    kl = lambda a: sum(v * np.log2(v / w) for v, w in zip(a, m, strict=True) if v > 0)
-    assert abs(got - np.sqrt((kl(x) + kl(q)) / 2)) < 1e-12
+    def plain(p, q):
+        x = np.array(p) / sum(p)
+        m = (x + q) / 2
+        kl = lambda a: sum(v * np.log2(v / w) for v, w in zip(a, m, strict=True) if v > 0)
+        return np.sqrt((kl(x) + kl(q)) / 2)
+
+    ints = lambda xs: F.array(*map(F.lit, xs))
+    for p, q in (([3, 1, 0, 4], [0.1, 0.4, 0.3, 0.2]), ([0, 0, 0, 9], [0.5, 0.0, 0.5, 0.0]), ([1, 2, 3, 4], [0.1, 0.2, 0.3, 0.4])):
+        sparse = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(c).alias("c")) for v, c in enumerate(p[:-1]) if c]) if any(p[:-1]) else F.array().cast("array<struct<v:int,c:int>>")
+        got = spark.range(1).select(quality_rules.jensen_shannon(ints(p), ints(q)).alias("a"), quality_rules.sparse_jensen_shannon(sparse, F.lit(sum(p)), ints(q)).alias("b")).first()
+        assert abs(got["a"] - plain(p, q)) < 1e-7 and abs(got["b"] - plain(p, q)) < 1e-7
+    words = spark.sql("select array('b', 'a', 'x', 'b', 'c', 'b') as w").select(quality_rules.word_counts(F.col("w"), ["a", "b", "d"]).alias("c")).first()["c"]
+    assert [tuple(x) for x in words] == [(0, 1), (1, 3)]
 
 
 def test_quality_classifier(spark, empty):

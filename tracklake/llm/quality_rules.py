@@ -1,32 +1,27 @@
 """Quality rules: plain counts and the divergence of a text's histograms from its closest language.
 
-All of it is built-in functions. One pass makes the counts and the two histograms of each text, small beside the
-text itself; they are written out, summed by language into reference histograms, and compared by Jensen-Shannon
-distance.
+All of it is built-in functions. The words that most documents of a language hold are its common words; one pass over the
+texts then makes the counts and two histograms of each, of character classes and of common words, small beside the text
+itself. They are written out, summed by language into reference histograms, and compared by Jensen-Shannon distance.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import WS, cut, let, words
+from tracklake.llm.common import cut, let, words
 
-# Frequent function words of each reference language, public knowledge.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "das", "von", "zu", "den", "mit", "ist", "des", "dem", "ein"],
-    "en": ["the", "of", "and", "to", "in", "a", "that", "is", "for", "it", "with", "as"],
-    "es": ["de", "la", "que", "el", "en", "y", "los", "del", "las", "por", "con", "una"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "que", "est", "pour"],
-}
-VOCABULARY = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 CLASSES = ("lower", "upper", "space", "digit", "punct", "other")
+SYMBOLS = "#*$%&|<>"
 
 #: Columns that the rules add; those that df has by these names are replaced.
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
+TOP_WORDS = 12  # common words of a language
+MIN_REFERENCE = 1000  # words of a language's documents, for a reference of it
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.275
 MIN_CHARS = 200
@@ -52,103 +47,142 @@ def repeat_words(ws: Column, n: int = 3) -> Column:
     return let(ws, lambda w: F.when(F.size(w) < n, F.lit(0)).otherwise(let(grams(w), covered))).cast("long")
 
 
-def class_counts(text: Column) -> Column:
-    """Characters by class, as CLASSES; each class is taken out before the next one is counted."""
-    patterns = [r"\p{Ll}+", r"\p{Lu}+", WS + "+", "[0-9]+", r"""[.,;:!?'"()-]+"""]
+def class_counts(text: Column, word_chars: Column) -> Column:
+    """Characters by class, as CLASSES; word_chars: those that are no white space."""
+    def without(chars: str) -> Column:
+        return F.length(text) - F.length(F.translate(text, chars, ""))
 
-    def step(rest: Column, left: list[str], got: list[Column]) -> Column:
-        if not left:
-            return F.array(*got, F.length(rest))
-        return let(F.regexp_replace(rest, left[0], ""), lambda r: step(r, left[1:], [*got, F.length(rest) - F.length(r)]))
+    def cased(c: str) -> Column:
+        return F.length(text) - F.length(F.regexp_replace(text, rf"\p{{{c}}}+", ""))
 
-    return let(text, lambda t: step(t, patterns, []))
+    known = F.array(cased("Ll"), cased("Lu"), F.length(text) - word_chars.cast("int"), without("0123456789"), without(".,;:!?'\"()-"))
+    return let(known, lambda k: F.concat(k, F.array(F.length(text) - F.aggregate(k, F.lit(0), lambda a, x: a + x))))
 
 
-def word_counts(ws: Column) -> Column:
-    """How often each word of VOCABULARY occurs, then all other words."""
-    count = lambda w, c: F.array(*[F.size(c) - F.size(F.array_remove(c, v)) for v in VOCABULARY], F.size(w) - F.size(c))
-    return let(ws, lambda w: let(F.filter(w, lambda x: x.isin(VOCABULARY)), lambda c: count(w, c)))
+def word_counts(ws: Column, vocabulary: list[str]) -> Column:
+    """(v, c) of each word of the vocabulary that occurs: its place in the vocabulary, how often."""
+    if not vocabulary:
+        return F.array().cast("array<struct<v:int,c:int>>")
+    place = lambda x: (F.array_position(F.array(*map(F.lit, vocabulary)), x) - 1).cast("int")
 
+    def counted(c: Column, distinct: Column, first: Column) -> Column:  # equal words lie one after the other
+        n = lambda i: F.coalesce(F.get(first, i + 1), F.size(c) + 1) - F.get(first, i)
+        return F.transform(distinct, lambda x, i: F.struct(place(x).alias("v"), n(i).cast("int").alias("c")))
 
-def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    first = lambda c, d: F.transform(d, lambda x: F.array_position(c, x))
+    common = F.sort_array(F.filter(ws, lambda x: x.isin(vocabulary)))
+    return let(common, lambda c: let(F.array_distinct(c), lambda d: let(first(c, d), lambda f: counted(c, d, f))))
+
+
+def base_counts(df: DataFrame, text: str = "text", vocabulary: list[str] | None = None) -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the two histograms."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     w = F.col("_tl_words")
+    kept = [c for c in df.columns if c != text and c not in OUTPUTS]
+    chars = F.length(F.array_join(w, "")).cast("long")
     out = df.withColumn("_tl_words", words(F.col(text))).select(
-        *[c for c in df.columns if c != text and c not in OUTPUTS],
+        *kept,
         F.size(w).cast("long").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        chars.alias("word_chars"),
+        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(w).alias("n_repeat_words"),
-        class_counts(t).alias("_tl_classes"),
-        word_counts(w).alias("_tl_common"),
+        let(t, lambda t: class_counts(t, chars)).alias("_tl_classes"),
+        word_counts(w, vocabulary or []).alias("_tl_common"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
-def references(counts: DataFrame, lang: str = "lang") -> dict[str, dict[str, list[float]]]:
-    """Reference histograms by language: sums over all documents of a language that pass the base rules.
+def common_words(df: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP_WORDS) -> list[str]:
+    """The words that most documents of each language hold, `top` for each; ties go to the word that sorts first.
 
-    At most one row of some fifty sums for each language of COMMON_WORDS comes to the driver.
+    Over all documents that have a language. Words are counted within tasks first; to the driver come `top` a language.
     """
-    parts = [("_tl_classes", len(CLASSES)), ("_tl_common", len(VOCABULARY) + 1)]
-    sums = [F.sum(F.get(F.col(c), F.lit(i)).cast("long")).alias(f"{c}_{i}") for c, n in parts for i in range(n)]
-    rows = counts.where(F.col(lang).isin(list(COMMON_WORDS)) & ~F.col("base_failed")).groupBy(lang).agg(*sums).collect()
-    out = {}
-    for r in sorted(rows, key=lambda r: r[lang]):
-        hists = {c: [r[f"{c}_{i}"] or 0 for i in range(n)] for c, n in parts}
-        if all(sum(h) for h in hists.values()):
-            out[r[lang]] = {c: [x / sum(h) for x in h] for c, h in hists.items()}
+    each = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
+    counted = each.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))  # tasks keep `top` words each before it
+    return sorted({r["word"] for r in counted.withColumn("r", rank).where(F.col("r") <= top).select("word").collect()})
+
+
+def references(counts: DataFrame, lang: str = "lang", size: int = 0, least: int = MIN_REFERENCE) -> list[dict[str, object]]:
+    """Reference histograms of each language: sums over all its documents that pass the base rules.
+
+    lang, classes (shares), words (shares of each of `size` common words, then of all others). A language with under
+    `least` words has none. To the driver comes a row for each language, and one for each of its common words.
+    """
+    good = counts.where(F.col(lang).isNotNull() & ~F.col("base_failed"))
+    sums = [F.sum(F.get("_tl_classes", F.lit(i)).cast("long")).alias(c) for i, c in enumerate(CLASSES)]
+    whole = good.groupBy(F.col(lang).alias("lang")).agg(F.sum("n_words").alias("n"), *sums).where(F.col("n") >= least).collect()
+    seen = good.select(F.col(lang).alias("lang"), F.inline("_tl_common")).groupBy("lang", "v").agg(F.sum("c").alias("n")).collect()
+    by_word = {(r["lang"], r["v"]): r["n"] for r in seen}
+    out = []
+    for r in sorted(whole, key=lambda r: r["lang"]):
+        common = [by_word.get((r["lang"], v), 0) for v in range(size)]
+        chars = sum(r[c] for c in CLASSES)
+        out.append({"lang": r["lang"], "classes": [r[c] / chars for c in CLASSES], "words": [x / r["n"] for x in [*common, r["n"] - sum(common)]]})
     return out
 
 
-def jensen_shannon(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (root of the divergence in bits) of counts, normalised, from a reference; 1 if all are 0."""
-    def term(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+def divergence_term(p: Column, q: Column) -> Column:
+    """What one bin adds to twice the Jensen-Shannon divergence in bits."""
+    m = (p + q) / 2
+    part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    return part(p) + part(q)
+
 
-    def distance(c: Column) -> Column:
-        total = reduce(lambda a, b: a + b, [F.get(c, F.lit(i)) for i in range(len(reference))]).cast("double")
+def jensen_shannon(counts: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance (root of the divergence in bits) of counts from a reference of shares; 1 if all are 0."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        def one(i: int, q: float, n: Column) -> Column:
-            p = F.get(c, F.lit(i)) / n
-            m = (p + F.lit(q)) / 2
-            return term(p, m) + (F.lit(q) * F.log2(F.lit(q) / m) if q > 0 else F.lit(0.0))
+    def of(n: Column) -> Column:
+        twice = F.aggregate(F.zip_with(counts, reference, lambda c, q: divergence_term(c / n, q)), F.lit(0.0), lambda a, x: a + x)
+        return F.when(n > 0, F.sqrt(F.greatest(twice / 2, F.lit(0.0)))).otherwise(F.lit(1.0))
 
-        divergence = lambda n: reduce(lambda a, b: a + b, [one(i, q, n) for i, q in enumerate(reference)]) / 2
-        return let(total, lambda n: F.when(n > 0, F.sqrt(F.greatest(divergence(n), F.lit(0.0)))).otherwise(F.lit(1.0)))
+    return let(total, of)
 
-    return let(counts, distance)
+
+def sparse_jensen_shannon(common: Column, n: Column, reference: Column) -> Column:
+    """The same for words: common holds (v, c) of the bins that are not 0; the last bin has the rest of the n words.
+
+    A bin that is 0 in the document adds its share in the reference.
+    """
+    def of(r: Column) -> Column:
+        last = F.element_at(r, -1)
+        step = lambda a, x: F.struct((a["d"] + divergence_term(x["c"] / n, F.get(r, x["v"])) - F.get(r, x["v"])).alias("d"), (a["p"] + x["c"] / n).alias("p"))
+        found = F.aggregate(common, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p")), step)
+        return let(found, lambda f: f["d"] + divergence_term(F.greatest(1 - f["p"], F.lit(0.0)), last) + 1 - last)
+
+    return F.when(n > 0, F.sqrt(F.greatest(let(reference, of) / 2, F.lit(0.0)))).otherwise(F.lit(1.0))
 
 
 def quality_rules(
     df: DataFrame, text: str = "text", lang: str = "lang", max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
-    min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
+    min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, top_words: int = TOP_WORDS, min_reference: int = MIN_REFERENCE,
 ) -> DataFrame:
     """df without its text, with the base counts, class_distance, word_distance, base_failed and kept.
 
     A document is rejected by the base rule (under 50 words, or over half of its words in repeated windows) or, if it is
     long enough (min_chars, min_words), when either histogram lies further than the limit from every reference language.
-    Null or empty texts have no words and fail; documents of unknown or null lang count for no reference but are judged
-    alike; with no reference at all (empty table) distances are null and only the base rule decides. Repeated rows are
-    judged alike, each on its own. Needs columns text and lang; all others pass through.
+    References are made for every value of lang whose documents have min_reference words. A document whose lang has none
+    is judged by the base rule alone; one without a lang counts for no reference but is judged. Null or empty texts have
+    no words and fail; with no reference at all (empty table) distances are null. Repeated rows are judged alike, each on
+    its own. Needs columns text and lang; all others pass through.
     """
-    counts = cut(base_counts(df, text))
-    refs = references(counts, lang)
-
-    def nearest(c: str) -> Column:
-        each = [jensen_shannon(F.col(c), r[c]) for r in refs.values()]
-        return F.least(*each) if len(each) > 1 else (each[0] if each else F.lit(None).cast("double"))
-
+    vocabulary = common_words(df, text, lang, top_words)
+    counts = cut(base_counts(df, text, vocabulary))
+    refs = references(counts, lang, len(vocabulary), min_reference)
+    table = F.from_json(F.lit(json.dumps(refs)), "array<struct<lang:string,classes:array<double>,words:array<double>>>")
+    nearest = lambda distance: F.array_min(F.transform(table, distance))
     chars = F.aggregate("_tl_classes", F.lit(0), lambda a, x: a + x)
-    out = counts.withColumns({"class_distance": nearest("_tl_classes"), "word_distance": nearest("_tl_common"), "_tl_chars": chars})
-    far = F.lit(False)
-    for guard, limit, c in (("_tl_chars", (min_chars, max_class), "class_distance"), ("n_words", (min_words, max_word), "word_distance")):
-        far = far | F.coalesce((F.col(guard) >= limit[0]) & (F.col(c) > limit[1]), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("_tl_classes", "_tl_common", "_tl_chars")
+    out = counts.withColumns({
+        "class_distance": nearest(lambda r: jensen_shannon(F.col("_tl_classes"), r["classes"])),
+        "word_distance": nearest(lambda r: sparse_jensen_shannon(F.col("_tl_common"), F.col("n_words"), r["words"])),
+    })
+    judged = F.col(lang).isNull() | F.col(lang).isin([r["lang"] for r in refs])
+    far = ((chars >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(judged & far, F.lit(False))).drop("_tl_classes", "_tl_common")
 
 
 def keep_good(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
