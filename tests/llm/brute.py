@@ -131,6 +131,27 @@ def personal(t):
     return [(k, s, e) for s, _, e, k in sorted(rows)]
 
 
+def disclosing_terms(texts, threshold=0.9, support=2, group_support=5):
+    """Words that disclose a value or its group, from counts of different texts."""
+    rows = []
+    for t in {t or "" for t in texts}:
+        found = personal(t)
+        chars, entities = list(t), set()
+        for k, s, e in found:
+            v = t[s:e].lower()
+            d = re.sub("[^0-9]", "", v)
+            entities |= {("=", k, v), ("~", k, {"email": v.split("@")[-1], "ip": v.rpartition(".")[0], "card": d[:6], "phone": d[:-7]}[k])}
+            chars[s:e] = " " * (e - s)
+        rows.append((entities, set(re.findall(r"[^\W\d_]+", "".join(chars).lower()))))
+    n_t, n_e, n_te = Counter(w for _, ws in rows for w in ws), Counter(x for es, _ in rows for x in es), Counter((x, w) for es, ws in rows for x in es for w in ws)
+    out = set()
+    for (x, w), n in n_te.items():
+        ic = np.log2(len(rows) / n_e[x])
+        if n >= (support if x[0] == "=" else group_support) and ic > 0 and ic + np.log2(n / n_t[w]) >= threshold * ic:
+            out.add(w)
+    return out
+
+
 def secrets(t):
     t = t or ""
     rows = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A | re.I) if len(m[2]) >= 6]

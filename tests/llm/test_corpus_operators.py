@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -354,6 +355,32 @@ def test_copies_of_a_text_do_not_hide_a_term(spark):
 
 
 
+def test_disclosing_terms_equal_those_of_plain_counts(spark):
+    rnd = random.Random(9)
+    texts = []
+    for i in range(900):
+        team, user = rnd.randrange(12), rnd.randrange(5)
+        words = [f"w{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}" for _ in range(rnd.randrange(5, 40))]
+        if i % 4 == 0:
+            words += [f"u{user}@t{team}.org", rnd.choice(["+1 (555) 123-4567", "10.0.0.1", f"10.0.{team}.{i % 9}", ""]), *([f"team{chr(97 + team)}é"] * (rnd.random() < 0.8)), *([f"Rare{chr(97 + user)}{chr(97 + team)}"] * (rnd.random() < 0.7))]
+        rnd.shuffle(words)
+        texts.append(" ".join(words))
+    texts += texts[:120] * 3 + [None, "", "İstanbul i@t1.org", "İstanbul i@t1.org now"]
+    rows = pii.pii_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    want = brute.disclosing_terms(texts)
+    assert any(w.startswith("team") for w in want) and any(w.startswith("rare") for w in want)
+    for r in rows:
+        t = texts[r["doc_id"]] or ""
+        base, blank = brute.personal(t), list(t)
+        for _, s, e in base:
+            blank[s:e] = " " * (e - s)
+        # a capital I with a dot is lower-cased to two code points, the second no letter: only the plain counts part it
+        plain = [] if "İ" in t else [("term", m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", "".join(blank)) if m[0].lower() in want]
+        got = spans([r], "spans")[r["doc_id"]]
+        assert [x for x in got if x[0] != "term"] == base and ("İ" in t or sorted(x for x in got if x[0] == "term") == sorted(plain)), t
+    assert any(r["doc_id"] == len(texts) - 1 and ("term", 0, 8) in spans([r], "spans")[r["doc_id"]] for r in rows)
+
+
 def test_disclosing_terms_are_found_at_any_length_and_place(spark):
     far = " filler" * 40
     texts = [f"ask Lee or 李明 a@b.co{far} Farname end", f"from Farname{far} a@b.co by lee and 李明, also lee", "no value, only LEE here and farname", "alone é a@c.coé 1.2.3.4", *(f"filler text {i} or by no ask" for i in range(200))]

@@ -1,12 +1,13 @@
 """Personal data: patterns, and terms that disclose them by co-occurrence. Built-in functions only.
 
-Patterns give the base spans. A base span's text is a protected entity; the words of its document are terms, whatever
-their length or place. Over the corpus,
+Patterns give the base spans. A base span's value is a protected entity, and so is the group it belongs to (a mailbox's
+domain, a network of addresses, a card's issuer, a number's area), since most values stand in one text only; the words of
+its document are terms, whatever their length or place. Over the corpus,
     PMI(t, e) = log2(n(t, e) N / (n(t) n(e)))     IC(e) = log2(N / n(e))
 with n and N counting different texts (exact copies count once): n(t, e) with both, n(e) with e, n(t) with t.
-A term discloses an entity if PMI reaches THRESHOLD of the entity's whole information IC in SUPPORT texts or more; wherever
-it stands in the corpus, beside the entity or without it, it is a span of kind `term`, generalised to a mark in the
-sanitised text.
+A term discloses an entity if PMI reaches THRESHOLD of the entity's whole information IC in SUPPORT texts or more
+(GROUP_SUPPORT for a group: words that are rare by chance meet in its many texts); wherever it stands in the corpus,
+beside the entity or without it, it is a span of kind `term`, generalised to a mark in the sanitised text.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tracklake.llm.common import cut, let
 KINDS = ("email", "ip", "card", "phone", "term")
 THRESHOLD = 0.9
 SUPPORT = 2
+GROUP_SUPPORT = 5
 POSITIONS = 1 << 20  # of the hashed sets (entities, terms, copied texts) that are broadcast: their size is bounded by this
 
 # Each pattern finds what the plain one finds, from left to right; look-behinds and possessive counts only keep long
@@ -83,8 +85,17 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*each))
 
 
-def entity(span: Column) -> Column:
-    return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), span["k"] + 1), F.lower(span["value"]))
+def entities_of(spans: Column) -> Column:
+    """Entities of base spans: =kind:value for a value, ~kind:group for its group. Case does not matter."""
+    kind = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["k"] + 1)
+    digits = lambda v: F.regexp_replace(v, "[^0-9]", "")
+    group = lambda k, v: (
+        F.when(k == 0, F.substring_index(v, "@", -1)).when(k == 1, F.substring_index(v, ".", 3))
+        .when(k == 2, F.substring(digits(v), 1, 6)).otherwise(F.substring(digits(v), F.lit(1), F.length(digits(v)) - 7))
+    )
+    named = lambda mark, s, v: F.concat(F.lit(mark), kind(s), F.lit(":"), v)
+    both = lambda s: let(F.lower(s["value"]), lambda v: F.array(named("=", s, v), named("~", s, group(s["k"], v))))
+    return F.array_distinct(F.flatten(F.transform(spans, both)))
 
 
 def masked(text: Column, spans: Column, kinds: int = len(KINDS) - 1) -> Column:
@@ -122,31 +133,35 @@ def one_each(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy("_tl_copy").agg(*[F.first(c).alias(c) for c in columns])
 
 
-def disclosing(rows: DataFrame, threshold: float, support: int) -> DataFrame:
-    """(entity, term) pairs over the threshold. rows: _tl_copy (its text's hash), text, and entities and terms of the text.
+def disclosing(rows: DataFrame, threshold: float, support: int, group_support: int) -> DataFrame:
+    """(entity, term) pairs over the threshold. rows: _tl_copy (its text's hash), text, found (base spans), and entities and
+    terms of the text.
 
     Words are counted within tasks first, and only those whose hash is a candidate's. Texts that have no copy stay where
     they are; of the others (found by a hashed set, so perhaps a few more) one of each is taken. Entities of fewer than
-    support texts can have no pair, so most are gone before pairs are made.
+    support texts can have no pair, so most are gone before pairs are made, and pairs that the texts with entities alone
+    show to be too loose (n(t) is their number at least) before words are counted everywhere.
     """
     copies = rows.groupBy("_tl_copy").agg(F.count("*").alias("n"))
+    n = copies.count()
+    enough = lambda c: F.col(c) >= F.when(F.col("entity").startswith("="), support).otherwise(group_support)
     near = cut(one_each(rows.where(F.size("entities") > 0), "entities", "terms"))
-    n_e = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    n_e = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(enough("n_e"))
     wanted = near.select(F.explode("entities").alias("entity"), "terms").withColumn("place", place("entity")).join(places(n_e, "entity"), "place", "left_semi")
-    pairs = wanted.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    pairs = cut(pairs.join(n_e, "entity"))
-    placed = rows.select("_tl_copy", "text", place("_tl_copy").alias("place"))
+    pairs = wanted.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(enough("n_te"))
+    ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
+    reveals = lambda n_t: (ic > 0) & (ic + F.log2(F.col("n_te") / F.col(n_t)) >= threshold * ic)
+    least = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    pairs = cut(pairs.join(n_e, "entity").join(least, "term").where(reveals("least")).drop("least"))
+    placed = rows.select("_tl_copy", masked(F.col("text"), F.col("found")).alias("text"), place("_tl_copy").alias("place"))
     copied = places(copies.where("n > 1"), "_tl_copy")
     texts = placed.join(copied, "place", "left_anti").select("text").unionAll(one_each(placed.join(copied, "place", "left_semi"), "text").select("text"))
     words = texts.select(F.explode(words_of(F.col("text"))).alias("term"))
     n_t = words.withColumn("place", place("term")).join(places(pairs, "term"), "place", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = copies.count()
-    ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    pmi = ic + F.log2(F.col("n_te") / F.col("n_t"))
-    return pairs.join(n_t, "term").where((ic > 0) & (pmi >= threshold * ic)).select("entity", "term")
+    return pairs.join(n_t, "term").where(reveals("n_t")).select("entity", "term")
 
 
-def pii_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT, keep_text: bool = False) -> DataFrame:
+def pii_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT, group_support: int = GROUP_SUPPORT, keep_text: bool = False) -> DataFrame:
     """One row per row of df: doc_id, base and spans (arrays of kind, start, end; spans: base and disclosing terms).
 
     Sorted by start, then kind as in KINDS; offsets are code points, ends exclusive. Null and empty texts have none. Rows
@@ -157,8 +172,8 @@ def pii_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_tl_row"), F.xxhash64("text").alias("_tl_copy"), "text", base_spans(F.col("text")).alias("_tl_base"))
     base = F.transform("_tl_base", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
     terms = F.when(F.size("_tl_base") == 0, F.array().cast("array<string>")).otherwise(F.array_remove(words_of(masked(F.col("text"), F.col("_tl_base"))), ""))
-    rows = cut(rows.select("doc_id", "_tl_row", "_tl_copy", "text", base.alias("found"), F.array_distinct(F.transform("_tl_base", entity)).alias("entities"), terms.alias("terms")))
-    flagged = cut(disclosing(rows, threshold, support).select("term").distinct())
+    rows = cut(rows.select("doc_id", "_tl_row", "_tl_copy", "text", base.alias("found"), entities_of(F.col("_tl_base")).alias("entities"), terms.alias("terms")))
+    flagged = cut(disclosing(rows, threshold, support, group_support).select("term").distinct())
     hits = rows.select("_tl_row", F.explode(matches(masked(F.col("text"), F.col("found")), WORD, F.lit(True))).alias("m")).select("_tl_row", F.lower("m.value").alias("term"), "m.start", "m.end")
     hits = hits.withColumn("place", place("term")).join(places(flagged, "term"), "place", "left_semi").join(flagged, "term", "left_semi")
     added = hits.groupBy("_tl_row").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("k"), "end")).alias("added"))
