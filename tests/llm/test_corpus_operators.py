@@ -494,6 +494,34 @@ def test_quality_classifier(spark, empty):
     assert quality_classifier.predict(empty, model).count() == 0
 
 
+def test_risk_and_its_gradient_equal_plain_sums():
+    rng = np.random.default_rng(3)
+    p, u, w, prior = rng.normal(size=(7, 3)), rng.normal(size=(9, 3)), rng.normal(size=3), 0.4
+    one = lambda x, label: np.log(1 + np.exp(-float(x @ w) if label else float(x @ w)))
+    positive = prior * sum(one(x, 1) for x in p) / len(p)
+    negative = sum(one(x, 0) for x in u) / len(u) - prior * sum(one(x, 0) for x in p) / len(p)
+    assert np.allclose(quality_classifier.risk(w, p, u, prior), (positive, negative))
+    for scale, prior in ((1, 0.4), (40, 0.95)):  # the second part is over 0, then under it
+        w2 = w * scale if scale == 1 else scale * p.mean(axis=0)
+        parts = quality_classifier.risk(w2, p, u, prior)
+        assert (parts[1] >= 0) == (scale == 1)
+        whole = lambda v: sum(quality_classifier.risk(v, p, u, prior)) if scale == 1 else -quality_classifier.risk(v, p, u, prior)[1]
+        steps = [(whole(w2 + e) - whole(w2 - e)) / 2e-5 for e in 1e-5 * np.eye(3)]
+        assert np.allclose(quality_classifier.risk_gradient(w2, p, u, prior), steps, atol=1e-5)
+
+
+def test_quality_classifier_sees_words(spark):
+    """Texts alike in all but their words."""
+    rnd = random.Random(4)
+    good, bad = "river stone light morning garden".split(), "winer casni bonus jackpo dealer".split()
+    rows = [(i, " ".join(rnd.choice(good if i % 3 else bad) for _ in range(50))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_classifier.fit(df.where("doc_id % 3 <> 0 and doc_id % 2 = 0 and doc_id < 600"), df.where("(doc_id % 3 = 0 or doc_id % 2 = 1) and doc_id < 600"))
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.predict(df.where("doc_id >= 600"), model).collect()}
+    assert min(s for i, s in got.items() if i % 3) > max(s for i, s in got.items() if i % 3 == 0)
+    assert np.isclose(sum(quality_classifier.hashed_words(b"a b a".split()) ** 2), 1)
+
+
 def test_extra_columns_do_not_clash(spark, docs):
     clash = frame(spark, docs).withColumns({c: F.lit("z") for c in ("fp", "component_id", "doc", "parts", "at", "n", "keys", "found", "terms", "owned", "start", "tokens", "id", "base_failed", "lang_pred")})
     for op in (secret_scan.secret_spans, tokens.write_and_read, substring_dedup.remove_repeats, pii.pii_spans, simhash.near_duplicates, quality_rules.quality_rules, mixing.mix):
