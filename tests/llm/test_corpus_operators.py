@@ -313,6 +313,10 @@ def test_decontamination(spark, docs, df, empty):
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in rows} == want
     kept = decontaminate.drop_contaminated(df, items_df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, x in want.items() if not x[1]}
+    nameless = decontaminate.drop_contaminated(frame(spark, {}, [(None, docs[0]), (None, "clean words"), (None, None), (5, "clean"), (5, docs[0])]).withColumn("digest", F.lit("z")), items_df)
+    assert sorted(str(r["text"]) for r in nameless.collect()) == ["None", "clean", "clean words"]
+    long_text = frame(spark, {1: "w " * 60_000 + items[1]})
+    assert [(r["n_words"], r["n_items"]) for r in decontaminate.decontaminate(long_text.withColumns({c: F.lit("z") for c in ("at", "n", "key", "keys", "ats", "marks", "item_id")}), items_df).selectExpr("n_words", "size(item_ids) as n_items").collect()] == [(60_030, 2)]
     assert decontaminate.decontaminate(df, spark.createDataFrame([], ITEM)).where("n_hit > 0").count() == 0
     assert decontaminate.decontaminate(empty, items_df).count() == 0
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,29 +22,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder that driver and executors share. Only where all run in one process, as in tests, may it be unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints"
+
+
+_made: list[list[str]] = []  # paths made in the open scratch blocks
 
 
 def new_path(spark: SparkSession) -> str:
-    """A fresh path in the shared folder, removed when the session's file system closes."""
+    """A fresh path in the shared folder, removed when the session's file system closes, or a scratch block ends."""
     path = f"{shared_dir(spark)}/tracklake/{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    fs, hadoop_path = _on_disk(spark, path)
+    fs.deleteOnExit(hadoop_path)
+    if _made:
+        _made[-1].append(path)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def _on_disk(spark: SparkSession, path: str) -> tuple:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written by operators inside the block go at its end: what it gives must have been written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            fs, hadoop_path = _on_disk(spark, path)
+            fs.delete(hadoop_path, True)
+
+
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: later steps survive lost executors without recomputing."""
     spark = df.sparkSession
-    path = new_path(spark)
+    path = path or new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
+    """Keep Arrow batches of whole texts small. The setting belongs to the session: it is read when a plan runs, so it stays."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

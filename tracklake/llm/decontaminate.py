@@ -162,6 +162,8 @@ def decontaminate(
 
 
 def drop_contaminated(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the documents in which a word is hit; columns as in df. Ids name documents; rows of null ids stay."""
-    gone = decontaminate(df, items, doc_id, text).where("n_hit > 0").select(F.col("doc_id").alias("_tl_id")).distinct()
-    return df.join(gone, F.col(doc_id) == F.col("_tl_id"), "left_anti")
+    """df without the documents in which a word is hit; columns as in df. The text alone decides, so ids may be null or repeat."""
+    digest = F.md5(F.col(text).cast("binary"))
+    marked = decontaminate(df.select(digest.alias("digest"), F.col(text).alias("text")), items, "digest", "text")
+    gone = marked.where("n_hit > 0").select(F.col("doc_id").alias("_tl_digest")).distinct()
+    return df.join(gone, digest == F.col("_tl_digest"), "left_anti")
