@@ -134,15 +134,26 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.select("cache_key", F.col("value").alias("cached_text")), "cache_key", "left").withColumn("hit", F.col("cached_text").isNotNull())
 
 
-def glossary_join(requests: DataFrame, glossary: DataFrame) -> DataFrame:
+def glossary_join(requests: DataFrame, glossary: DataFrame, broadcast_terms: int = 100_000) -> DataFrame:
     """Terms that apply to each request: its target language's, or those of `*` if that language has none.
 
-    requests: with target; glossary: lang, term, replacement.
+    requests: with target; glossary: lang, term, replacement. Languages are few and hot, so the glossary is gathered to a
+    row a language, and no request is shuffled by it, while it has broadcast_terms terms or fewer; a larger one is joined.
     """
-    langs = requests.select("target").distinct()
-    own = langs.join(glossary, F.col("target") == F.col("lang")).select("target", "term", "replacement")
-    anyone = langs.join(own.select("target").distinct(), "target", "left_anti").withColumn("lang", F.lit("*")).join(glossary, "lang").select("target", "term", "replacement")
-    return requests.join(own.unionByName(anyone), "target")
+    n = glossary.limit(broadcast_terms + 1).count()
+    terms = glossary.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("term", "replacement"))).alias("_terms"))
+    if n > broadcast_terms:  # the terms of a language spread over 64 parts, each met by a copy of the request
+        part = F.pmod(F.xxhash64("term"), F.lit(64)).cast("int").alias("_part")
+        terms = glossary.groupBy("lang", part).agg(F.array_sort(F.collect_list(F.struct("term", "replacement"))).alias("_terms"))
+        known = F.broadcast(glossary.select("lang").distinct())
+        rows = requests.join(known, F.col("target") == F.col("lang"), "left").withColumn("_lang", F.coalesce("lang", F.lit("*"))).drop("lang")
+        rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        met = rows.join(terms.withColumnRenamed("lang", "_lang"), ["_lang", "_part"])
+    else:
+        own, anyone = (F.broadcast(x) for x in (terms.withColumnRenamed("_terms", "_own"), terms.where("lang = '*'").select(F.lit(1).alias("_one"), F.col("_terms").alias("_any"))))
+        rows = requests.join(own, F.col("target") == F.col("lang"), "left").withColumn("_one", F.lit(1)).join(anyone, "_one", "left")
+        met = rows.withColumn("_terms", F.coalesce("_own", "_any"))
+    return met.select(*requests.columns, F.inline("_terms"))
 
 
 def latest_job(projects: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ def totals(x: Inputs) -> DataFrame:
 
 
 def voice(x: Inputs) -> DataFrame:
-    """Disjoint voice: the union of every third interval."""
-    return I.interval_union(x.fx_intervals.where("idx % 3 = 0"))
+    """Disjoint voice with gaps: the union of the first third of every interval."""
+    return I.interval_union(x.fx_intervals.select("media_id", "start_ms", F.expr("start_ms + (end_ms - start_ms) div 3").alias("end_ms")).where("end_ms > start_ms"))
 
 
 def union_sql(rows: str, keys: str = "media_id") -> str:
@@ -33,7 +33,7 @@ def union_sql(rows: str, keys: str = "media_id") -> str:
     )
 
 
-VOICE = f"voice as ({union_sql('select media_id, start_ms, end_ms from fx_intervals where idx % 3 = 0')})"
+VOICE = f"voice as ({union_sql('select media_id, start_ms, start_ms + (end_ms - start_ms) // 3 as end_ms from fx_intervals where (end_ms - start_ms) // 3 > 0')})"
 COVER = f"cov as ({union_sql('select media_id, language, start_ms, end_ms from fx_coverage', 'media_id, language')})"
 
 
