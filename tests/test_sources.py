@@ -116,6 +116,35 @@ def test_agglomerate_joins_noise_but_no_two_seeds():
     assert K.agglomerate(labels, vectors)[0] == 0
 
 
+def greedy(labels, v, merge_at):
+    """The pair of greatest mean cosine merges, one at a time."""
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    groups = [np.flatnonzero(labels == s).tolist() for s in sorted({int(x) for x in labels if x >= 0})] + [[int(i)] for i in np.flatnonzero(labels < 0)]
+    while True:
+        pairs = [(np.mean([v[i] @ v[j] for i in a for j in b]), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y and not (max(labels[a]) >= 0 and max(labels[b]) >= 0)]
+        if not pairs or max(pairs)[0] < merge_at:
+            return {frozenset(g) for g in groups}
+        _, x, y = max(pairs)
+        groups[x] += groups.pop(y)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_agglomerate_merges_as_the_greedy_way(seed):
+    rng = np.random.default_rng(seed)
+    labels, vectors = rng.integers(-3, 3, 26).clip(-1), rng.normal(size=(26, 3)) + 0.4
+    got = K.agglomerate(labels, vectors, 0.3, 1)
+    assert {frozenset(np.flatnonzero(got == c).tolist()) for c in set(got.tolist())} == greedy(labels, vectors, 0.3)
+
+
+def test_seeds_are_made_in_each_medium(spark):
+    axes = np.eye(8)
+    rows = [(m, i, (axes[i % (3 + 4 * m)] + 0.01).tolist()) for m in range(2) for i in range(42)] + [(7, 0, [1.0] * 8), (7, 1, [-1.0] * 8)] + [(8, i, axes[i].tolist()) for i in range(3)]
+    got = {}
+    for r in K.seed_labels(spark.createDataFrame(rows, "media_id long, seq long, embedding array<double>")).collect():
+        got.setdefault(r["media_id"], []).append(r["seed_label"])
+    assert {m: len(set(x)) for m, x in got.items()} == {0: 3, 1: 7, 7: 1, 8: 1} and set(got[7]) == {0} and set(got[8]) == {-1}
+
+
 def test_turns_are_disjoint(spark):
     rng = random.Random(1)
     rows = [(m, i, i * 750, i * 750 + 1500, rng.choice([0, 0, 1, -1]), [rng.random(), rng.random()]) for m in range(3) for i in range(30)]

@@ -54,8 +54,7 @@ from (
     "fx_logits": """
 select doc_id, lang, cast(n_chars % 11 as double) as l0, cast(n_chars % 7 as double) as l1, cast(n_chars % 5 as double) as l2 from documents""",
     "fx_subsegments": """
-select vec_id % 20 as media_id, cast(floor(vec_id / 20) as bigint) as seq,
-       cast(floor(vec_id / 20) * 750 as bigint) as start_ms, cast(floor(vec_id / 20) * 750 + 1500 as bigint) as end_ms,
+select cast(floor(vec_id / 100) as bigint) as media_id, vec_id % 100 as seq, cast(vec_id % 100 * 750 as bigint) as start_ms, cast(vec_id % 100 * 750 + 1500 as bigint) as end_ms,
        case when label >= 7 then -1 else label end as seed_label, embedding
 from embeddings""",
     "fx_chunks": """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.operators.intervals import pivot_split, trim_to_previous
@@ -33,53 +33,72 @@ def cosine_pairs(spans: DataFrame, cluster: str = "seed_label", embedding: str =
     return out.select("media_id", "cluster_a", "cluster_b", F.round(F.col("dot") / (F.col("n_a") * F.col("n_b")), 6).alias("mean_cosine"))
 
 
+def merged(sums: np.ndarray, size: np.ndarray, seeded: np.ndarray, merge_at: float) -> np.ndarray:
+    """For each cluster the one it ends in, when pairs of greatest mean cosine merge while that reaches merge_at.
+
+    Chains of nearest neighbours: a pair that are each other's nearest may merge at once, in whatever order, since a merged
+    cluster's mean cosine to a third is never above the greater of its parts'. Memory is that of the sums; a step compares
+    one cluster with all. Clusters that hold a seed do not merge with one another.
+    """
+    sums, size, seeded = sums.astype(float).copy(), size.astype(float).copy(), seeded.copy()
+    home, alive, chain = np.arange(len(size)), np.ones(len(size), bool), []
+    while chain or alive.any():
+        at = chain[-1] if chain else int(np.flatnonzero(alive)[0])
+        chain = chain or [at]
+        mean = (sums @ sums[at]) / (size * size[at])
+        mean[~alive | (seeded & seeded[at])] = -np.inf
+        mean[at] = -np.inf
+        best = int(np.argmax(mean))
+        if len(chain) > 1 and mean[chain[-2]] >= mean[best]:
+            best = chain[-2]
+        if mean[best] < merge_at:  # nothing will come nearer
+            alive[at] = False
+            chain.pop()
+        elif len(chain) > 1 and best == chain[-2]:
+            keep, gone = min(at, best), max(at, best)
+            sums[keep] += sums[gone]
+            size[keep] += size[gone]
+            seeded[keep] |= seeded[gone]
+            alive[gone], home[gone] = False, keep
+            del chain[-2:]
+        else:
+            chain.append(best)
+    while (home[home] != home).any():
+        home = home[home]
+    return home
+
+
 def agglomerate(labels: np.ndarray, vectors: np.ndarray, merge_at: float = 0.3, least: int = 3, absorb_at: float = 0.0) -> np.ndarray:
     """Clusters of one medium's spans, numbered by first appearance.
 
     Spans labelled -1 start alone, others in their seeded cluster. The pair of greatest mean cosine merges while it reaches
     merge_at; two seeded clusters, and what holds them, never merge. Then clusters under `least` spans join the nearest
-    large one at absorb_at or more.
+    large one at absorb_at or more. Memory grows with the spans, not with their pairs.
     """
-    seeds = sorted({int(x) for x in labels if x >= 0})
-    members = [np.flatnonzero(labels == s).tolist() for s in seeds] + [[int(i)] for i in np.flatnonzero(labels < 0)]
     v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    k = len(members)
-    size = np.array([len(m) for m in members], float)
-    sums = np.array([v[m].sum(axis=0) for m in members])
-    cost = sums @ sums.T
-    cost[: len(seeds), : len(seeds)] = -np.inf
-    np.fill_diagonal(cost, -np.inf)
-    alive = np.ones(k, bool)
-    mean = cost / np.outer(size, size)
-    while alive.sum() > 1:
-        i, j = np.unravel_index(np.argmax(mean), mean.shape)
-        if mean[i, j] < merge_at:
-            break
-        i, j = min(i, j), max(i, j)
-        members[i] += members[j]
-        cost[i] += cost[j]
-        cost[:, i] = cost[i]
-        cost[i, i] = -np.inf
-        size[i] += size[j]
-        alive[j] = False
-        cost[j] = cost[:, j] = -np.inf
-        mean[i] = cost[i] / (size[i] * size)
-        mean[:, i] = mean[i]
-        mean[j] = mean[:, j] = -np.inf
-    out = np.full(len(labels), -1)
-    large = [c for c in np.flatnonzero(alive) if size[c] >= least]
-    for c in np.flatnonzero(alive):
-        home = c
-        if large and size[c] < least:
-            best = max(large, key=lambda x: mean[c, x])
-            home = best if np.isfinite(mean[c, best]) and mean[c, best] >= absorb_at else c
-        out[members[c]] = home
+    alone = labels < 0
+    start = np.where(alone, labels.max(initial=-1) + 1 + np.cumsum(alone), labels)
+    names, first = np.unique(start, return_inverse=True)  # seeded clusters come first
+    sums = np.zeros((len(names), v.shape[1]))
+    np.add.at(sums, first, v)
+    home = merged(sums, np.bincount(first), names <= labels.max(initial=-1), merge_at)
+    ends, final = np.unique(home[first], return_inverse=True)
+    size, total = np.bincount(final), np.zeros((len(ends), v.shape[1]))
+    np.add.at(total, final, v)
+    seeded = np.zeros(len(ends), bool)
+    np.logical_or.at(seeded, final, ~alone)
+    large, into = np.flatnonzero(size >= least), np.arange(len(ends))
+    for c in np.flatnonzero(size < least) if len(large) else ():
+        mean = total[large] @ total[c] / (size[large] * size[c])
+        mean[seeded[large] & seeded[c]] = -np.inf
+        if mean.max() >= absorb_at:
+            into[c] = large[mean.argmax()]
     order: dict[int, int] = {}
-    return np.array([order.setdefault(int(x), len(order)) for x in out])
+    return np.array([order.setdefault(int(x), len(order)) for x in into[final]], int)
 
 
 def agglomerate_clusters(spans: DataFrame, merge_at: float = 0.3, least: int = 3, absorb_at: float = 0.0) -> DataFrame:
-    """spans (media_id, seq, start_ms, end_ms, seed_label, embedding) with `cluster`; one medium's spans are one group."""
+    """spans (media_id, seq, start_ms, end_ms, seed_label, embedding) with `cluster`; a medium's spans, as long as it is, are a group."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         clusters = agglomerate(pdf["seed_label"].to_numpy(), np.array(pdf["embedding"].tolist(), float), merge_at, least, absorb_at)
@@ -88,17 +107,19 @@ def agglomerate_clusters(spans: DataFrame, merge_at: float = 0.3, least: int = 3
     return spans.select("media_id", "seq", "start_ms", "end_ms", "seed_label", "embedding").groupBy("media_id").applyInPandas(run, "media_id long, seq long, start_ms long, end_ms long, cluster long")
 
 
-def seed_labels(spans: DataFrame, k: int = 4, dimensions: int = 8) -> DataFrame:
-    """spans with seed_label from PCA and bisecting k-means over all media; media of one or two spans are one cluster."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+def seed_labels(spans: DataFrame, dense_at: float = 0.6, least: int = 3) -> DataFrame:
+    """spans with seed_label, made in each medium on its own: its dense groups, in which spans are dense_at alike on average.
+
+    Groups of under `least` spans are noise, -1. Media of one or two spans are one cluster. There is no limit of groups.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        found = agglomerate(np.full(len(pdf), -1), np.array(pdf["embedding"].tolist(), float), dense_at, 1)
+        few = np.bincount(found)[found] < least
+        return pd.DataFrame({"media_id": pdf["media_id"], "seq": pdf["seq"], "_k": 0 if len(pdf) <= 2 else np.where(few, -1, found)})
 
-    rows = spans.withColumn("_v", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    reduced = PCA(k=dimensions, inputCol="_v", outputCol="_p").fit(rows).transform(rows)
-    found = BisectingKMeans(k=k, featuresCol="_p", predictionCol="_k", seed=1).fit(reduced).transform(reduced)
-    few = F.count("*").over(Window.partitionBy("media_id")) <= 2
-    return found.withColumn("seed_label", F.when(few, 0).otherwise(F.col("_k")).cast("int")).drop("_v", "_p", "_k")
+    made = spans.select("media_id", "seq", "embedding").groupBy("media_id").applyInPandas(run, "media_id long, seq long, _k int")
+    return spans.join(made, ["media_id", "seq"]).withColumnRenamed("_k", "seed_label")
 
 
 def diarize(spans: DataFrame, min_ms: int = 200) -> DataFrame:

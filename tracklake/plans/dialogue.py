@@ -23,12 +23,12 @@ def speaker_dialogue(segments: DataFrame, turns: DataFrame, media: DataFrame) ->
         "media_id", "segment_index", "asr_segment_index", "speaker_label", F.round("alignment_conf", 6).alias("alignment_conf"), "start_ms", "end_ms", "score", "level")
 
 
-def track_rules(segments: DataFrame, turns: DataFrame, media: DataFrame, dialogue: DataFrame | None = None) -> DataFrame:
-    """All quality rules of media whose voice is the union of their turns."""
+def track_rules(segments: DataFrame, turns: DataFrame, media: DataFrame, dialogue: DataFrame | None = None, voice: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """All quality rules. Voice is the union of the turns unless given; words (media_id, confidence) may be missing."""
     dialogue = dialogue if dialogue is not None else align(segments.drop("speaker_label"), turns)
-    voice = I.interval_union(turns.select("media_id", "start_ms", "end_ms"))
+    voice = voice if voice is not None else I.interval_union(turns.select("media_id", "start_ms", "end_ms"))
     scored = segments.select("media_id", (F.col("conf_pct") / 100.0).alias("confidence"), F.lit(None).cast("double").alias("avg_logprob"))
-    return quality_rules(media, dialogue, scored, turns, voice, I.complement(voice, media))
+    return quality_rules(media, dialogue, scored, turns, voice, I.complement(voice, media), words)
 
 
 def diarization_rules(turns: DataFrame, voice: DataFrame, media: DataFrame, tolerance_ms: int = 100, gap_ms: int = 50, min_ms: int = 200) -> DataFrame:

@@ -110,7 +110,9 @@ select doc_id, regexp_replace(regexp_replace(regexp_replace('muy muy, really  re
 book.add("adaptation_fit", lambda x: x.fx_segments.select("media_id", "segment_index", T.adaptation_fit(F.concat(F.lit("[es] "), "text"), F.col("text"), F.col("end_ms") - F.col("start_ms")).alias("f")).select("media_id", "segment_index", "f.cps", "f.ratio", "f.max_chars", "f.fits", F.size("f.warnings").cast("long").alias("n_warnings")), """
 with a as (select media_id, segment_index, length(text) + 5 as n, length(trim(text, ' ')) as m, (end_ms - start_ms) / 1000.0e0 as s from fx_segments)
 select media_id, segment_index, round(n / s, 3) as cps, round(n / cast(m as double), 3) as ratio, cast(trunc(18 * s) as bigint) as max_chars, n <= trunc(18 * s) as fits, cast((n > trunc(18 * s)) as bigint) + cast(n / cast(m as double) > 1.35e0 as bigint) as n_warnings from a""")
-book.add("degenerate_text", lambda x: d(x).select("doc_id", T.degenerate(F.col("text")).alias("degenerate")))
+book.add("degenerate_text", lambda x: d(x).select("doc_id", T.degenerate(F.concat(F.substring("text", 1, 3), F.when(F.col("doc_id") % 5 == 0, F.lit("....")).when(F.col("doc_id") % 5 == 1, F.lit("1234 56")).otherwise(F.col("text")))).alias("degenerate")), """
+select doc_id, t = '' or len(list_filter(list_distinct(string_split(t, '')), lambda c: c <> chr(10) and contains(t, repeat(c, 4)))) > 0 or (length(t) > 3 and not regexp_matches(t, '[A-Za-zÀ-ſ]')) as degenerate
+from (select doc_id, trim(substr(text, 1, 3) || case doc_id % 5 when 0 then '....' when 1 then '1234 56' else text end, ' ') as t from documents) d""")
 
 
 def translated(x: Inputs) -> DataFrame:

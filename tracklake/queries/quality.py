@@ -134,30 +134,78 @@ def score(x: Inputs) -> DataFrame:
     return Q.quality_score(rules(x), x.fx_media.join(x.fx_turns.select("media_id").distinct(), "media_id", "left_anti"))
 
 
+def faulty(x: Inputs) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Aligned segments with a fault of each kind in some media, the media's durations, voice apart from turns, and words."""
+    m, i = F.col("media_id"), F.col("segment_index")
+    end = F.when((m % 7 == 1) & (i == 0), F.col("start_ms")).when((m % 7 == 5) & (i == 1), F.col("start_ms") + 70_000).otherwise(F.col("end_ms"))
+    rows = x.fx_segments.select("media_id", "segment_index", "speaker_label", "start_ms", end.alias("end_ms"), F.when((m % 7 == 2) & (i == 0), " ").otherwise(F.col("text")).alias("text"), "conf_pct")
+    media = x.fx_media.select("media_id", (F.col("duration_ms") + F.when(m % 7 == 3, -600).when(m % 7 == 4, 40_000).otherwise(0)).alias("duration_ms"))
+    voice = I.interval_union(x.fx_segments.select("media_id", "start_ms", (F.col("start_ms") + F.when(F.col("conf_pct") % 3 == 0, 0).otherwise(300)).alias("end_ms")).where("end_ms > start_ms"))
+    words = x.fx_segments.where(m % 5 != 0).select("media_id", "segment_index", F.posexplode(F.split(F.trim("text"), " ")).alias("pos", "word")).select("media_id", (((i * 7 + F.col("pos") * 13) % 100) / 100.0).alias("confidence"))
+    return rows, media, voice, words
+
+
+def faulty_rules(x: Inputs) -> DataFrame:
+    rows, media, voice, words = faulty(x)
+    # media without an aligned segment have speakers and segments but no dialogue
+    turns, dialogue = x.fx_turns, rows.where("media_id % 7 <> 6 and conf_pct % 4 <> 0")
+    scored = rows.select("media_id", (F.col("conf_pct") / 100.0).alias("confidence"), F.lit(None).cast("double").alias("avg_logprob"))
+    return Q.quality_rules(media, dialogue, scored, turns, voice, I.complement(voice, media), words)
+
+
+FAULTY = f"""fr as (select media_id, segment_index, speaker_label, start_ms, case when media_id % 7 = 1 and segment_index = 0 then start_ms when media_id % 7 = 5 and segment_index = 1 then start_ms + 70000 else end_ms end as end_ms,
+  case when media_id % 7 = 2 and segment_index = 0 then ' ' else text end as text, conf_pct from fx_segments),
+ fm as (select media_id, duration_ms + case media_id % 7 when 3 then -600 when 4 then 40000 else 0 end as d from fx_media),
+ fv as ({union_sql("select media_id, start_ms, start_ms + case when conf_pct % 3 = 0 then 0 else 300 end as end_ms from fx_segments where conf_pct % 3 <> 0")}),
+ fw as (select media_id, segment_index, unnest(range(0, len(string_split(trim(text, ' '), ' ')))) as pos from fx_segments where media_id % 5 <> 0),
+ w8 as (select media_id, count(*) as n, count(*) filter (where (segment_index * 7 + pos * 13) % 100 / 100.0e0 < 0.3e0) as q8 from fw group by 1),
+ fd as (select f.*, d, lead(start_ms) over w as ns, lead(end_ms) over w as ne from fr f join fm using (media_id) where media_id % 7 <> 6 and conf_pct % 4 <> 0 window w as (partition by f.media_id order by segment_index)),
+ c as (select media_id, count(*) filter (where start_ms >= end_ms) as q1, count(*) filter (where trim(text) = '') as q2, count(*) filter (where start_ms < 0 or end_ms > d) as q3,
+  count(*) filter (where ns is not null and least(end_ms, ne) - greatest(start_ms, ns) > 100) as q4, count(*) filter (where end_ms - start_ms > 60000) as q9, count(*) as nd,
+  count(*) filter (where not exists (select 1 from fv where fv.media_id = fd.media_id and fv.start_ms < fd.end_ms and fd.start_ms < fv.end_ms)) as q11 from fd group by 1),
+ n as (select media_id, count(*) as ns, count(*) filter (where conf_pct / 100.0e0 < 0.4) as q7 from fr group by 1), sp as (select media_id, count(distinct speaker_label) as nsp from fx_turns group by 1),
+ g0 as (select media_id, start_ms, end_ms, 0 as k from fv union all select media_id, d, d, 1 from fm), g as (select media_id, start_ms - coalesce(max(end_ms) over (partition by media_id order by k, start_ms rows between unbounded preceding and 1 preceding), 0) as gap from g0),
+ s10 as (select media_id, count(*) filter (where gap > 15000) as q10 from g group by 1),
+ fwide as (select m.media_id, coalesce(q1, 0) as q1, coalesce(q2, 0) as q2, coalesce(q3, 0) as q3, coalesce(q4, 0) as q4, greatest(0, coalesce(ns, 0) - coalesce(nd, 0)) as q5, case when coalesce(nsp, 0) > 0 and coalesce(ns, 0) > 0 and coalesce(nd, 0) = 0 then 1 else 0 end as q6,
+  coalesce(q7, 0) as q7, coalesce(q8, 0) as q8, w8.n is not null as a8, coalesce(q9, 0) as q9, coalesce(q10, 0) as q10, coalesce(q11, 0) as q11
+  from fm m left join c using (media_id) left join n using (media_id) left join sp using (media_id) left join w8 using (media_id) left join s10 using (media_id)),
+ frules as (select media_id, rule_code, severity, applicable, cast(occurrences as bigint) as occurrences, case when not applicable then 0.0e0 when severity = 'ERROR' then case when occurrences > 0 then 1.0e0 else 0.0e0 end else round(least(1.0e0, occurrences * each), 6) end as penalty,
+  not applicable or occurrences = 0 as passed from (select media_id, unnest(['QR01', 'QR02', 'QR03', 'QR04', 'QR05', 'QR06', 'QR07', 'QR08', 'QR09', 'QR10', 'QR11']) as rule_code,
+   unnest(['ERROR', 'ERROR', 'ERROR', 'ERROR', 'WARNING', 'WARNING', 'WARNING', 'WARNING', 'WARNING', 'WARNING', 'WARNING']) as severity, unnest([true, true, true, true, true, true, true, a8, true, true, true]) as applicable,
+   unnest([q1, q2, q3, q4, q5, q6, q7, q8, q9, q10, q11]) as occurrences, unnest([1.0e0, 1.0e0, 1.0e0, 1.0e0, 0.03e0, 0.02e0, 0.04e0, 0.005e0, 0.02e0, 0.015e0, 0.03e0]) as each from fwide) u)"""
+
+
 book.add("speaker_dialogue", lambda x: plans.speaker_dialogue(x.fx_segments, x.fx_turns, x.fx_media), f"""
 with {RULES} select d.media_id, segment_index, asr_segment_index, speaker_label, round(alignment_conf, 6) as alignment_conf, start_ms, end_ms, score, level from dlg d join lvl using (media_id)""")
 book.add("quality_rules", rules, f"with {RULES} select * from rules")
 for name, codes in {"qr01_qr03": ("QR01", "QR02", "QR03"), "qr04": ("QR04",), "qr05_qr06": ("QR05", "QR06"), "qr07": ("QR07",), "qr08": ("QR08",), "qr09_qr10": ("QR09", "QR10"), "qr11": ("QR11",)}.items():
-    book.add(name, lambda x, codes=codes: rules(x).where(F.col("rule_code").isin(*codes)), f"with {RULES} select * from rules where rule_code in ({', '.join(repr(c) for c in codes)})")
+    book.add(name, lambda x, codes=codes: faulty_rules(x).where(F.col("rule_code").isin(*codes)), f"with {FAULTY} select * from frules where rule_code in ({', '.join(repr(c) for c in codes)})")
 book.add("quality_score", score, f"with {RULES} select * from lvl")
 
 
 def checks(x: Inputs) -> DataFrame:
+    """Validation inputs with a fault for each check in some media."""
     sha = F.sha2(F.col("media_id").cast("string"), 256)
-    d, r, s, m = dialogue(x).withColumn("duration_ms", F.col("end_ms") - F.col("start_ms")), rules(x), score(x), F.col("media_id")
+    r, s, m = rules(x), score(x), F.col("media_id")
+    d = dialogue(x).withColumn("duration_ms", F.col("end_ms") - F.col("start_ms") + (m % 19 == 0).cast("int"))
+    d = d.withColumn("speaker_label", F.when((m % 29 == 0) & (F.col("segment_index") == 0), "SPEAKER_99").otherwise(F.col("speaker_label")))
     counts = segments(x).groupBy("media_id").agg(F.count("*").alias("n_segments"))
     aligned = d.groupBy("media_id").agg(F.count("*").alias("n_aligned"))
     media = x.fx_media.select("media_id", sha.alias("sha256"), "duration_ms", F.when(m % 11 == 0, F.lit("x")).otherwise(sha).alias("vad_sha256"), F.col("duration_ms").alias("vad_duration_ms"), sha.alias("diarization_sha256"), F.lit("job").alias("job_id"))
     alignment = x.fx_media.join(counts, "media_id").join(aligned, "media_id", "left").select(
-        "media_id", sha.alias("sha256"), "duration_ms", "n_segments", F.coalesce("n_aligned", F.lit(0)).alias("n_aligned"), (F.col("n_segments") - F.coalesce("n_aligned", F.lit(0))).alias("n_unassigned"), F.lit("en").alias("language"), F.lit("job").alias("job_id"))
-    quality = s.join(x.fx_media, "media_id").select("media_id", F.upper(sha).alias("sha256"), (F.col("duration_ms") + (m % 13 == 0).cast("int")).alias("duration_ms"), "score", "level", "n_passed", "n_failed", "n_warning", F.lit(None).cast("string").alias("job_id"))
-    asr = counts.select("media_id", sha.alias("sha256"), "n_segments", F.col("n_segments").alias("n_rows"), F.when(m % 17 == 0, "es").otherwise("en").alias("language"), F.lit("job").alias("job_id"))
+        "media_id", sha.alias("sha256"), "duration_ms", "n_segments", F.coalesce("n_aligned", F.lit(0)).alias("n_aligned"), (F.col("n_segments") - F.coalesce("n_aligned", F.lit(0)) + (m % 23 == 0).cast("int")).alias("n_unassigned"), F.lit("en").alias("language"), F.when(m % 8 == 0, "other").otherwise("job").alias("job_id"))
+    quality = s.join(x.fx_media, "media_id").select(
+        "media_id", F.when(m % 31 == 0, "y").otherwise(F.upper(sha)).alias("sha256"), (F.col("duration_ms") + (m % 13 == 0).cast("int")).alias("duration_ms"), "score", F.when(m % 14 == 0, "none").otherwise(F.col("level")).alias("level"),
+        "n_passed", "n_failed", (F.col("n_warning") + (m % 9 == 0).cast("int")).alias("n_warning"), F.lit(None).cast("string").alias("job_id"))
+    asr = counts.select("media_id", sha.alias("sha256"), "n_segments", (F.col("n_segments") + (m % 6 == 0).cast("int")).alias("n_rows"), F.when(m % 17 == 0, "es").otherwise("en").alias("language"), F.lit("job").alias("job_id"))
     return Q.validation_checks(media, alignment, quality, asr, d, x.fx_turns, r)
 
 
 CHECKS = f"""{RULES}, chk as (select media_id, code as check_code, case when bad then 'error' else 'passed' end as outcome from (
  select media_id, unnest(['VC01', 'VC02', 'VC03', 'VC04', 'VC05', 'VC06', 'VC07', 'VC08', 'VC09', 'VC10', 'VC11']) as code,
-  unnest([media_id % 11 = 0, false, media_id % 13 = 0, false, exists (select 1 from dlg d where d.media_id = m.media_id and (d.start_ms < 0 or d.end_ms <= d.start_ms or d.end_ms > m.duration_ms)), false, false, media_id % 17 = 0, false, false, false]) as bad from fx_media m) q)"""
+  unnest([media_id % 11 = 0 or media_id % 31 = 0, media_id % 8 = 0, media_id % 13 = 0, media_id % 23 = 0,
+   exists (select 1 from dlg d where d.media_id = m.media_id and (m.media_id % 19 = 0 or d.start_ms < 0 or d.end_ms <= d.start_ms or d.end_ms > m.duration_ms)),
+   media_id % 29 = 0 and exists (select 1 from dlg d where d.media_id = m.media_id), media_id % 6 = 0, media_id % 17 = 0, media_id % 14 = 0, media_id % 9 = 0, media_id % 31 = 0]) as bad from fx_media m) q)"""
 book.add("validation_checks", checks, f"with {CHECKS} select * from chk")
 book.add("validation_status", lambda x: Q.validation_status(checks(x)), f"""
 with {CHECKS} select media_id, coalesce(list(check_code order by check_code) filter (where outcome = 'error'), []) as errors, cast([] as varchar[]) as warnings,

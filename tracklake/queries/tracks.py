@@ -58,9 +58,15 @@ def docs(x: Inputs) -> DataFrame:
     return S.track_documents(dialogue(x), score(x), x.fx_media)
 
 
-book.add("write_documents", lambda x: docs(x).where("doc in ('transcript', 'metadata')").select("media_id", "doc", "content"), f"""
-with {RULES} select m.media_id, 'transcript' as doc, '{{"media_id":' || m.media_id || ',"text":"' || coalesce(replace(replace(string_agg(text, ' ' order by segment_index), '"', '\\"'), chr(10), '\\n'), '') || '"}}' as content from fx_media m left join dlg using (media_id) group by m.media_id
-union all select media_id, 'metadata', '{{"media_id":' || media_id || ',"duration_ms":' || duration_ms || '}}' from fx_media""")
+QUOTED = "replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't')"
+book.add("write_documents", lambda x: docs(x).select("media_id", "doc", "content"), f"""
+with {RULES}, talk as (select media_id, speaker_label, count(*) as n, cast(sum(end_ms - start_ms) as bigint) as ms from dlg group by 1, 2),
+ sp2 as (select media_id, '[' || string_agg('{{"speaker_label":"' || speaker_label || '","n_segments":' || n || ',"talk_ms":' || ms || '}}', ',' order by speaker_label) || ']' as c from talk group by 1),
+ sg as (select media_id, '[' || string_agg('{{"segment_index":' || segment_index || ',"speaker_label":"' || speaker_label || '","start_ms":' || start_ms || ',"end_ms":' || end_ms || ',"text":"' || {QUOTED} || '"}}', ',' order by segment_index) || ']' as c,
+  string_agg({QUOTED}, ' ' order by segment_index) as t from dlg group by 1)
+select m.media_id, unnest(['analysis', 'transcript', 'speakers', 'segments', 'metadata']) as doc, unnest([
+  '{{"media_id":' || m.media_id || ',"score":' || cast(score as varchar) || ',"level":"' || level || '"}}', '{{"media_id":' || m.media_id || ',"text":"' || coalesce(t, '') || '"}}', coalesce(sp2.c, '[]'), coalesce(sg.c, '[]'),
+  '{{"media_id":' || m.media_id || ',"duration_ms":' || duration_ms || '}}']) as content from fx_media m left join lvl using (media_id) left join sp2 using (media_id) left join sg using (media_id)""")
 book.add("output_manifest_check", lambda x: S.manifest_check(docs(x).where("not (doc = 'speakers' and media_id % 6 = 0)"), docs(x).select("media_id", "doc")), """
 select media_id, case when media_id % 6 = 0 then 4 else 5 end as n_files, case when media_id % 6 = 0 then 4 else 5 end as n_names, case when media_id % 6 = 0 then 4 else 5 end as n_hashes, case when media_id % 6 = 0 then 1 else 0 end as missing, media_id % 6 <> 0 as ok from fx_media""")
 
@@ -117,7 +123,7 @@ select media_id, bool_and(coalesce(s <= 0 and e >= d, false)) as complete from g
 
 # clustering
 book.add("cosine_pairs", lambda x: K.cosine_pairs(x.fx_subsegments), """
-with u as (select media_id, seed_label, vec_id, i, x / sqrt(sum(x * x) over (partition by vec_id)) as x from (select vec_id % 20 as media_id, case when label >= 7 then -1 else label end as seed_label, vec_id, unnest(range(1, 65)) as i, cast(unnest(embedding) as double) as x from embeddings) e),
+with u as (select media_id, seed_label, vec_id, i, x / sqrt(sum(x * x) over (partition by vec_id)) as x from (select cast(floor(vec_id / 100) as bigint) as media_id, case when label >= 7 then -1 else label end as seed_label, vec_id, unnest(range(1, 65)) as i, cast(unnest(embedding) as double) as x from embeddings) e),
  s as (select media_id, seed_label, i, sum(x) as x from u group by 1, 2, 3), n as (select media_id, seed_label, count(distinct vec_id) as n from u group by 1, 2)
 select a.media_id, a.seed_label as cluster_a, b.seed_label as cluster_b, round(sum(a.x * b.x) / (any_value(na.n) * any_value(nb.n)), 6) as mean_cosine from s a join s b on a.media_id = b.media_id and a.i = b.i and a.seed_label < b.seed_label
  join n na on na.media_id = a.media_id and na.seed_label = a.seed_label join n nb on nb.media_id = b.media_id and nb.seed_label = b.seed_label group by 1, 2, 3""")
