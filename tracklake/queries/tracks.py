@@ -15,6 +15,7 @@ from tracklake.queries.cues import cues as all_cues
 from tracklake.queries.intervals import COVER, coverage
 from tracklake.queries.quality import RULES, dialogue, score
 from tracklake.sources import documents as S
+from tracklake.sources import media as M
 from tracklake.streaming import live
 
 book = Book()
@@ -25,9 +26,8 @@ def jobs(x: Inputs) -> DataFrame:
 
 
 # stored tables and documents
-book.add("read_tables", lambda x: S.latest_cache(x.events.select(F.col("event_type").alias("cache_key"), F.when(F.col("event_id") % 3 != 0, F.col("props")).alias("value"), F.col("event_id").alias("written_at"))), """
+book.add("translation_cache_scan", lambda x: S.latest_cache(x.events.select(F.col("event_type").alias("cache_key"), F.when(F.col("event_id") % 3 != 0, F.col("props")).alias("value"), F.col("event_id").alias("written_at"))), """
 select event_type as cache_key, arg_max(props, event_id) as value from events where event_id % 3 <> 0 and props is not null group by 1""")
-book.queries["translation_cache_scan"], book.oracles["translation_cache_scan"] = book.queries.pop("read_tables"), book.oracles.pop("read_tables")
 book.add("read_tables", lambda x: jobs(x).groupBy("status").agg(F.count("*").alias("n_jobs"), F.count_distinct("project_id").alias("n_projects")), "select status, count(*) as n_jobs, count(distinct project_id) as n_projects from fx_jobs group by 1")
 
 
@@ -121,6 +121,36 @@ book.add("track_complete", lambda x: T.track_complete(coverage(x).withColumn("st
 with {COVER}, m as (select media_id, max(end_ms) - 800 as d from cov group by 1), g as (select media_id, d, unnest(['en', 'es']) as language from m), f as (select media_id, language, arg_min(end_ms, start_ms) as e, min(start_ms) - 700 as s from cov group by 1, 2)
 select media_id, bool_and(coalesce(s <= 0 and e >= d, false)) as complete from g left join f using (media_id, language) group by 1""")
 
+
+# media files, their bytes made of the given tables
+def page_files(x: Inputs) -> DataFrame:
+    ext = F.element_at(F.array(*map(F.lit, ("mp4", "WAV", "txt", "mp3", "mkv"))), (F.col("page_id") % 5 + 1).cast("int"))
+    content = F.when(F.col("page_id") % 11 == 0, F.lit("")).otherwise(F.col("html")).cast("binary")
+    return x.pages.select(F.concat(F.lit("file:/media/page "), F.col("page_id"), F.lit("."), ext).alias("path"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+
+
+book.add("media_manifest", lambda x: M.manifest(page_files(x), 3000), """
+with f as (select 'file:/media/page ' || page_id || '.' || e as path, 'page_' || page_id || '.' || e as safe_name, lower(e) as ext, case when page_id % 11 = 0 then '' else html end as html
+  from (select page_id, html, ['mp4', 'WAV', 'txt', 'mp3', 'mkv'][page_id % 5 + 1] as e from pages) p),
+ g as (select *, cast(strlen(html) as bigint) as size_bytes, case when html = '' then 'empty' when strlen(html) > 3000 then 'too_large' when ext = 'txt' then 'unsupported' end as error_code from f)
+select sha256(path) as media_id, path, safe_name, ext, size_bytes, case when error_code is null then sha256(html) end as sha256, error_code from g""")
+
+
+def wav_files(x: Inputs) -> DataFrame:
+    """One WAV file a user: each event is a block of 160 samples, one value; some files have another rate, some are cut."""
+    le = lambda c, n: F.concat(*[F.lpad(F.hex(F.shiftright(c, 8 * i).bitwiseAND(255)), 2, "0") for i in range(n)])
+    block = F.repeat(le((F.col("event_id") % 20_000).cast("int"), 2), F.lit(160))
+    data = x.events.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", block.alias("b")))), lambda e: e["b"]), "").alias("d"))
+    size, rate = (F.length("d") / 2).cast("int"), F.when(F.col("user_id") % 7 == 0, 8000).otherwise(16000)
+    text = lambda s: F.lit(s.encode().hex())
+    head = F.concat(text("RIFF"), le(size + 36, 4), text("WAVEfmt "), le(F.lit(16), 4), le(F.lit(1), 2), le(F.lit(1), 2), le(rate, 4), le(rate * 2, 4), le(F.lit(2), 2), le(F.lit(16), 2), text("data"), le(size, 4))
+    return data.select(F.concat(F.lit("file:/media/"), F.col("user_id"), F.lit(".wav")).alias("path"), F.unhex(F.when(F.col("user_id") % 11 == 0, F.lit("00")).otherwise(F.concat(head, "d"))).alias("content"))
+
+
+book.add("wav_blocks", lambda x: M.decoded(wav_files(x), 160).withColumn("rms", F.round("rms", 9)), """
+select 'file:/media/' || user_id || '.wav' as path, row_number() over (partition by user_id order by event_id) - 1 as block_index, round(event_id % 20000 / 32768.0e0, 9) as rms, 160 as n, cast(null as varchar) as error_code from events where user_id % 7 <> 0 and user_id % 11 <> 0
+union all select distinct 'file:/media/' || user_id || '.wav', null, null, null, case when user_id % 11 = 0 then 'unreadable' else 'format' end from events where user_id % 7 = 0 or user_id % 11 = 0""")
+
 # clustering
 book.add("cosine_pairs", lambda x: K.cosine_pairs(x.fx_subsegments), """
 with u as (select media_id, seed_label, vec_id, i, x / sqrt(sum(x * x) over (partition by vec_id)) as x from (select cast(floor(vec_id / 100) as bigint) as media_id, case when label >= 7 then -1 else label end as seed_label, vec_id, unnest(range(1, 65)) as i, cast(unnest(embedding) as double) as x from embeddings) e),

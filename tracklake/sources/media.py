@@ -14,6 +14,7 @@ from tracklake.functions.text import safe_filename
 
 EXTENSIONS = ("mp4", "mkv", "mov", "wav", "mp3", "m4a")
 LIMIT = 10 * 1024**3
+READ_LIMIT = 2**31 - 1024  # bytes of content that a column holds
 
 
 def binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -21,27 +22,36 @@ def binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def media_manifest(spark: SparkSession, path: str, limit: int = LIMIT) -> DataFrame:
-    """One row a file: media_id (sha256 of the path), path, safe_name, ext, size_bytes, sha256, error_code.
+def manifest(files: DataFrame, limit: int = LIMIT, read_limit: int = READ_LIMIT) -> DataFrame:
+    """One row a file (path, length, content): media_id (sha256 of the path), path, safe_name, ext, size_bytes, sha256, error_code.
 
     Errors in order: empty, too_large, unsupported. Only files without an error are read for their hash: the reader
-    prunes content where it is not asked for, and filters on length before it.
+    prunes content where it is not asked for, and filters on length before it. A file of over read_limit bytes, more than a
+    column can hold, is no error but has no hash.
     """
-    files = binary(spark, path)
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     error = F.when(F.col("length") == 0, "empty").when(F.col("length") > limit, "too_large").when(~ext.isin(*EXTENSIONS), "unsupported")
     columns = lambda sha: [F.sha2("path", 256).alias("media_id"), "path", F.substring(safe_filename(name), 1, 220).alias("safe_name"), ext.alias("ext"), F.col("length").alias("size_bytes"), sha.alias("sha256"), error.alias("error_code")]
-    # The reader passes over empty files; its listing has them.
+    readable = error.isNull() & (F.col("length") <= read_limit)
+    return files.where(readable).select(*columns(F.sha2("content", 256))).unionByName(files.where(~readable).select(*columns(F.lit(None).cast("string"))))
+
+
+def media_manifest(spark: SparkSession, path: str, limit: int = LIMIT) -> DataFrame:
+    """The manifest of the files under a path. The reader passes over empty files; they are taken from its listing."""
+    files = binary(spark, path)
     listed = [(re.sub(r"^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
-    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti").withColumn("length", F.lit(0).cast("long"))
-    good = files.where(error.isNull()).select(*columns(F.sha2("content", 256)))
-    bad = files.where(error.isNotNull()).select(*columns(F.lit(None).cast("string")))
-    return good.unionByName(bad).unionByName(empty.select(*columns(F.lit(None).cast("string"))))
+    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    return manifest(files, limit).unionByName(manifest(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")), limit))
 
 
 def wav_blocks(spark: SparkSession, path: str, block: int = 1600, rate: int = 16000, channel_mode: str = "mean") -> DataFrame:
-    """(path, block_index, rms, n, error_code) of 16-bit PCM WAV files; stereo is averaged, or its first channel taken.
+    """Blocks of the WAV files under a path, as decoded gives them."""
+    return decoded(binary(spark, path, "*.wav"), block, rate, channel_mode)
+
+
+def decoded(files: DataFrame, block: int = 1600, rate: int = 16000, channel_mode: str = "mean") -> DataFrame:
+    """(path, block_index, rms, n, error_code) of 16-bit PCM WAV files (path, content); stereo is averaged, or its first channel taken.
 
     A file that is no 16-bit PCM WAV at the rate has one row with an error code.
     """
@@ -66,4 +76,4 @@ def wav_blocks(spark: SparkSession, path: str, block: int = 1600, rate: int = 16
                 rms = [float(np.sqrt(np.mean(x[i : i + block] ** 2))) for i in starts]
                 yield pd.DataFrame({"path": p, "block_index": range(len(rms)), "rms": rms, "n": [len(x[i : i + block]) for i in starts], "error_code": None})
 
-    return binary(spark, path, "*.wav").select("path", "content").mapInPandas(run, "path string, block_index long, rms double, n long, error_code string")
+    return files.select("path", "content").mapInPandas(run, "path string, block_index long, rms double, n long, error_code string")
