@@ -21,6 +21,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 THRESHOLD = 0.9
 SUPPORT = 2
 GROUP_SUPPORT = 5
+BROADCAST_ROWS = 50_000  # (row, its flagged terms), at most, that are broadcast; more are joined by a shuffle
 POSITIONS = 1 << 20  # of the hashed sets (entities, terms, copied texts) that are broadcast: their size is bounded by this
 
 # Each pattern finds what the plain one finds, from left to right; look-behinds and possessive counts only keep long
@@ -174,8 +175,12 @@ def pii_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     terms = F.when(F.size("_tl_base") == 0, F.array().cast("array<string>")).otherwise(F.array_remove(words_of(masked(F.col("text"), F.col("_tl_base"))), ""))
     rows = cut(rows.select("doc_id", "_tl_row", "_tl_copy", "text", base.alias("found"), entities_of(F.col("_tl_base")).alias("entities"), terms.alias("terms")))
     flagged = cut(disclosing(rows, threshold, support, group_support).select("term").distinct())
-    hits = rows.select("_tl_row", F.explode(matches(masked(F.col("text"), F.col("found")), WORD, F.lit(True))).alias("m")).select("_tl_row", F.lower("m.value").alias("term"), "m.start", "m.end")
-    hits = hits.withColumn("place", place("term")).join(places(flagged, "term"), "place", "left_semi").join(flagged, "term", "left_semi")
+    # which rows have which flagged terms, from their words alone; only those rows' words are then given places
+    held = rows.select("_tl_row", F.explode(words_of(masked(F.col("text"), F.col("found")))).alias("term")).withColumn("place", place("term"))
+    held = held.join(places(flagged, "term"), "place", "left_semi").join(flagged, "term", "left_semi").groupBy("_tl_row").agg(F.collect_list("term").alias("flagged"))
+    held = cut(held)
+    wanted = rows.select("_tl_row", "text", "found").join(F.broadcast(held) if held.count() <= BROADCAST_ROWS else held, "_tl_row")
+    hits = wanted.select("_tl_row", "flagged", F.explode(matches(masked(F.col("text"), F.col("found")), WORD, F.lit(True))).alias("m")).where(F.array_contains("flagged", F.lower("m.value"))).select("_tl_row", "m.start", "m.end")
     added = hits.groupBy("_tl_row").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("k"), "end")).alias("added"))
     names = lambda a: F.transform(a, lambda p: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), p["k"] + 1).alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
     spans = F.when(F.col("added").isNull(), F.col("found")).otherwise(F.sort_array(F.concat("found", "added")))
