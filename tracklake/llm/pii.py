@@ -21,8 +21,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 THRESHOLD = 0.9
 SUPPORT = 2
 GROUP_SUPPORT = 5
-BROADCAST_ROWS = 50_000  # (row, its flagged terms), at most, that are broadcast; more are joined by a shuffle
-POSITIONS = 1 << 20  # of the hashed sets (entities, terms, copied texts) that are broadcast: their size is bounded by this
+BROADCAST_ROWS = 50_000  # (text, its flagged terms), at most, that are broadcast; more are joined by a shuffle
+POSITIONS = 1 << 20  # of the hashed sets (entities, terms) that are broadcast: their size is bounded by this
 
 # Each pattern finds what the plain one finds, from left to right; look-behinds and possessive counts only keep long
 # runs of letters or digits from being tried again at every offset.
@@ -134,32 +134,36 @@ def one_each(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy("_tl_copy").agg(*[F.first(c).alias(c) for c in columns])
 
 
-def disclosing(rows: DataFrame, threshold: float, support: int, group_support: int) -> DataFrame:
-    """(entity, term) pairs over the threshold. rows: _tl_copy (its text's hash), text, found (base spans), and entities and
-    terms of the text.
+def candidate_pairs(rows: DataFrame, n: int, support: int, group_support: int, threshold: float) -> tuple[DataFrame, Column]:
+    """(entity, term, n_te, n_e) that the texts with entities alone do not show to be too loose, and whether a pair reveals.
 
-    Words are counted within tasks first, and only those whose hash is a candidate's. Texts that have no copy stay where
-    they are; of the others (found by a hashed set, so perhaps a few more) one of each is taken. Entities of fewer than
-    support texts can have no pair, so most are gone before pairs are made, and pairs that the texts with entities alone
-    show to be too loose (n(t) is their number at least) before words are counted everywhere.
+    n: different texts. Entities of fewer than support texts can have no pair, so most are gone before pairs are made; n(t)
+    is the number of those texts that hold the term at least. The second is a column over n_te, n_e and n_t.
     """
-    copies = rows.groupBy("_tl_copy").agg(F.count("*").alias("n"))
-    n = copies.count()
     enough = lambda c: F.col(c) >= F.when(F.col("entity").startswith("="), support).otherwise(group_support)
     near = cut(one_each(rows.where(F.size("entities") > 0), "entities", "terms"))
     n_e = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(enough("n_e"))
     wanted = near.select(F.explode("entities").alias("entity"), "terms").withColumn("place", place("entity")).join(places(n_e, "entity"), "place", "left_semi")
     pairs = wanted.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(enough("n_te"))
     ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    reveals = lambda n_t: (ic > 0) & (ic + F.log2(F.col("n_te") / F.col(n_t)) >= threshold * ic)
-    least = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    pairs = cut(pairs.join(n_e, "entity").join(least, "term").where(reveals("least")).drop("least"))
-    placed = rows.select("_tl_copy", masked(F.col("text"), F.col("found")).alias("text"), place("_tl_copy").alias("place"))
-    copied = places(copies.where("n > 1"), "_tl_copy")
-    texts = placed.join(copied, "place", "left_anti").select("text").unionAll(one_each(placed.join(copied, "place", "left_semi"), "text").select("text"))
-    words = texts.select(F.explode(words_of(F.col("text"))).alias("term"))
-    n_t = words.withColumn("place", place("term")).join(places(pairs, "term"), "place", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    return pairs.join(n_t, "term").where(reveals("n_t")).select("entity", "term")
+    reveals = (ic > 0) & (ic + F.log2(F.col("n_te") / F.col("n_t")) >= threshold * ic)
+    least = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    return cut(pairs.join(n_e, "entity").join(least, "term").where(reveals).drop("n_t")), reveals
+
+
+def disclosing(docs: DataFrame, rows: DataFrame, threshold: float, support: int, group_support: int) -> DataFrame:
+    """(_tl_copy, flagged): the disclosing terms that a text holds, for texts that hold any.
+
+    docs: _tl_copy (the text's hash), text, _tl_base (its base spans); rows: _tl_copy, and entities and terms of the text. Words that may disclose are
+    taken from all texts, once for each different text; a term's texts are counted, and texts found again, from that small
+    table alone, so no text is shuffled, whatever share of the corpus is copies.
+    """
+    pairs, reveals = candidate_pairs(rows, rows.select("_tl_copy").distinct().count(), support, group_support, threshold)
+    words = docs.select("_tl_copy", F.explode(words_of(masked(F.col("text"), F.col("_tl_base")))).alias("term")).withColumn("place", place("term"))
+    words = cut(words.join(places(pairs, "term"), "place", "left_semi").select("_tl_copy", "term").distinct())
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    flagged = pairs.join(n_t, "term").where(reveals).select("term").distinct()
+    return cut(words.join(flagged, "term", "left_semi").groupBy("_tl_copy").agg(F.collect_list("term").alias("flagged")))
 
 
 def pii_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT, group_support: int = GROUP_SUPPORT, keep_text: bool = False) -> DataFrame:
@@ -169,22 +173,20 @@ def pii_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     that repeat an id, or a text, each get their own; copies of a text count once in the corpus statistics. An empty
     table stays empty. Other columns are not read.
     """
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_tl_row"), F.xxhash64("text").alias("_tl_copy"), "text", base_spans(F.col("text")).alias("_tl_base"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_tl_copy", F.xxhash64("text"))
+    placed = lambda d: d.withColumn("_tl_base", base_spans(F.col("text")))  # found anew in each pass, so that no text is written
     base = F.transform("_tl_base", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
     terms = F.when(F.size("_tl_base") == 0, F.array().cast("array<string>")).otherwise(F.array_remove(words_of(masked(F.col("text"), F.col("_tl_base"))), ""))
-    rows = cut(rows.select("doc_id", "_tl_row", "_tl_copy", "text", base.alias("found"), entities_of(F.col("_tl_base")).alias("entities"), terms.alias("terms")))
-    flagged = cut(disclosing(rows, threshold, support, group_support).select("term").distinct())
-    # which rows have which flagged terms, from their words alone; only those rows' words are then given places
-    held = rows.select("_tl_row", F.explode(words_of(masked(F.col("text"), F.col("found")))).alias("term")).withColumn("place", place("term"))
-    held = held.join(places(flagged, "term"), "place", "left_semi").join(flagged, "term", "left_semi").groupBy("_tl_row").agg(F.collect_list("term").alias("flagged"))
-    held = cut(held)
-    wanted = rows.select("_tl_row", "text", "found").join(F.broadcast(held) if held.count() <= BROADCAST_ROWS else held, "_tl_row")
-    hits = wanted.select("_tl_row", "flagged", F.explode(matches(masked(F.col("text"), F.col("found")), WORD, F.lit(True))).alias("m")).where(F.array_contains("flagged", F.lower("m.value"))).select("_tl_row", "m.start", "m.end")
-    added = hits.groupBy("_tl_row").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("k"), "end")).alias("added"))
+    own = ["doc_id", "_tl_copy", *(["text"] if keep_text else [])]
+    rows = cut(placed(docs).select(*own, base.alias("found"), entities_of(F.col("_tl_base")).alias("entities"), terms.alias("terms")))
+    held = disclosing(placed(docs), rows, threshold, support, group_support)  # only these texts' words are given places
+    wanted = docs.join(F.broadcast(held) if held.count() <= BROADCAST_ROWS else held, "_tl_copy")
+    hits = placed(wanted).select("doc_id", "_tl_copy", "flagged", F.explode(matches(masked(F.col("text"), F.col("_tl_base")), WORD, F.lit(True))).alias("m")).where(F.array_contains("flagged", F.lower("m.value")))
+    term = F.struct("m.start", F.lit(KINDS.index("term")).alias("k"), "m.end")
+    added = hits.groupBy(F.col("doc_id").alias("_tl_id"), F.col("_tl_copy").alias("_tl_of")).agg(F.collect_set(term).alias("added"))  # rows of one id and text alike
     names = lambda a: F.transform(a, lambda p: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), p["k"] + 1).alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
     spans = F.when(F.col("added").isNull(), F.col("found")).otherwise(F.sort_array(F.concat("found", "added")))
-    out = rows.join(added, "_tl_row", "left")
+    out = rows.join(added, F.col("doc_id").eqNullSafe(F.col("_tl_id")) & (F.col("_tl_copy") == F.col("_tl_of")), "left")
     return out.select("doc_id", names(F.col("found")).alias("base"), names(spans).alias("spans"), *(["text"] if keep_text else []))
 
 
