@@ -128,11 +128,13 @@ def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     """Write (doc_id, shard, first, n_tokens, tokens) to path, ascending by id over files and in each.
 
     `first` counts the ids of the shard's earlier documents. Null texts are empty and have the end id alone; null ids come
-    first; rows that repeat an id are each written, ordered by text. An empty table writes no rows.
+    first; rows that repeat an id are each written, ordered by a hash of their text, over as many files as they need. An
+    empty table writes no rows.
     """
     small_batches(df.sparkSession)
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
-    source = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    content = F.coalesce(F.col(text), F.lit(""))
+    source = df.select(F.col(doc_id).alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -149,8 +151,8 @@ def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
             first += int(ends[-1])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, f"doc_id {kind}, shard int, first long, n_tokens long, tokens array<int>").write.options(**FORMAT).parquet(path)
+    ordered = source.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shard int, first long, n_tokens long, tokens array<int>").write.options(**FORMAT).parquet(path)
 
 
 def write_and_read(df: DataFrame, path: str | None = None, **how: object) -> DataFrame:
