@@ -530,3 +530,33 @@ def test_extra_columns_do_not_clash(spark, docs):
     clash = frame(spark, docs).withColumns({c: F.lit("z") for c in ("fp", "component_id", "doc", "parts", "at", "n", "keys", "found", "terms", "owned", "start", "tokens", "id", "base_failed", "lang_pred")})
     for op in (secret_scan.secret_spans, tokens.write_and_read, substring_dedup.remove_repeats, pii.pii_spans, simhash.near_duplicates, quality_rules.quality_rules, mixing.mix):
         assert op(clash).count() == len(docs), op
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(9)
+    say = lambda n: " ".join(rnd.choice("the of and to lorem ipsum élan río straße 中文 a1b2 x|y".split()) + str(rnd.randrange(300)) for _ in range(n))
+    passage = say(25)
+    long = f"{say(30_000)} {passage} {say(20)}\n{say(20)} secret: abcdef12 {say(30_000)} {'0a1b' * 8} {passage}"
+    texts = {1: f"short {passage}", 2: long, 3: "x" * 300_000, 4: long, 5: "y\n" * 50_000}
+    df = frame(spark, texts)
+    assert spans(secret_scan.secret_spans(df).collect(), "base") == {i: brute.secrets(t) for i, t in texts.items()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute.repeats(texts) and got[2][1] >= 50
+    assert all(simhash.fingerprint(t) & (2**64 - 1) == brute.simhash(t) for t in texts.values())
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == brute.components(texts)
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert {r["doc_id"]: tuple(r[c] for c in columns) for r in quality_rules.quality_rules(df).collect()} == {i: brute.base_counts(t) for i, t in texts.items()}
+    model = quality_classifier.fit(df, frame(spark, {i: say(9) for i in range(20)}))
+    assert all(0 <= r["score"] <= 1 for r in quality_classifier.predict(df, model).collect())
+
+
+def test_tokens_of_rows_that_share_an_id_take_many_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tokens.write_tokens(spark.range(4000).selectExpr("cast(if(id % 4 = 0, id, null) as long) as doc_id", "concat('word ', id) as text"), f"file://{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    rows = spark.read.parquet(f"file://{tmp_path}/t")
+    assert rows.count() == 4000 and rows.where("doc_id is null").select("shard").distinct().count() > 2
+    edges = rows.groupBy("shard").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("a"), F.max(F.coalesce("doc_id", F.lit(-1))).alias("b")).orderBy("shard").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(edges, edges[1:], strict=False))
