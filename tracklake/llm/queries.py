@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import decontaminate, language_id, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, tokens
+from tracklake.llm import decontaminate, filter_audit, language_id, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, tokens
 from tracklake.llm.common import held_out, table
 
 
@@ -80,9 +80,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.predict(docs, model)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_token_output, op3_source_mixing, op4_substring_dedup, op5_language_id, op6_benchmark_decontamination, op7_pii, op8_simhash_near_dedup, op9_quality_rules,
-        op10_quality_classifier,
+        op10_quality_classifier, op11_filter_audit,
     )
 }

@@ -84,9 +84,23 @@ with recursive src as (select doc_id, source, coalesce(source, ' none') as s fro
  b as (select doc_id, source, rank, rank // b as block, q, k, w[k + 1] as w from ranked join n using (s), size, shares)
 select doc_id, source, rank, block, block // w * q + slot as slot, block * q // w as release, ((block + 1) * q + w - 1) // w as deadline, true as mixed from b join period on b.k = period.k and block % w = j"""
 
+FILTER_AUDIT = r"""
+with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+ marks as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by 1),
+ fails as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, case when len(ws) < 100 then 'A' else '' end || case when 100 * len(list_distinct(ws)) < 80 * len(ws) then 'B' else '' end
+  || case when 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) then 'C' else '' end || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end || case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end as failed from t left join marks using (doc_id)),
+ sets as (select part, failed, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from fails group by 1, 2),
+ l as (select unnest(['A', 'B', 'C', 'D', 'E']) as l), orders as (select string_agg(x.l, '' order by i) as filter_order from (select row_number() over () as o, [a.l, b.l, c.l, d.l, e.l] as x from l a, l b, l c, l d, l e) y, unnest(x) with ordinality as x(l, i) group by o having count(distinct x.l) = 5),
+ steps as (select part, filter_order, step, filter_order[step] as f, filter_order[1:step - 1] as before from (select distinct part from sets) p, orders, range(1, 6) r(step)),
+ each as (select part, filter_order, step, f, failed, n, good, toxic, contains(failed, f) as fails, translate(failed, before, '') = failed as alive from steps join sets using (part)),
+ rows as (select part, filter_order, step, f, cast(coalesce(sum(n) filter (where alive and not fails), 0) as bigint) as kept, cast(coalesce(sum(n) filter (where alive and fails), 0) as bigint) as removed, cast(coalesce(sum(n) filter (where fails and not alive), 0) as bigint) as redundant,
+  cast(coalesce(sum(n) filter (where failed = f), 0) as bigint) as unique_fails, cast(coalesce(sum(good) filter (where alive and fails), 0) as bigint) as good_lost, cast(coalesce(sum(toxic) filter (where alive and fails), 0) as bigint) as toxic_lost from each group by 1, 2, 3, 4)
+select part, filter_order, cast(step as integer) as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from rows"""
+
 ORACLES: dict[str, str] = {
     "op3_source_mixing": MIXING,
     "op4_substring_dedup": SUBSTRING_DEDUP,
     "op6_benchmark_decontamination": DECONTAMINATION,
     "op9_quality_rules": quality(),
+    "op11_filter_audit": FILTER_AUDIT,
 }
