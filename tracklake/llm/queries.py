@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import decontaminate, filter_audit, language_id, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, tokens
+from tracklake.llm import conversation_repair, decontaminate, filter_audit, language_id, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, tokens, url_filters
 from tracklake.llm.common import held_out, table
 
 
@@ -84,9 +84,25 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+URL_RULES = [url_filters.Rule("block", "net", "/"), url_filters.Rule("allow", "example.net", "/en/"), url_filters.Rule("block", "example.com", "/de/"), url_filters.Rule("allow", "org", "/fr/")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    out = conversation_repair.repair(conversation_repair.damaged(given)).withColumnRenamed("conv_id", "_conv")
+    every = given.select("conv_id").distinct().join(out, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)} | {c: F.lit(0).cast("long") for c in counts}
+    return every.select("conv_id", *[F.coalesce(c, nothing[c]).alias(c) for c in (*counts, "audit", "repaired_sha256")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_token_output, op3_source_mixing, op4_substring_dedup, op5_language_id, op6_benchmark_decontamination, op7_pii, op8_simhash_near_dedup, op9_quality_rules,
-        op10_quality_classifier, op11_filter_audit,
+        op10_quality_classifier, op11_filter_audit, op12_url_filters, op13_conversation_repair,
     )
 }
