@@ -47,25 +47,37 @@ def row_stage(code: str) -> Stage:
     )
 
 
-def auction(arcs: list[Arcs], prices: list[float], start: int, goal: int) -> None:
-    """Raise prices until they pay for a cheapest path from start to goal. They must not pay for more than any arc costs."""
+def leading(arcs: list[Arcs], goal: int) -> tuple[list[Arcs], set[int]]:
+    """The arcs and nodes from which the goal can be reached: on a way round without it prices would rise for ever."""
+    into: list[list[int]] = [[] for _ in arcs]
+    for i, out in enumerate(arcs):
+        for _, j, _ in out:
+            into[j].append(i)
+    reach, todo = {goal}, [goal]
+    while todo:
+        for i in into[todo.pop()]:
+            if i not in reach:
+                reach.add(i)
+                todo.append(i)
+    return [[a for a in out if a[1] in reach] for out in arcs], reach
+
+
+def auction(arcs: list[Arcs], prices: list[int], start: int, goal: int) -> None:
+    """Raise prices until they pay for a cheapest path from start to goal, which must be there. To begin with they must pay
+    for no more than any arc costs."""
     path = [start]
     while path[-1] != goal:
-        i, least, head = path[-1], float("inf"), -1
-        for _, j, cost in arcs[i]:
-            if cost + prices[j] < least:
-                least, head = cost + prices[j], j
+        i = path[-1]
+        least, head = min((cost + prices[j], j) for _, j, cost in arcs[i])
         if prices[i] < least:
             prices[i] = least
             if len(path) > 1:
                 path.pop()
-            elif least == float("inf"):
-                return
         else:
             path.append(head)
 
 
-def tight(arcs: list[Arcs], prices: list[float], start: int, goal: int) -> str:
+def tight(arcs: list[Arcs], prices: list[int], start: int, goal: int) -> str:
     """The least letters along tight arcs from start to goal. No two arcs of a node have letters that begin alike."""
     into: dict[int, list[int]] = {}
     seen, todo = {start}, [start]
@@ -110,11 +122,11 @@ def through(stages: list[Stage], last: bool, inserts: bool, starts: Iterable[int
         floor[k] = floor[k + 1] + min(cost for by in stages[k] for _, _, cost in by)
     out: list[list[tuple[str, int, int]]] = [[] for _ in range(4)]
     for state, goal in [(0, end)] if last else [(q, 4 * n + q) for q in range(4)]:
-        prices = [float(floor[min(i // 4, n)]) for i in range(end + 1)]
-        for q in starts:
-            auction(arcs, prices, q, goal)
-            if prices[q] < float("inf"):
-                out[q].append((tight(arcs, prices, q, goal), state, int(prices[q] - prices[goal])))
+        prices = [floor[min(i // 4, n)] for i in range(end + 1)]
+        ways, reach = leading(arcs, goal)
+        for q in reach.intersection(starts):
+            auction(ways, prices, q, goal)
+            out[q].append((tight(ways, prices, q, goal), state, prices[q] - prices[goal]))
     return tuple(map(tuple, out))
 
 
