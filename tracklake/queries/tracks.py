@@ -164,7 +164,7 @@ book.add("diarize_from_embeddings", lambda x: K.diarize(x.fx_subsegments))
 # streaming: batch twins; the streams are held against them in tests
 book.add("utterance_endpointing", lambda x: live.utterances(x.fx_chunks))
 book.add("control_reset", lambda x: live.utterances(x.fx_chunks).where("event = 'cleared'"))
-book.add("late_drop", lambda x: live.utterances(x.fx_chunks).groupBy("session_id").agg(F.count_if(F.col("event") == "dropped").alias("n_dropped"), F.count_if(F.col("event") == "final").alias("n_final")))
+book.add("late_drop", lambda x: live.utterances(live.queued(x.fx_chunks.withColumn("batch", F.floor(F.col("seq") / 60)))).groupBy("session_id").agg(F.count_if(F.col("event") == "dropped").alias("n_dropped"), F.count_if(F.col("event") == "final").alias("n_final")))
 book.add("epoch_filter", lambda x: live.epoch_filter(x.fx_chunks.withColumn("epoch", F.when(F.col("seq") % 4 != 0, (F.col("seq") * 7) % 11))).select("session_id", "seq"), """
 with e as (select session_id, seq, case when seq % 4 <> 0 then seq * 7 % 11 end as epoch from fx_chunks), m as (select *, max(epoch) over (partition by session_id order by seq rows between unbounded preceding and current row) as m from e)
 select session_id, seq from m where epoch is null or epoch >= m""")
