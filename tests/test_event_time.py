@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 from tracklake.operators.tracks import job_status
-from tracklake.streaming import event_time, live
+from tracklake.streaming import event_time, live, progressive
 
 CHUNK = "session_id long, seq long, kind string, epoch long, time_ms long, rms double, n_samples long"
 
@@ -130,3 +130,107 @@ def test_job_statuses_expire(rocks, tmp_path):
     feed.add(rocks.createDataFrame([(50, 100, "QUEUED")], df.schema))
     feed.run(1)
     assert [r["key"]["job_id"] for r in feed.state("status").collect()] == [50]
+
+
+SEGMENTS = "media_id long, window_index long, segments array<struct<start_ms:bigint,end_ms:bigint,text:string,speaker:string>>"
+
+
+def told(windows, window_ms, overlap_ms):
+    """Cues of one medium's windows by the rules, segment after segment."""
+    cues, memory = [], {}
+    for index, segments in windows:
+        reached = max([c[2] for c in cues], default=0)
+        floor = reached + 1 if cues else 0
+        kept = []
+        for start, end, text, speaker in sorted(segments, key=lambda s: (s[0], s[1], s[2] is not None, s[2] or "", s[3] or "")):
+            text = " ".join((text or "").split())
+            if end <= max(reached, floor) or end <= max(start, floor):
+                continue
+            start = max(start, floor)
+            if text.lower() in memory and start <= reached + overlap_ms:
+                continue
+            if text:
+                kept.append((start, end, text, speaker or ""))
+        kept.sort(key=lambda s: s[:2])
+        raw = []
+        for start, end, text, speaker in kept:
+            lines, line = [], ""
+            for word in text.split(" "):
+                word = word[:42]
+                if line and len(line) + 1 + len(word) > 42:
+                    lines.append(line)
+                    line = word
+                else:
+                    line = f"{line} {word}" if line else word
+            lines.append(line)
+            blocks = [lines[i : i + 2] for i in range(0, len(lines), 2)]
+            total, cursor = sum(map(len, lines)), start
+            for block in blocks:
+                size = sum(map(len, block))
+                stop = cursor + min(7000, max(800, int(max(800, end - start) * size / total)))
+                raw.append((cursor, stop, "\n".join(block), size, speaker))
+                cursor = stop
+        before = None
+        new = []
+        for i, (start, end, text, size, speaker) in enumerate(raw):
+            if before is not None and start < before + 80:
+                start = before + 80
+            end = max(end, start + 800)
+            following = raw[i + 1][0] if i + 1 < len(raw) else end + 80
+            if end > following - 80:
+                end = max(start + 1, following - 80)
+            if size * 1000 > 17 * (end - start):
+                end = min(max(end, start + int(size / 17.0 * 1000)), max(start + 1, following - 80))
+            before = end
+            new.append((index, start, end, text, speaker))
+        for _, _, end, text, _ in new:
+            memory[" ".join(text.split()).lower()] = max(end, memory.get(" ".join(text.split()).lower(), 0))
+        cues += [(i, s, e, t, w) for i, s, e, t, w in new]
+        if new:
+            reached = max(c[2] for c in cues)
+            memory = {t: end for t, end in memory.items() if end >= reached - window_ms - 2 * overlap_ms}
+    return [(i, n, s, e, t, w) for n, (i, s, e, t, w) in enumerate(cues, 1)]
+
+
+def media_windows(n, seed=7):
+    """Windows of 3 s that overlap by half a second, with what both heard said twice."""
+    rnd = random.Random(seed)
+    out = {}
+    for m in range(n):
+        windows = []
+        for w in range(rnd.randrange(0, 7)):
+            lo = 2500 * w
+            segments = [(s := lo + rnd.randrange(-200, 3000), s + rnd.randrange(-50, 2500), rnd.choice(["yes", "Yes", "no", "well then", "a " * rnd.randrange(1, 90), "word" * 20 + " x", "", None, f"talk {rnd.randrange(5)} of  it"]), rnd.choice(["A", "B", None])) for _ in range(rnd.randrange(0, 5))]
+            windows.append((w, segments))
+        out[m] = windows
+    return out
+
+
+def cue(r):
+    return (r["window_index"], r["cue_index"], r["start_ms"], r["end_ms"], r["text"], r["speaker"])
+
+
+def test_cues_across_windows_equal_a_plain_loop(spark):
+    media = media_windows(500)
+    rows = [(m, w, segments) for m, windows in media.items() for w, segments in windows]
+    random.Random(1).shuffle(rows)
+    flat = spark.createDataFrame([(m, w, *s) for m, w, segments in rows for s in segments], "media_id long, window_index long, start_ms long, end_ms long, text string, speaker string")
+    out = {}
+    for r in progressive.progressive_cues(progressive.by_window(flat), 3000, 500).orderBy("media_id", "cue_index").collect():
+        out.setdefault(r["media_id"], []).append(cue(r))
+    want = {m: told([w for w in windows if w[1]], 3000, 500) for m, windows in media.items()}
+    assert out == {m: cues for m, cues in want.items() if cues}
+    assert sum(map(len, out.values())) > 1500
+
+
+def test_cue_stream_is_its_batch_twin(rocks, tmp_path):
+    rows = [(m, w, segments) for m, windows in media_windows(12, 8).items() for w, segments in windows]
+    df = rocks.createDataFrame(rows, SEGMENTS).withColumn("segments", F.array_sort("segments"))
+    feed = Feed(rocks, tmp_path, lambda s: progressive.progressive_cue_stream(s, "at", 3000, 500, "20 seconds", 60_000))
+    timed = df.withColumn("at", at(3 * F.col("window_index") + F.col("media_id") % 5))
+    for part in (timed.where("(media_id + window_index) % 3 <> 0 and window_index < 4"), timed.where("(media_id + window_index) % 3 = 0 or window_index >= 4"), timed.limit(1).withColumns({"media_id": F.lit(99).cast("long"), "at": at(F.lit(9000))})):
+        feed.add(part)
+        feed.run()
+    got = sorted((r["media_id"], *cue(r)) for r in feed.rows() if r["media_id"] != 99)
+    assert got == sorted((r["media_id"], *cue(r)) for r in progressive.progressive_cues(df, 3000, 500).collect())
+    assert feed.dropped() == 0 and feed.state("folded").where("key.media_id <> 99").count() == 0

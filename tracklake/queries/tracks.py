@@ -16,7 +16,9 @@ from tracklake.queries.intervals import COVER, coverage
 from tracklake.queries.quality import RULES, dialogue, score
 from tracklake.sources import documents as S
 from tracklake.sources import media as M
-from tracklake.streaming import live
+from tracklake.sources import track_store
+from tracklake.storage import new_path
+from tracklake.streaming import live, progressive
 
 book = Book()
 
@@ -79,6 +81,19 @@ def writes(x: Inputs, new: bool) -> DataFrame:
 book.add("upsert_tracks", lambda x: T.upsert_tracks(T.latest_wins(writes(x, False), ["project_id", "language"], "updated_at"), writes(x, True)), """
 select o_custkey % 200 as project_id, case when o_orderkey % 3 = 0 then 'es' else 'en' end as language, max(o_orderkey) as cues, max(o_orderkey) as updated_at from orders group by 1, 2""")
 
+
+
+def stored_writes(x: Inputs) -> DataFrame:
+    """All writes of tracks, put into a store in three batches, the second of them twice."""
+    store, both = new_path(x.spark), writes(x, False).unionByName(writes(x, True))
+    for batch in (0, 1, 1, 2):
+        track_store.write_batch(both.where(F.col("updated_at") % 3 == batch), store, batch)
+    return track_store.read_store(x.spark, store, both.schema)
+
+
+book.add("track_sink", stored_writes, """
+select o_custkey % 200 as project_id, case when o_orderkey % 3 = 0 then 'es' else 'en' end as language, max(o_orderkey) as cues, max(o_orderkey) as updated_at from orders group by 1, 2""")
+
 # jobs
 book.add("recent_jobs", lambda x: T.top_jobs(jobs(x), "user_id", 20).select("user_id", "job_id", "rank"), "select * from (select user_id, job_id, row_number() over (partition by user_id order by created_at desc, job_id desc) as rank from fx_jobs) r where rank <= 20")
 book.add("newest_project_job", lambda x: T.top_jobs(jobs(x), "project_id", 1).select("project_id", "job_id"), "select project_id, arg_max(job_id, (created_at, job_id)) as job_id from fx_jobs group by 1")
@@ -178,6 +193,7 @@ def windows(x: Inputs) -> DataFrame:
 
 
 book.add("progressive_dedup", lambda x: live.progressive_dedup(windows(x), 6000, 1000))
+book.add("progressive_cues", lambda x: progressive.progressive_cues(progressive.by_window(windows(x).withColumn("speaker", F.lit(None).cast("string"))), 6000, 1000))
 book.add("rate_limit_events", lambda x: live.rate_limit(x.events.select(F.col("user_id").alias("key"), F.unix_timestamp("ts").alias("at"), "event_id"), 3, 86_400))
 book.add("snapshot_then_deltas", lambda x: live.deltas_since(x.events.where("event_id % 2 = 0").select(F.col("user_id").alias("topic"), F.col("event_id").alias("item_seq")), x.events.where("event_id % 2 = 1").select(F.col("user_id").alias("topic"), F.col("event_id").alias("item_seq")), x.customer.select(F.col("c_custkey").alias("consumer_id"), (F.col("c_custkey") % 100).alias("topic"), (F.col("c_custkey") * 5).alias("seq"))), """
 with j as (select c_custkey as consumer_id, c_custkey % 100 as topic, c_custkey * 5 as seq from customer)
