@@ -13,7 +13,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm.common import cut, small_batches
@@ -92,6 +92,16 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small.where("u <> v").distinct())
 
 
+def grouped(df: DataFrame, doc_id: str, text: str, shingle: int, wide: int, **more: Column) -> DataFrame:
+    """doc_id, fp, root (the group's smallest fingerprint), component_id and the columns of `more` for each row of df."""
+    docs = cut(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[c.alias(name) for name, c in more.items()]), shingle=shingle))
+    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    roots = nodes.join(components(links(nodes, wide)).withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = cut(roots)
+    named = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return docs.join(cut(roots.join(named, "root").select("fp", "root", "component_id")), "fp").select("doc_id", "fp", "root", "component_id", *more)
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, wide: int = WIDE) -> DataFrame:
     """One row per row of df: doc_id, fp (long) and component_id, the smallest doc_id reachable over links.
 
@@ -99,20 +109,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     share fingerprint 0. Null ids are fingerprinted and grouped but never name a component (null if no other id is
     there). Repeated rows each get their row. An empty table gives an empty result. Other columns are not read.
     """
-    docs = cut(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle))
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = nodes.join(components(links(nodes, wide)).withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = cut(roots)
-    named = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return docs.join(cut(roots.join(named, "root").select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
+    return grouped(df, doc_id, text, shingle, wide).select("doc_id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one document of each near-duplicate group: the one with the smallest id; columns as in df.
 
-    Rows that repeat an id count as one document; a group of null ids alone keeps a row for each distinct text.
+    A document is an id and a text: rows of one id with different texts are judged apart, and if they are near each other one
+    of them stays; rows that repeat both count as one. A group of null ids alone keeps a row for each distinct text.
     """
-    gone = near_duplicates(df, doc_id, text).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_tl_id")).distinct()
-    kept = df.join(gone, F.col(doc_id) == F.col("_tl_id"), "left_anti")
-    w = Window.partitionBy(F.col(doc_id), F.when(F.col(doc_id).isNull(), F.xxhash64(text))).orderBy(F.col(text).asc_nulls_last())
-    return kept.withColumn("_tl_nth", F.row_number().over(w)).where("_tl_nth = 1").drop("_tl_nth")
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    # A row of the group's smallest id stays; of several such texts the one of the smallest hash. Counted before groups meet.
+    rows = cut(grouped(df, doc_id, text, 3, WIDE, th=hashed).groupBy("root", "component_id", "doc_id", "th").agg(F.count("*").alias("n")))
+    first = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min("th").alias("first"))
+    stays = F.col("component_id").isNull() | (F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)) & (F.col("th") == F.col("first")))
+    gone = rows.join(first, "root", "left").where(~stays).select(F.col("doc_id").alias("_tl_id"), F.col("th").alias("_tl_th"))
+    kept = df.withColumn("_tl_of", hashed).join(gone, F.col(doc_id).eqNullSafe(F.col("_tl_id")) & (F.col("_tl_of") == F.col("_tl_th")), "left_anti")
+    w = Window.partitionBy(doc_id, "_tl_of").orderBy(F.col(text).asc_nulls_last())
+    return kept.withColumn("_tl_nth", F.row_number().over(w)).where("_tl_nth = 1").drop("_tl_nth", "_tl_of")
