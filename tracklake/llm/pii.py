@@ -6,7 +6,9 @@ its document are terms, whatever their length or place. Over the corpus,
     PMI(t, e) = log2(n(t, e) N / (n(t) n(e)))     IC(e) = log2(N / n(e))
 with n and N counting different texts (exact copies count once): n(t, e) with both, n(e) with e, n(t) with t.
 A term discloses an entity if PMI reaches THRESHOLD of the entity's whole information IC in SUPPORT texts or more
-(GROUP_SUPPORT for a group: words that are rare by chance meet in its many texts); wherever it stands in the corpus,
+(GROUP_SUPPORT for a group: words that are rare by chance meet in its many texts). The entity must have LEAST_BITS of
+information (a mail provider that most texts name has next to none, and a share of nothing is soon reached), and the texts
+with both must be more than chance puts together, n(t) n(e) / N, by SIGMAS of its deviations; wherever it stands in the corpus,
 beside the entity or without it, it is a span of kind `term`, generalised to a mark in the sanitised text.
 """
 
@@ -22,7 +24,9 @@ THRESHOLD = 0.9
 SUPPORT = 2
 GROUP_SUPPORT = 5
 BROADCAST_ROWS = 50_000  # (text, its flagged terms), at most, that are broadcast; more are joined by a shuffle
-POSITIONS = 1 << 20  # of the hashed sets (entities, terms) that are broadcast: their size is bounded by this
+LEAST_BITS = 3.0
+SIGMAS = 3.0
+MOST_PLACES = 1 << 20  # numbers in a hashed set (entities, terms) that is broadcast, at most; larger sets are joined by a shuffle
 
 # Each pattern finds what the plain one finds, from left to right; look-behinds and possessive counts only keep long
 # runs of letters or digits from being tried again at every offset.
@@ -120,13 +124,14 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(text, r"[^\p{L}]+", -1), lambda w: F.lower(w)))
 
 
-def place(c: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(POSITIONS))
-
-
-def places(df: DataFrame, c: str) -> DataFrame:
-    """The hashed set of a column's values, to be broadcast: POSITIONS numbers at most."""
-    return F.broadcast(df.select(place(c).alias("place")).distinct())
+def among(df: DataFrame, values: DataFrame, c: str) -> DataFrame:
+    """Rows of df whose c is in values, and up to a sixteenth of the others: values (different ones) meet df as a broadcast
+    set of hashes, with sixteen places for each. More than MOST_PLACES of them are joined themselves."""
+    n = values.count()
+    if n > MOST_PLACES:
+        return df.join(values.select(c), c, "left_semi")
+    place = F.pmod(F.xxhash64(c), F.lit(1 << (16 * n).bit_length()))
+    return df.withColumn("place", place).join(F.broadcast(values.select(place.alias("place")).distinct()), "place", "left_semi").drop("place")
 
 
 def one_each(df: DataFrame, *columns: str) -> DataFrame:
@@ -143,10 +148,12 @@ def candidate_pairs(rows: DataFrame, n: int, support: int, group_support: int, t
     enough = lambda c: F.col(c) >= F.when(F.col("entity").startswith("="), support).otherwise(group_support)
     near = cut(one_each(rows.where(F.size("entities") > 0), "entities", "terms"))
     n_e = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(enough("n_e"))
-    wanted = near.select(F.explode("entities").alias("entity"), "terms").withColumn("place", place("entity")).join(places(n_e, "entity"), "place", "left_semi")
+    n_e = cut(n_e)
+    wanted = among(near.select(F.explode("entities").alias("entity"), "terms"), n_e, "entity")
     pairs = wanted.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(enough("n_te"))
     ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    reveals = (ic > 0) & (ic + F.log2(F.col("n_te") / F.col("n_t")) >= threshold * ic)
+    chance = F.col("n_t") * F.col("n_e") / max(n, 1)
+    reveals = (ic >= LEAST_BITS) & (ic + F.log2(F.col("n_te") / F.col("n_t")) >= threshold * ic) & (F.col("n_te") - chance >= SIGMAS * F.sqrt(chance))
     least = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     return cut(pairs.join(n_e, "entity").join(least, "term").where(reveals).drop("n_t")), reveals
 
@@ -159,8 +166,8 @@ def disclosing(docs: DataFrame, rows: DataFrame, threshold: float, support: int,
     table alone, so no text is shuffled, whatever share of the corpus is copies.
     """
     pairs, reveals = candidate_pairs(rows, rows.select("_tl_copy").distinct().count(), support, group_support, threshold)
-    words = docs.select("_tl_copy", F.explode(words_of(masked(F.col("text"), F.col("_tl_base")))).alias("term")).withColumn("place", place("term"))
-    words = cut(words.join(places(pairs, "term"), "place", "left_semi").select("_tl_copy", "term").distinct())
+    words = docs.select("_tl_copy", F.explode(words_of(masked(F.col("text"), F.col("_tl_base")))).alias("term"))
+    words = cut(among(words, pairs.select("term").distinct(), "term").distinct())
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
     flagged = pairs.join(n_t, "term").where(reveals).select("term").distinct()
     return cut(words.join(flagged, "term", "left_semi").groupBy("_tl_copy").agg(F.collect_list("term").alias("flagged")))
