@@ -147,7 +147,8 @@ def disclosing_terms(texts, threshold=0.9, support=2, group_support=5):
     out = set()
     for (x, w), n in n_te.items():
         ic = np.log2(len(rows) / n_e[x])
-        if n >= (support if x[0] == "=" else group_support) and ic > 0 and ic + np.log2(n / n_t[w]) >= threshold * ic:
+        chance = n_t[w] * n_e[x] / len(rows)
+        if n >= (support if x[0] == "=" else group_support) and ic >= 3 and ic + np.log2(n / n_t[w]) >= threshold * ic and n - chance >= 3 * chance**0.5:
             out.add(w)
     return out
 
@@ -166,7 +167,7 @@ def linked_secrets(t, scope=200):
     base = secrets(t)
     finds = {
         "client": (r"""(?ai)(?:user(?:_?name)?|login|client_?id|account|access_?key_?id)["']?\x20*[:=]\x20*["']?(?!https?:)[A-Za-z0-9@._-]{3,}""", "id"),
-        "mailbox": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", "id"),
+        "mailbox": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "id"),
         "endpoint": (r"""https?://[^\s"'<>|]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.])""", "endpoint"),
         "opaque": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", "secret"),
     }

@@ -54,6 +54,15 @@ def test_secret_scan(spark, df, docs, empty):
     assert secret_scan.secret_spans(empty).count() == 0
 
 
+def test_mailboxes_of_any_length_are_linked_whole(spark):
+    boxes = ["x" * 70 + "@ex.org", "me@" + ".".join(f"l{i}" for i in range(11)), "me@" + "y" * 80 + ".org"]
+    texts = [f"{box} secret: abcdef1" for box in boxes] + ["x" * 200_000, "x@" * 50_000]
+    rows = secret_scan.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = spans(rows, "spans")
+    assert [[texts[i][s:e] for k, s, e in found[i] if k == "mailbox"] for i in range(3)] == [[b] for b in boxes]
+    assert found[3] == found[4] == []
+
+
 def test_secret_linking_needs_the_other_part(spark):
     far = " word" * 100
     texts = ["login: annabel and k9ZzQ1x7Lm3Pw8Rt5", "only k9ZzQ1x7Lm3Pw8Rt5 here", "login: annabel alone", f"login: annabel {far} k9ZzQ1x7Lm3Pw8Rt5", "see https://ex.org/x", "login: annabel https://ex.org/x secret: abcdef1"]
@@ -344,13 +353,31 @@ def test_pii_patterns_on_odd_texts(spark):
 
 def test_disclosing_terms(spark):
     texts = {1: "call alphaword me at a@b.co zebraterm", 2: "x alphaword a@b.co zebraterm y", 3: "nothing alphaword", 4: "call me at c@d.co zebra", 5: None, 6: "call alphaword me at a@b.co zebraterm"}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: [(texts[r["doc_id"]] or "")[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in pii.pii_spans(df).collect()}
+    others = {i: f"other page {i} of words" for i in range(100, 200)}  # without them meeting twice would be chance
+    df = spark.createDataFrame(list((texts | others).items()), "doc_id long, text string")
+    got = {r["doc_id"]: [(texts[r["doc_id"]] or "")[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in pii.pii_spans(df).where("doc_id < 100").collect()}
     assert got == {1: ["zebraterm"], 2: ["zebraterm"], 3: [], 4: [], 5: [], 6: ["zebraterm"]}
     clean = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(df).collect()}
     assert clean[2] == "x alphaword <email> <term> y" and clean[5] == "" and clean[4] == "call me at <email> zebra"
 
 
+def test_a_provider_of_most_mailboxes_discloses_nothing(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}" for _ in range(30)) + (f" u{i}@gmail.com" if rnd.random() < 0.9 else "") for i in range(3000)]
+    texts += [f"{t} zebraterm 10.1.2.3" for t in texts[:6]]
+    rows = pii.pii_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    terms = [texts[r["doc_id"]][s["start"] : s["end"]] for r in rows for s in r["spans"] if s["kind"] == "term"]
+    assert terms.count("zebraterm") == 6 and len(terms) < 0.001 * 30 * len(texts) + 6
+    assert {t.lower() for t in terms} == brute.disclosing_terms(texts)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 2])
+def test_many_terms_are_joined_without_a_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "MOST_PLACES", most)
+    df, values = (spark.createDataFrame([(x,) for x in rows], "term string") for rows in ([f"t{i % 500}" for i in range(2000)], ["t1", "t2", "t3", "none"]))
+    got = [r["term"] for r in pii.among(df, values, "term").collect()]
+    assert {x: got.count(x) for x in ("t1", "t2", "t3")} == {"t1": 4, "t2": 4, "t3": 4} and len(got) < 12 + 2000 // 8
+
 
 def test_copies_of_a_text_do_not_hide_a_term(spark):
     texts = ["mail a@b.co zebraterm", "or a@b.co zebraterm now", *["one page has zebraterm"] * 50, *(f"other text {i}" for i in range(200))]
@@ -414,6 +441,15 @@ def test_simhash(spark, docs, df, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_takes_an_id_and_a_text_as_a_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (7, b), (7, c), (9, a), (None, c), (None, None), (3, ""), (5, " ")]
+    kept = simhash.keep_one(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, root string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, a), (5, b), (7, c), (3, "")], key=str)
+    near = [(5, a), (5, a + " "), (5, a.upper())]  # one id, one group: one of them stays
+    assert simhash.keep_one(spark.createDataFrame(near, "doc_id long, text string")).count() == 1
+
+
 def test_simhash_links_are_complete_in_wide_variants(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 6, dtype=np.int64)
@@ -465,6 +501,27 @@ def test_quality_keeps_clean_documents_of_any_language(spark):
     assert quality_rules.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("lang = 'it'"), top=3)
 
 
+def test_quality_keeps_texts_without_a_language_whose_language_has_no_reference(spark):
+    rnd = random.Random(6)
+    say = lambda vocabulary, n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    english = [*"the of and to in a that is".split(), *(f"{a}{b}le" for a in "bcdfg" for b in "aeiou")]
+    italian = [*"di che la il un per non una".split(), *(f"{a}{b}tto" for a in "bcdfg" for b in "aeiou")]
+    chinese = ["".join(chr(0x4E00 + rnd.randrange(2000)) for _ in range(12)) + "\uff0c" for _ in range(300)]
+    rows = [(i, say(v, 160), g) for v, g, at in ((english, "en", 0), (italian, None, 100), (chinese, None, 200)) for i in range(at, at + 50)]
+    rows += [(300, say([f"{a}#{b}|{a}" for a in "$%&" for b in "*<>"], 160), None)]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert [r["doc_id"] for r in out if not r["kept"]] == [300]
+
+
+def test_quality_references_are_of_texts_that_speak_the_language(spark):
+    rnd = random.Random(7)
+    english = [*"the of and to in a that is".split(), *(f"{a}{b}le" for a in "bcdfg" for b in "aeiou")]
+    clean = [(i, " ".join(rnd.choice(english) for _ in range(160)), "en") for i in range(50)]
+    junk = [(100 + i, " ".join("".join(rnd.choice("#$%&*|<>!x") for _ in range(rnd.randrange(2, 9))) for _ in range(160)), "en") for i in range(200)]
+    out = quality_rules.quality_rules(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()
+    assert {r["doc_id"] for r in out if r["kept"]} == set(range(50))
+
+
 def test_jensen_shannon(spark):
     def plain(p, q):
         x = np.array(p) / sum(p)

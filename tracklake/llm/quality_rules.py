@@ -2,7 +2,9 @@
 
 All of it is built-in functions. The words that most documents of a language hold are its common words; one pass over the
 texts then makes the counts and two histograms of each, of character classes and of common words, small beside the text
-itself. They are written out, summed by language into reference histograms, and compared by Jensen-Shannon distance.
+itself. They are written out, summed into reference histograms over the documents that speak their language, that is hold
+enough of its common words, so that junk under a language's name does not move its reference, and compared by
+Jensen-Shannon distance.
 """
 
 from __future__ import annotations
@@ -14,14 +16,18 @@ from pyspark.sql import functions as F
 
 from tracklake.llm.common import cut, let, words
 
-CLASSES = ("lower", "upper", "space", "digit", "punct", "other")
+CLASSES = ("lower", "upper", "space", "digit", "punct", "letter", "other")
+#: Where the language is not known: what is plain text in any script, capitals, digits, the rest.
+ANY_SCRIPT = (("lower", "space", "punct", "letter"), ("upper",), ("digit",), ("other",))
 SYMBOLS = "#*$%&|<>"
 
 #: Columns that the rules add; those that df has by these names are replaced.
 OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
 TOP_WORDS = 12  # common words of a language
-MIN_REFERENCE = 1000  # words of a language's documents, for a reference of it
+MIN_REFERENCE = 1000  # words of the documents that speak a language, for a reference of it
+SPOKEN_WORDS = 4  # different common words of its language that a document must hold to speak it,
+SPOKEN_SHARE = 5  # and the percentage of its words that they must be
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.275
 MIN_CHARS = 200
@@ -55,7 +61,8 @@ def class_counts(text: Column, word_chars: Column) -> Column:
     def cased(c: str) -> Column:
         return F.length(text) - F.length(F.regexp_replace(text, rf"\p{{{c}}}+", ""))
 
-    known = F.array(cased("Ll"), cased("Lu"), F.length(text) - word_chars.cast("int"), without("0123456789"), without(".,;:!?'\"()-"))
+    letters = F.length(text) - F.length(F.regexp_replace(text, r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]+", ""))
+    known = F.array(cased("Ll"), cased("Lu"), F.length(text) - word_chars.cast("int"), without("0123456789"), without(".,;:!?'\"()-"), letters)
     return let(known, lambda k: F.concat(k, F.array(F.length(text) - F.aggregate(k, F.lit(0), lambda a, x: a + x))))
 
 
@@ -95,24 +102,39 @@ def base_counts(df: DataFrame, text: str = "text", vocabulary: list[str] | None
     return out.withColumn("base_failed", failed)
 
 
-def common_words(df: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP_WORDS) -> list[str]:
-    """The words that most documents of each language hold, `top` for each; ties go to the word that sorts first.
+def common_words(df: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP_WORDS) -> dict[str, list[str]]:
+    """By language the words that most of its documents hold, `top` at most; ties go to the word that sorts first.
 
-    Over all documents that have a language. Words are counted within tasks first; to the driver come `top` a language.
+    Words of letters alone, over all documents that have a language. They are counted within tasks first; to the driver come
+    `top` a language.
     """
     each = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
-    counted = each.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counted = each.where(F.col("word").rlike(r"^\p{L}+$")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))  # tasks keep `top` words each before it
-    return sorted({r["word"] for r in counted.withColumn("r", rank).where(F.col("r") <= top).select("word").collect()})
+    out: dict[str, list[str]] = {}
+    for r in counted.withColumn("r", rank).where(F.col("r") <= top).select("lang", "word").collect():
+        out.setdefault(r["lang"], []).append(r["word"])
+    return out
+
+
+def speaks(own: dict[str, list[int]], lang: str, common: str = "_tl_common", n: str = "n_words") -> Column:
+    """Whether a document holds SPOKEN_WORDS different common words of its language, and SPOKEN_SHARE percent of them.
+
+    own: by language the places of its common words in the vocabulary.
+    """
+    places = F.from_json(F.lit(json.dumps(own)), "map<string,array<int>>")[F.col(lang).cast("string")]
+    found = F.filter(common, lambda x: F.array_contains(places, x["v"]))
+    enough = let(found, lambda f: (F.size(f) >= SPOKEN_WORDS) & (100 * F.aggregate(f, F.lit(0).cast("long"), lambda a, x: a + x["c"]) >= SPOKEN_SHARE * F.col(n)))
+    return F.coalesce(enough, F.lit(False))
 
 
-def references(counts: DataFrame, lang: str = "lang", size: int = 0, least: int = MIN_REFERENCE) -> list[dict[str, object]]:
-    """Reference histograms of each language: sums over all its documents that pass the base rules.
+def references(counts: DataFrame, own: dict[str, list[int]], lang: str = "lang", size: int = 0, least: int = MIN_REFERENCE) -> list[dict[str, object]]:
+    """Reference histograms of each language: sums over all its documents that pass the base rules and speak it.
 
     lang, classes (shares), words (shares of each of `size` common words, then of all others). A language with under
     `least` words has none. To the driver comes a row for each language, and one for each of its common words.
     """
-    good = counts.where(F.col(lang).isNotNull() & ~F.col("base_failed"))
+    good = counts.where(F.col(lang).isNotNull() & ~F.col("base_failed") & speaks(own, lang))
     sums = [F.sum(F.get("_tl_classes", F.lit(i)).cast("long")).alias(c) for i, c in enumerate(CLASSES)]
     whole = good.groupBy(F.col(lang).alias("lang")).agg(F.sum("n_words").alias("n"), *sums).where(F.col("n") >= least).collect()
     seen = good.select(F.col(lang).alias("lang"), F.inline("_tl_common")).groupBy("lang", "v").agg(F.sum("c").alias("n")).collect()
@@ -121,7 +143,8 @@ def references(counts: DataFrame, lang: str = "lang", size: int = 0, least: int
     for r in sorted(whole, key=lambda r: r["lang"]):
         common = [by_word.get((r["lang"], v), 0) for v in range(size)]
         chars = sum(r[c] for c in CLASSES)
-        out.append({"lang": r["lang"], "classes": [r[c] / chars for c in CLASSES], "words": [x / r["n"] for x in [*common, r["n"] - sum(common)]]})
+        merged = [sum(r[c] for c in group) / chars for group in ANY_SCRIPT]
+        out.append({"lang": r["lang"], "classes": [r[c] / chars for c in CLASSES], "any_script": merged, "words": [x / r["n"] for x in [*common, r["n"] - sum(common)]]})
     return out
 
 
@@ -165,23 +188,29 @@ def quality_rules(
 
     A document is rejected by the base rule (under 50 words, or over half of its words in repeated windows) or, if it is
     long enough (min_chars, min_words), when either histogram lies further than the limit from every reference language.
-    References are made for every value of lang whose documents have min_reference words. A document whose lang has none
-    is judged by the base rule alone; one without a lang counts for no reference but is judged. Null or empty texts have
-    no words and fail; with no reference at all (empty table) distances are null. Repeated rows are judged alike, each on
-    its own. Needs columns text and lang; all others pass through.
+    References are made for every value of lang whose documents that speak it have min_reference words. A document whose lang
+    has none is judged by the base rule alone. One without a lang counts for no reference; its words may be of a language
+    that has none, so only its classes are judged, and letters of all scripts count alike (its class_distance is of those).
+    Null or empty texts have no words and fail; with no reference at all (empty table) distances are null. Repeated rows are
+    judged alike, each on its own. Needs columns text and lang; all others pass through.
     """
-    vocabulary = common_words(df, text, lang, top_words)
+    by_lang = common_words(df, text, lang, top_words)
+    vocabulary = sorted({w for ws in by_lang.values() for w in ws})
+    own = {g: [vocabulary.index(w) for w in ws] for g, ws in by_lang.items()}
     counts = cut(base_counts(df, text, vocabulary))
-    refs = references(counts, lang, len(vocabulary), min_reference)
-    table = F.from_json(F.lit(json.dumps(refs)), "array<struct<lang:string,classes:array<double>,words:array<double>>>")
+    refs = references(counts, own, lang, len(vocabulary), min_reference)
+    table = F.from_json(F.lit(json.dumps(refs)), "array<struct<lang:string,classes:array<double>,any_script:array<double>,words:array<double>>>")
     nearest = lambda distance: F.array_min(F.transform(table, distance))
     chars = F.aggregate("_tl_classes", F.lit(0), lambda a, x: a + x)
+    of_classes = lambda group: sum((F.get("_tl_classes", F.lit(CLASSES.index(c))) for c in group), F.lit(0))
+    any_script = F.array(*[of_classes(group) for group in ANY_SCRIPT])
+    known = nearest(lambda r: jensen_shannon(F.col("_tl_classes"), r["classes"]))
     out = counts.withColumns({
-        "class_distance": nearest(lambda r: jensen_shannon(F.col("_tl_classes"), r["classes"])),
+        "class_distance": F.when(F.col(lang).isNull(), nearest(lambda r: jensen_shannon(any_script, r["any_script"]))).otherwise(known),
         "word_distance": nearest(lambda r: sparse_jensen_shannon(F.col("_tl_common"), F.col("n_words"), r["words"])),
     })
     judged = F.col(lang).isNull() | F.col(lang).isin([r["lang"] for r in refs])
-    far = ((chars >= min_chars) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word))
+    far = ((chars >= min_chars) & (F.col("class_distance") > max_class)) | (F.col(lang).isNotNull() & (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(judged & far, F.lit(False))).drop("_tl_classes", "_tl_common")
 
 

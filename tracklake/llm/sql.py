@@ -38,8 +38,11 @@ from documents left join total using (doc_id) left join hit using (doc_id) left
 
 
 def quality() -> str:
-    """Base counts, common words, then both histograms as rows, references by language, and distances to the nearest."""
-    removed = [r"\p{Ll}+", r"\p{Lu}+", r"[\x20\x09-\x0D]+", "[0-9]+", """[.,;:!?''"()-]+"""]
+    """Base counts, common words, then both histograms as rows, references by language, and distances to the nearest.
+
+    Classes of documents without a lang are compared as they are: the given tables have none.
+    """
+    removed = [r"\p{Ll}+", r"\p{Lu}+", r"[\x20\x09-\x0D]+", "[0-9]+", """[.,;:!?''"()-]+""", r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]+"]
     left = ["coalesce(text, '')"]
     for p in removed:
         left.append(f"regexp_replace({left[-1]}, '{p}', '', 'g')")
@@ -53,20 +56,22 @@ with {WORDS}, grams as (select doc_id, i, string_agg(w, ' ') over f as g, count(
  base as (select doc_id, lang, text, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
   from documents left join counts using (doc_id) left join lines using (doc_id) left join covered using (doc_id)),
  failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base),
- held as (select lang, w, count(distinct doc_id) as n from words join documents using (doc_id) where lang is not null group by 1, 2),
- vocabulary as (select distinct w from (select w, row_number() over (partition by lang order by n desc, w) as r from held) x where r <= {quality_rules.TOP_WORDS}),
- cls as (select doc_id, 0 as h, cast(unnest(range(0, 6)) as varchar) as i, unnest([{classes}]) as c from documents),
+ held as (select lang, w, count(distinct doc_id) as n from words join documents using (doc_id) where lang is not null and regexp_matches(w, '^\p{{L}}+$') group by 1, 2),
+ own as (select lang, w from (select lang, w, row_number() over (partition by lang order by n desc, w) as r from held) x where r <= {quality_rules.TOP_WORDS}), vocabulary as (select distinct w from own),
+ speaks as (select doc_id from words join documents using (doc_id) join own using (lang, w) join counts using (doc_id) group by doc_id having count(distinct w) >= {quality_rules.SPOKEN_WORDS} and 100 * count(*) >= {quality_rules.SPOKEN_SHARE} * any_value(n_words)),
+ cls as (select doc_id, 0 as h, cast(unnest(range(0, 7)) as varchar) as i, unnest([{classes}]) as c from documents),
  seen as (select doc_id, w, count(*) as c from words where w in (select w from vocabulary) group by 1, 2),
  rest as (select doc_id, count(*) as n from words where w not in (select w from vocabulary) group by 1),
  com as (select doc_id, 1 as h, v.w as i, coalesce(c, 0) as c from (select doc_id, w from documents, vocabulary) v left join seen using (doc_id, w) union all select doc_id, 1, '', coalesce(n, 0) from documents left join rest using (doc_id)),
  hist as (select * from cls union all select * from com), part as (select *, sum(c) over (partition by doc_id, h) as t from hist),
- known as (select lang from failed where lang is not null and not base_failed group by 1 having sum(n_words) >= {quality_rules.MIN_REFERENCE}),
- ref0 as (select lang, h, i, sum(c) as c from hist join failed using (doc_id) where lang in (select lang from known) and not base_failed group by 1, 2, 3), ref as (select lang, h, i, c / cast(sum(c) over (partition by lang, h) as double) as q from ref0),
+ spoken as (select * from failed where lang is not null and not base_failed and doc_id in (select doc_id from speaks)),
+ known as (select lang from spoken group by 1 having sum(n_words) >= {quality_rules.MIN_REFERENCE}),
+ ref0 as (select lang, h, i, sum(c) as c from hist join spoken using (doc_id) where lang in (select lang from known) group by 1, 2, 3), ref as (select lang, h, i, c / cast(sum(c) over (partition by lang, h) as double) as q from ref0),
  each as (select doc_id, lang, h, max(t) as t, sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2 as d
   from (select doc_id, r.lang, h, t, case when t > 0 then c / cast(t as double) else 0 end as p, q from part join ref r using (h, i)) x group by 1, 2, 3),
  near as (select doc_id, min(case when h = 0 then dist end) as dc, min(case when h = 1 then dist end) as dw from (select *, case when t > 0 then sqrt(greatest(d, 0)) else 1 end as dist from each) e group by 1)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
- not base_failed and not ((lang is null or lang in (select lang from known)) and (coalesce(length(text) >= {quality_rules.MIN_CHARS} and dc > {quality_rules.MAX_CLASS_DISTANCE}, false) or coalesce(n_words >= {quality_rules.MIN_WORDS} and dw > {quality_rules.MAX_WORD_DISTANCE}, false))) as kept
+ not base_failed and not (lang in (select lang from known) and (coalesce(length(text) >= {quality_rules.MIN_CHARS} and dc > {quality_rules.MAX_CLASS_DISTANCE}, false) or coalesce(n_words >= {quality_rules.MIN_WORDS} and dw > {quality_rules.MAX_WORD_DISTANCE}, false))) as kept
 from failed left join near using (doc_id)"""
 
 
