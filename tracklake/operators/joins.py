@@ -1,4 +1,4 @@
-"""Joins on media timelines: overlap joins in time bins, speaker voting, point lookups, lineage."""
+"""Joins on media timelines: overlap joins in time bins or a dyadic index, speaker voting, point lookups, lineage."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN_MS = 8000
+#: The dyadic index: leaves of LEAF_MS, doubled LEVELS times (some twelve days).
+LEAF_MS, LEVELS = 1000, 20
 
 
 def bins(start: Column, end: Column, bin_ms: int) -> Column:
@@ -14,27 +16,93 @@ def bins(start: Column, end: Column, bin_ms: int) -> Column:
     return F.sequence(at(start), F.greatest(at(start), at(end - 1)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("media_id",), min_overlap_ms: int = 1, bin_ms: int = BIN_MS, how: str = "inner") -> DataFrame:
+def leaf_of(time: Column) -> Column:
+    return F.floor(time / LEAF_MS).cast("long")
+
+
+def node(level: Column, place: Column) -> Column:
+    """One number for a node of the dyadic index; LEVELS is below 32."""
+    return F.shiftleft(place, 5).bitwiseOR(level.cast("long"))
+
+
+def covering_nodes(start: Column, end: Column) -> Column:
+    """The fewest nodes whose leaves are those that [start, end) touches: two a level at most, but for the last level."""
+    def at(lo: Column, hi: Column) -> Column:
+        def of_level(level: Column) -> Column:
+            first = F.call_function("shiftright", lo + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
+            last = F.call_function("shiftright", hi, level)
+            odd = lambda x: x.bitwiseAND(1) == 1
+            return F.array_compact(F.array(F.when((first < last) & odd(first), node_at(level, first)), F.when((first < last) & odd(last), node_at(level, last - 1))))
+
+        top = F.lit(LEVELS)
+        first, last = F.call_function("shiftright", lo + (1 << LEVELS) - 1, top), F.call_function("shiftright", hi, top)
+        whole = F.when(first < last, F.transform(F.sequence(first, last - 1), lambda p: node_at(top, p))).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), of_level)), whole)
+
+    node_at = node
+    bounds = F.array(F.struct(leaf_of(start).alias("lo"), (F.greatest(leaf_of(start), leaf_of(end - 1)) + 1).alias("hi")))
+    return F.element_at(F.transform(bounds, lambda b: at(b["lo"], b["hi"])), 1)
+
+
+def holding_nodes(time: Column) -> Column:
+    """The nodes above a point's leaf, one a level: just one of them is among the nodes that cover an interval with the leaf."""
+    leaf = leaf_of(time)
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: node(level, F.call_function("shiftright", leaf, level)))
+
+
+def dyadic_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Pairs that overlap, right's times named r_start_ms and r_end_ms.
+
+    Of two intervals that overlap one holds the other's start, both if they start together. Each is covered by O(log length)
+    nodes, each start goes to the nodes above it, and a start meets an interval at one node alone: an equi-join without
+    distinct, and an hour's interval is some twenty rows instead of one for each bin.
+    """
+    covers = lambda df, s, e: df.withColumn("_node", F.explode(covering_nodes(F.col(s), F.col(e))))
+    points = lambda df, s: df.withColumn("_node", F.explode(holding_nodes(F.col(s))))
+    on = [*keys, "_node"]
+    later = covers(left, "start_ms", "end_ms").join(points(right, "r_start_ms"), on).where((F.col("r_start_ms") >= F.col("start_ms")) & (F.col("r_start_ms") < F.col("end_ms")))
+    sooner = points(left, "start_ms").join(covers(right, "r_start_ms", "r_end_ms"), on).where((F.col("start_ms") > F.col("r_start_ms")) & (F.col("start_ms") < F.col("r_end_ms")))
+    return later.unionByName(sooner).drop("_node")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("media_id",), min_overlap_ms: int = 1, bin_ms: int = BIN_MS, how: str = "inner", long_ms: int | None = None) -> DataFrame:
     """Pairs with an overlap of min_overlap_ms or more, plus overlap_ms. Right columns other than keys are prefixed `r_`.
 
     Both sides are spread over time bins and joined on key and bin, so one long medium is many small groups; a pair that
-    shares bins is kept in the bin of the later start alone, which needs no distinct. how: inner, left_semi or left_anti
-    (the two judge left rows by their columns; min_overlap_ms must be 1 or more).
+    shares bins is kept in the bin of the later start alone, which needs no distinct. An interval is a row for each of its
+    bins: where some are long, give long_ms, and pairs with an interval over it are found by a dyadic index instead (which
+    takes min_overlap_ms of 1 or more). how: inner, left_semi or left_anti (the two judge left rows by their keys, start and
+    end, and need min_overlap_ms of 1 or more).
     """
     right = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
     if how in ("left_semi", "left_anti"):
-        marked = left.withColumn("_row", F.struct(*left.columns))
-        hits = overlap_join(left, right.select(*keys, F.col("r_start_ms").alias("start_ms"), F.col("r_end_ms").alias("end_ms")), keys, min_overlap_ms, bin_ms)
-        found = hits.select(F.struct(*left.columns).alias("_hit"), *[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-        on = F.col("_row").eqNullSafe(F.col("_hit"))
-        for k in keys:
-            on = on & (F.col(k) == F.col(f"_{k}"))
-        return marked.join(found, on, how).drop("_row")
+        # Rows of equal keys and times overlap the same: the join is on these alone, no other column is carried along.
+        times = [*keys, "start_ms", "end_ms"]
+        spans = left.select(*times).distinct()
+        hits = overlap_join(spans, right.select(*keys, F.col("r_start_ms").alias("start_ms"), F.col("r_end_ms").alias("end_ms")), keys, min_overlap_ms, bin_ms, long_ms=long_ms)
+        found = hits.select(*[F.col(c).alias(f"_{c}") for c in times]).distinct()
+        on = F.lit(True)
+        for c in times:
+            on = on & (F.col(c) == F.col(f"_{c}"))
+        return left.join(found, on, how)
+    overlap = F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms")
+    if long_ms is not None:
+        if min_overlap_ms < 1:
+            raise ValueError("the dyadic index finds overlaps of 1 ms or more")
+        is_long = lambda s, e: F.coalesce(F.col(e) - F.col(s) > long_ms, F.lit(False))
+        short_left, short_right = left.where(~is_long("start_ms", "end_ms")), right.where(~is_long("r_start_ms", "r_end_ms"))
+        pairs = dyadic_pairs(left.where(is_long("start_ms", "end_ms")), right, keys).unionByName(dyadic_pairs(short_left, right.where(is_long("r_start_ms", "r_end_ms")), keys))
+        both = pairs.where(overlap >= min_overlap_ms).withColumn("overlap_ms", overlap)
+        return both.unionByName(binned_pairs(short_left, short_right, keys, bin_ms).where(overlap >= min_overlap_ms).withColumn("overlap_ms", overlap))
+    return binned_pairs(left, right, keys, bin_ms).where(overlap >= min_overlap_ms).withColumn("overlap_ms", overlap)
+
+
+def binned_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...], bin_ms: int) -> DataFrame:
+    """Pairs that share time bins, each once: in the bin of the later start."""
     a = left.withColumn("_bin", F.explode(bins(F.col("start_ms"), F.col("end_ms"), bin_ms)))
     b = right.withColumn("_bin", F.explode(bins(F.col("r_start_ms"), F.col("r_end_ms"), bin_ms)))
-    overlap = F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms")
     met = F.floor(F.greatest("start_ms", "r_start_ms") / bin_ms) == F.col("_bin")
-    return a.join(b, [*keys, "_bin"]).where(met & (overlap >= min_overlap_ms)).withColumn("overlap_ms", overlap).drop("_bin")
+    return a.join(b, [*keys, "_bin"]).where(met).drop("_bin")
 
 
 def speaker_vote(segments: DataFrame, turns: DataFrame, min_overlap_ms: int = 1) -> DataFrame:
@@ -101,6 +169,19 @@ def translated_cues(dialogue: DataFrame, translations: DataFrame) -> DataFrame:
     return dialogue.join(t, ["media_id", "segment_index"], "left").withColumn("cue_text", F.coalesce("adapted_text", "text")).drop("adapted_text")
 
 
+def active_cue_asof(points: DataFrame, cues: DataFrame) -> DataFrame:
+    """The last cue that starts by each point (media_id, time_ms), if it has not ended; else a null cue. One row a point's row.
+
+    For tracks whose cues do not overlap this is active_cue without bins: points and starts lie in one sort by medium and
+    time, and each point takes the start before it. Of cues that start together the one that ends last counts.
+    """
+    starts = cues.select("media_id", F.col("start_ms").alias("time_ms"), F.lit(0).alias("_kind"), F.struct("end_ms", "cue_index").alias("_cue"))
+    both = points.select("media_id", "time_ms", F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_cue"].dataType).alias("_cue")).unionByName(starts)
+    w = Window.partitionBy("media_id").orderBy("time_ms", "_kind", "_cue").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_cue", F.last("_cue", ignorenulls=True).over(w)).where("_kind = 1")
+    return found.select("media_id", "time_ms", F.when(F.col("_cue.end_ms") > F.col("time_ms"), F.col("_cue.cue_index")).alias("cue_index"))
+
+
 def active_cue(points: DataFrame, cues: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
     """The first cue, by start and end, that holds each point (media_id, time_ms); points in no cue keep a null cue."""
     a = points.withColumn("_bin", F.floor(F.col("time_ms") / bin_ms).cast("long"))

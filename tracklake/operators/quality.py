@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions.text import logprob_confidence, word_count
-from tracklake.operators.joins import unknown_speakers, voice_anti_join
+from tracklake.operators.joins import unknown_speakers
 
 #: (rule, severity, penalty for each occurrence, most occurrences counted as a penalty of 1)
 RULES = (
@@ -18,49 +18,64 @@ RULES = (
 PASS, WARN = 0.80, 0.30
 
 
-def dialogue_counts(dialogue: DataFrame, media: DataFrame, overlap_ms: int = 100, long_ms: int = 60_000) -> DataFrame:
-    """Occurrences of rules 1 to 4 and 9 in each medium: bad order, blank text, out of range, overlaps, long segments."""
-    w = Window.partitionBy("media_id").orderBy("segment_index")
-    rows = dialogue.join(media.select("media_id", "duration_ms"), "media_id").withColumns({"_ns": F.lead("start_ms").over(w), "_ne": F.lead("end_ms").over(w)})
-    shared = F.least("end_ms", "_ne") - F.greatest("start_ms", "_ns")
-    return rows.groupBy("media_id").agg(
-        F.count_if(F.col("start_ms") >= F.col("end_ms")).alias("QR01"),
-        F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("QR02"),
-        F.count_if((F.col("start_ms") < 0) | (F.col("end_ms") > F.col("duration_ms"))).alias("QR03"),
-        F.count_if(F.coalesce(F.col("_ns").isNotNull() & (shared > overlap_ms), F.lit(False))).alias("QR04"),
-        F.count_if(F.col("end_ms") - F.col("start_ms") > long_ms).alias("QR09"),
-        F.count("*").alias("n_dialogue"),
-    )
+def tagged(media: DataFrame, dialogue: DataFrame, segments: DataFrame, turns: DataFrame, voice: DataFrame, silence: DataFrame, words: DataFrame | None) -> DataFrame:
+    """All inputs of the rules as rows of one table: media_id, role, idx, start_ms, end_ms, flag, value, label."""
+    columns = {"idx": "long", "start_ms": "long", "end_ms": "long", "flag": "boolean", "value": "double", "label": "string"}
+
+    def rows(df: DataFrame, role: str, **given: str | Column) -> DataFrame:
+        filled = [(F.col(given[c]) if isinstance(given[c], str) else given[c]).cast(t).alias(c) if c in given else F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+        return df.select("media_id", F.lit(role).alias("role"), *filled)
+
+    times = {"start_ms": "start_ms", "end_ms": "end_ms"}
+    confidence = F.coalesce(F.col("confidence"), logprob_confidence(F.col("avg_logprob")))
+    parts = [
+        rows(media, "media", end_ms="duration_ms"), rows(dialogue, "dialogue", idx="segment_index", flag=F.trim(F.coalesce("text", F.lit(""))) == "", **times), rows(segments, "segment", value=confidence),
+        rows(turns, "turn", label="speaker_label"), rows(voice, "voice", **times), rows(silence, "silence", **times),
+    ]
+    return reduce(DataFrame.unionByName, parts + ([rows(words, "word", value="confidence")] if words is not None else []))
 
 
 def quality_rules(
     media: DataFrame, dialogue: DataFrame, segments: DataFrame, turns: DataFrame, voice: DataFrame, silence: DataFrame, words: DataFrame | None = None,
-    min_conf: float = 0.4, min_word_conf: float = 0.3, long_silence_ms: int = 15_000,
+    min_conf: float = 0.4, min_word_conf: float = 0.3, long_silence_ms: int = 15_000, overlap_ms: int = 100, long_ms: int = 60_000,
 ) -> DataFrame:
     """(media_id, rule_code, severity, applicable, occurrences, penalty, passed) for all eleven rules of every medium.
 
     segments are the transcript's, with confidence or avg_logprob; words (media_id, confidence) may be missing. A rule that
-    is not applicable passes. Media without any row still get all rules.
+    is not applicable passes. Media without any row still get all rules; rows of media that are not listed count nowhere.
+
+    All inputs are one table of tagged rows, dealt by medium once: two windows and the one aggregate that counts for every
+    rule need no exchange of their own. Whether voice lies under a dialogue row is read from a sweep: of the voice that
+    starts before the row ends, the latest end must come after the row's start.
     """
-    counts = dialogue_counts(dialogue, media)
-    n_segments = segments.groupBy("media_id").agg(F.count("*").alias("n_segments"))
-    speakers = turns.groupBy("media_id").agg(F.count_distinct("speaker_label").alias("n_speakers"))
-    conf = F.coalesce(F.col("confidence"), logprob_confidence(F.col("avg_logprob")))
-    low = segments.withColumn("_c", conf).groupBy("media_id").agg(F.count_if(F.col("_c") < min_conf).alias("QR07"), F.count("_c").alias("n_conf"))
-    long_gaps = silence.groupBy("media_id").agg(F.count_if(F.col("end_ms") - F.col("start_ms") > long_silence_ms).alias("QR10"))
-    outside = voice_anti_join(dialogue.select("media_id", "segment_index", "start_ms", "end_ms"), voice).groupBy("media_id").agg(F.count("*").alias("QR11"))
-    parts = [counts, n_segments, speakers, low, long_gaps, outside]
-    if words is not None:
-        parts.append(words.groupBy("media_id").agg(F.count_if(F.col("confidence") < min_word_conf).alias("QR08"), F.count("confidence").alias("n_words")))
-    wide = reduce(lambda a, b: a.join(b, "media_id", "left"), parts, media.select("media_id"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    occurrences = {r: zero(r) for r in ("QR01", "QR02", "QR03", "QR04", "QR07", "QR09", "QR10", "QR11")}
-    occurrences["QR05"] = F.greatest(F.lit(0), zero("n_segments") - zero("n_dialogue")).cast("long")
-    occurrences["QR06"] = ((zero("n_speakers") > 0) & (zero("n_segments") > 0) & (zero("n_dialogue") == 0)).cast("long")
-    occurrences["QR08"] = zero("QR08") if words is not None else F.lit(0).cast("long")
-    applicable = {r: F.lit(True) for r, _, _ in RULES} | {"QR07": zero("n_conf") > 0, "QR08": zero("n_words") > 0 if words is not None else F.lit(False)}
-    rows = [F.struct(F.lit(r).alias("rule_code"), F.lit(s).alias("severity"), applicable[r].alias("applicable"), occurrences[r].alias("occurrences"), F.lit(p).alias("each")) for r, s, p in RULES]
-    out = wide.select("media_id", F.explode(F.array(*rows)).alias("r")).select("media_id", "r.*")
+    rows = tagged(media, dialogue, segments, turns, voice, silence, words).repartition("media_id")
+    is_role = lambda name: F.col("role") == name
+    beside = Window.partitionBy("media_id", "role").orderBy("idx")
+    # A medium's own row, without a place, comes first; a row of dialogue lies at its end, before voice that starts there.
+    place = F.when(is_role("voice"), F.col("start_ms")).when(is_role("dialogue"), F.col("end_ms"))
+    sweep = Window.partitionBy("media_id").orderBy(F.col("_place").asc_nulls_first(), F.col("_late")).rowsBetween(Window.unboundedPreceding, 0)
+    sounds = is_role("voice") & (F.col("end_ms") > F.col("start_ms"))
+    rows = rows.withColumns({"_ns": F.lead("start_ms").over(beside), "_ne": F.lead("end_ms").over(beside), "_place": place, "_late": is_role("voice").cast("int")})
+    rows = rows.withColumns({"_heard": F.max(F.when(sounds, F.col("end_ms"))).over(sweep), "_total": F.max(F.when(is_role("media"), F.col("end_ms"))).over(sweep)})
+    shared = F.least("end_ms", "_ne") - F.greatest("start_ms", "_ns")
+    voiced = (F.col("end_ms") > F.col("start_ms")) & (F.col("_heard") > F.col("start_ms"))
+    outside = (F.col("start_ms") < 0) | (F.col("end_ms") > F.col("_total"))
+    said = lambda on: F.count_if(is_role("dialogue") & F.coalesce(on, F.lit(False)))
+    of = lambda role, on: F.count_if(is_role(role) & F.coalesce(on, F.lit(False)))
+    length = F.col("end_ms") - F.col("start_ms")
+    known = F.col("value").isNotNull()
+    wide = rows.groupBy("media_id").agg(
+        F.max(is_role("media")).alias("_listed"), said(F.col("start_ms") >= F.col("end_ms")).alias("QR01"), said(F.col("flag")).alias("QR02"), said(outside).alias("QR03"),
+        said(F.col("_ns").isNotNull() & (shared > overlap_ms)).alias("QR04"), of("segment", F.col("value") < min_conf).alias("QR07"), of("word", F.col("value") < min_word_conf).alias("QR08"),
+        said(length > long_ms).alias("QR09"), of("silence", length > long_silence_ms).alias("QR10"), F.count_if(is_role("dialogue") & ~F.coalesce(voiced, F.lit(False))).alias("QR11"),
+        said(F.lit(True)).alias("n_dialogue"), of("segment", F.lit(True)).alias("n_segments"), of("turn", F.col("label").isNotNull()).alias("n_turns"), of("segment", known).alias("n_conf"), of("word", known).alias("n_words"),
+    ).where("_listed")
+    occurrences = {r: F.col(r) for r, _, _ in RULES if r not in ("QR05", "QR06")}
+    occurrences["QR05"] = F.greatest(F.lit(0), F.col("n_segments") - F.col("n_dialogue")).cast("long")
+    occurrences["QR06"] = ((F.col("n_turns") > 0) & (F.col("n_segments") > 0) & (F.col("n_dialogue") == 0)).cast("long")
+    applicable = {r: F.lit(True) for r, _, _ in RULES} | {"QR07": F.col("n_conf") > 0, "QR08": F.col("n_words") > 0}
+    each = [F.struct(F.lit(r).alias("rule_code"), F.lit(s).alias("severity"), applicable[r].alias("applicable"), occurrences[r].alias("occurrences"), F.lit(p).alias("each")) for r, s, p in RULES]
+    out = wide.select("media_id", F.explode(F.array(*each)).alias("r")).select("media_id", "r.*")
     charged = F.when(F.col("severity") == "ERROR", (F.col("occurrences") > 0).cast("double")).otherwise(F.least(F.lit(1.0), F.col("occurrences") * F.col("each")))
     penalty = F.when(F.col("applicable"), F.round(charged, 6)).otherwise(F.lit(0.0))
     return out.select("media_id", "rule_code", "severity", "applicable", "occurrences", penalty.alias("penalty"), (~F.col("applicable") | (F.col("occurrences") == 0)).alias("passed"))

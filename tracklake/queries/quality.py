@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.operators import constraints as C
 from tracklake.operators import intervals as I
 from tracklake.operators import joins as J
 from tracklake.operators import quality as Q
@@ -44,6 +45,19 @@ book.add("overlap_join", lambda x: J.overlap_join(segments(x).drop("text"), x.fx
 with {SEG} select s.media_id, segment_index, s.start_ms, s.end_ms, s.conf_pct, t.speaker_label as r_speaker_label, t.start_ms as r_start_ms, t.end_ms as r_end_ms, t.conf_pct as r_conf_pct,
  least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms) as overlap_ms from seg s join fx_turns t on s.media_id = t.media_id where least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms) >= 100""")
 
+
+
+def long_turns(x: Inputs) -> DataFrame:
+    """Turns, of which every eighth lasts for the whole medium and beyond."""
+    whole = F.when(F.col("turn_index") % 8 == 0, F.col("end_ms") + 400_000).otherwise(F.col("end_ms"))
+    return x.fx_turns.select("media_id", "speaker_label", "start_ms", whole.alias("end_ms"))
+
+
+book.add("overlap_join_dyadic", lambda x: J.overlap_join(segments(x).select("media_id", "segment_index", "start_ms", "end_ms"), long_turns(x), long_ms=16_000), """
+with t as (select media_id, speaker_label, start_ms, case when turn_index % 8 = 0 then end_ms + 400000 else end_ms end as end_ms from fx_turns)
+select s.media_id, segment_index, s.start_ms, s.end_ms, t.speaker_label as r_speaker_label, t.start_ms as r_start_ms, t.end_ms as r_end_ms, least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms) as overlap_ms
+from fx_segments s join t on s.media_id = t.media_id and s.start_ms < t.end_ms and t.start_ms < s.end_ms""")
+
 book.add("speaker_vote", lambda x: J.speaker_vote(segments(x), x.fx_turns).drop("text", "conf_pct").withColumn("alignment_conf", F.round("alignment_conf", 6)), f"""
 with {VOTE} select s.media_id, s.segment_index, s.start_ms, s.end_ms, speaker_label, round(case when speaker_label is not null then least(1.0e0, weight / (100.0e0 * greatest(1, s.end_ms - s.start_ms))) end, 6) as alignment_conf
 from seg s left join won w on s.media_id = w.media_id and s.segment_index = w.segment_index""")
@@ -71,6 +85,10 @@ book.add("active_cue_asof", lambda x: J.active_cue(x.fx_media.select("media_id",
 with p as (select media_id, unnest(range(0, duration_ms + 1, 700)) as time_ms from fx_media)
 select p.media_id, time_ms, arg_min(segment_index, (start_ms, end_ms, segment_index)) as cue_index from p left join fx_segments s on s.media_id = p.media_id and start_ms <= time_ms and time_ms < end_ms group by 1, 2""")
 
+book.add("last_cue_asof", lambda x: J.active_cue_asof(x.fx_frames.select("media_id", (F.col("frame_index") * 700).alias("time_ms")), x.fx_segments.select("media_id", F.col("segment_index").alias("cue_index"), "start_ms", "end_ms")), """
+with c as (select media_id, start_ms, max((end_ms, segment_index)) as m from fx_segments group by 1, 2), p as (select media_id, frame_index * 700 as time_ms from fx_frames)
+select p.media_id, time_ms, case when m[1] > time_ms then m[2] end as cue_index from p asof left join c on p.media_id = c.media_id and p.time_ms >= c.start_ms""")
+
 
 def steps(x: Inputs) -> dict[str, DataFrame]:
     sha = F.sha2(F.col("media_id").cast("string"), 256)
@@ -252,6 +270,37 @@ with s as (select f.*, row_number() over w - 1 as n, lag(end_ms) over w as pe, d
 select media_id, 'indexes_contiguous' as violation from b where a union all select media_id, 'no_overlap' from b where b union all select media_id, 'within_total' from b where c""")
 
 
+def measured_media(x: Inputs) -> DataFrame:
+    """Media with what their tables add up to, and a fault of each kind in some."""
+    m, sha = F.col("media_id"), F.sha2(F.col("media_id").cast("string"), 256)
+    spoken = sound(x).groupBy("media_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"), F.count("*").alias("n_voice"))
+    quiet = silence(x).groupBy("media_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("silence_ms"), F.count("*").alias("n_silence"))
+    said = x.fx_turns.groupBy("media_id").agg(F.count("*").alias("n_turns"), F.count_distinct("speaker_label").alias("n_speakers"))
+    rows = x.fx_media.join(spoken, "media_id", "left").join(quiet, "media_id", "left").join(said, "media_id", "left").na.fill(0)
+    off = lambda c, k, by=1: (F.col(c) + F.when(m % k == 0, by).otherwise(0)).alias(c)
+    return rows.select(
+        "media_id", "duration_ms", F.when(m % 5 == 0, "none").otherwise(sha).alias("sha256"), F.when(m % 7 == 0, "f" * 64).otherwise(F.upper(sha)).alias("vad_sha256"), F.when(m % 8 == 0, "xx").when(m % 9 == 0, "und").otherwise("en").alias("language"),
+        F.when(m % 10 == 0, 100).otherwise(16_000).alias("sample_rate"), F.when(m % 11 == 0, 3).otherwise(1).alias("channels"), F.when(m % 12 == 0, 12).otherwise(16).alias("bit_depth"), F.when(m % 13 == 0, -1).otherwise(9).alias("size_bytes"),
+        off("speech_ms", 14), off("silence_ms", 15), (F.col("speech_ms") / F.col("duration_ms") + F.when(m % 16 == 0, 0.1).otherwise(0.0)).alias("speech_ratio"), off("n_voice", 17), off("n_silence", 18), off("n_turns", 19), off("n_speakers", 20),
+        (F.col("duration_ms") / 4000.0).alias("wall_s"), F.when(m % 21 == 0, 0.26).otherwise(0.25).alias("rtf"),
+    )
+
+
+def sound(x: Inputs) -> DataFrame:
+    return I.interval_union(x.fx_turns.select("media_id", "start_ms", "end_ms"))
+
+
+book.add("track_constraints", lambda x: C.track_constraints(measured_media(x), sound(x), silence(x), x.fx_turns, x.fx_segments.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms") + F.when(F.col("conf_pct") % 50 == 7, 1).otherwise(0))), f"""
+with {SILENCE}, m as (select media_id, media_id as k, duration_ms, (select cast(sum(end_ms - start_ms) as bigint) from voice v where v.media_id = f.media_id) as sp, (select cast(sum(end_ms - start_ms) as bigint) from sil s where s.media_id = f.media_id) as si from fx_media f),
+ t as (select *, lag(end_ms) over (partition by media_id order by start_ms, end_ms) as pe from fx_turns), g as (select *, lag(end_ms) over (partition by media_id order by segment_index) as pe, lag(segment_index) over (partition by media_id order by segment_index) as pi from fx_segments),
+ r as (select media_id, 'media' as source, unnest(['hash', 'same_hash', 'language', 'rate', 'channels', 'depth', 'size', 'parts_make_total', 'speech_sum', 'silence_sum', 'ratio', 'voice_count', 'silence_count', 'turn_count', 'speaker_count', 'index_from_0', 'rtf']) as violation,
+   unnest([k % 5 = 0, k % 7 = 0 or k % 5 = 0, k % 8 = 0, k % 10 = 0, k % 11 = 0, k % 12 = 0, k % 13 = 0, false, k % 14 = 0, k % 15 = 0, k % 16 = 0, k % 17 = 0, k % 18 = 0, k % 19 = 0, k % 20 = 0, not exists (select 1 from fx_segments s where s.media_id = k and segment_index = 0), k % 21 = 0]) as bad, 1 as n from m)
+select media_id, source, violation, cast(n as bigint) as n from r where bad
+union all select media_id, 'turns', 'no_overlap', count(*) from t where start_ms < pe group by 1 union all select t.media_id, 'turns', 'within_total', count(*) from t join fx_media m using (media_id) where end_ms > duration_ms group by 1
+union all select media_id, 'segments', 'no_overlap', count(*) from g where start_ms < pe group by 1 union all select media_id, 'segments', 'contiguous', count(*) from g where segment_index <> pi + 1 group by 1
+union all select media_id, 'segments', 'duration', count(*) from g where conf_pct % 50 = 7 group by 1""")
+
+
 def audio(x: Inputs) -> DataFrame:
     return x.orders.select(F.col("o_orderkey").alias("media_id"), F.when(F.col("o_orderkey") % 7 == 0, 44100).otherwise(16000).alias("sample_rate"), F.when(F.col("o_orderkey") % 5 == 0, 2).otherwise(1).alias("channels"), F.lit(16).alias("bit_depth"), (F.col("o_orderkey") % 9).alias("size_bytes"))
 

@@ -30,7 +30,16 @@ def jobs(x: Inputs) -> DataFrame:
 # stored tables and documents
 book.add("translation_cache_scan", lambda x: S.latest_cache(x.events.select(F.col("event_type").alias("cache_key"), F.when(F.col("event_id") % 3 != 0, F.col("props")).alias("value"), F.col("event_id").alias("written_at"))), """
 select event_type as cache_key, arg_max(props, event_id) as value from events where event_id % 3 <> 0 and props is not null group by 1""")
-book.add("read_tables", lambda x: jobs(x).groupBy("status").agg(F.count("*").alias("n_jobs"), F.count_distinct("project_id").alias("n_projects")), "select status, count(*) as n_jobs, count(distinct project_id) as n_projects from fx_jobs group by 1")
+
+
+def stored_jobs(x: Inputs) -> DataFrame:
+    """The jobs as the application stores them: a folder of Parquet files, read under the table's schema."""
+    path = new_path(x.spark)
+    jobs(x).withColumn("created_at", F.col("created_at").cast("timestamp")).write.parquet(path)
+    return S.read_table(x.spark, "jobs", path)
+
+
+book.add("read_tables", lambda x: stored_jobs(x).groupBy("status").agg(F.count("*").alias("n_jobs"), F.count_distinct("project_id").alias("n_projects")), "select status, count(*) as n_jobs, count(distinct project_id) as n_projects from fx_jobs group by 1")
 
 
 def documents_json(x: Inputs) -> DataFrame:
