@@ -53,6 +53,25 @@ def test_manifest(spark, folder):
     assert rows["bad.wav"]["sha256"] == hashlib.sha256(b"nothing").hexdigest() and rows["notes.txt"]["sha256"] is None
 
 
+def test_manifest_of_nested_folders_is_that_of_the_reader(spark, folder):
+    import hashlib
+
+    deep = folder / "a b" / "ünder %41" / "c"
+    deep.mkdir(parents=True)
+    (folder / "none").mkdir()
+    for size in (M.CHUNK - 1, M.CHUNK, M.CHUNK + 1):  # around the edge of a chunk
+        (deep / f"{size}.mp4").write_bytes(b"x" * size)
+    rows = {r["path"]: r for r in M.media_manifest(spark, f"file://{folder}").collect()}
+    for size in (M.CHUNK - 1, M.CHUNK, M.CHUNK + 1):
+        assert rows[f"file:{deep}/{size}.mp4"]["sha256"] == hashlib.sha256(b"x" * size).hexdigest()
+    read = {r["path"]: r for r in M.read_manifest(spark, f"file://{folder}").collect()}
+    assert len(rows) == len(read) == 9
+    assert sorted(map(str, (tuple(r)[2:] for r in rows.values()))) == sorted(map(str, (tuple(r)[2:] for r in read.values())))
+    files = spark.createDataFrame([(f"{deep}/gone.wav", 1)], "path string, length long")
+    assert [tuple(r) for r in M.digested(files, f"file://{folder}").collect()] == [(f"{deep}/gone.wav", None)]
+    assert M.walk(spark, f"file://{folder}/none").count() == 0
+
+
 def test_wav_blocks(spark, folder):
     rows = {}
     for r in M.wav_blocks(spark, f"file://{folder}").collect():

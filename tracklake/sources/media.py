@@ -1,20 +1,30 @@
-"""Media files: manifests and PCM block tables from binary files."""
+"""Media files: manifests and PCM block tables from binary files.
+
+Folders are listed, and files hashed, by tasks: a path or a file's bytes never come to the driver, and a file of any size is
+digested in chunks.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.functions.text import safe_filename
+from tracklake.storage import cut
 
 EXTENSIONS = ("mp4", "mkv", "mov", "wav", "mp3", "m4a")
 LIMIT = 10 * 1024**3
 READ_LIMIT = 2**31 - 1024  # bytes of content that a column holds
+CHUNK = 8 << 20  # bytes of a file that a task holds while it digests it
+LISTED = "path string, length long, is_folder boolean"
 
 
 def binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -22,6 +32,15 @@ def binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
+def described(limit: int) -> tuple[dict[str, Column], Column]:
+    """Columns of a manifest that path and length give, and the error code: empty, too_large or unsupported, in this order."""
+    name = F.element_at(F.split("path", "/"), -1)
+    ext = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    error = F.when(F.col("length") == 0, "empty").when(F.col("length") > limit, "too_large").when(~ext.isin(*EXTENSIONS), "unsupported")
+    columns = {"media_id": F.sha2("path", 256), "path": F.col("path"), "safe_name": F.substring(safe_filename(name), 1, 220), "ext": ext, "size_bytes": F.col("length")}
+    return columns, error
+
+
 def manifest(files: DataFrame, limit: int = LIMIT, read_limit: int = READ_LIMIT) -> DataFrame:
     """One row a file (path, length, content): media_id (sha256 of the path), path, safe_name, ext, size_bytes, sha256, error_code.
 
@@ -29,16 +48,77 @@ def manifest(files: DataFrame, limit: int = LIMIT, read_limit: int = READ_LIMIT)
     prunes content where it is not asked for, and filters on length before it. A file of over read_limit bytes, more than a
     column can hold, is no error but has no hash.
     """
-    name = F.element_at(F.split("path", "/"), -1)
-    ext = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
-    error = F.when(F.col("length") == 0, "empty").when(F.col("length") > limit, "too_large").when(~ext.isin(*EXTENSIONS), "unsupported")
-    columns = lambda sha: [F.sha2("path", 256).alias("media_id"), "path", F.substring(safe_filename(name), 1, 220).alias("safe_name"), ext.alias("ext"), F.col("length").alias("size_bytes"), sha.alias("sha256"), error.alias("error_code")]
+    columns, error = described(limit)
+    named = lambda sha: [*(c.alias(k) for k, c in columns.items()), sha.alias("sha256"), error.alias("error_code")]
     readable = error.isNull() & (F.col("length") <= read_limit)
-    return files.where(readable).select(*columns(F.sha2("content", 256))).unionByName(files.where(~readable).select(*columns(F.lit(None).cast("string"))))
+    return files.where(readable).select(*named(F.sha2("content", 256))).unionByName(files.where(~readable).select(*named(F.lit(None).cast("string"))))
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of all files below a folder, listed by tasks: a job for each level of folders, whatever their number.
+
+    root names any store that pyarrow opens. Paths are as the store has them, after the root's scheme and host. A folder's
+    own listing is one task's; names that begin with a dot or an underscore count like all others.
+    """
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = FileSystem.from_uri(root)
+        for pdf in batches:
+            for folder in pdf["path"]:
+                found = store.get_file_info(FileSelector(folder))
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    yield pd.DataFrame({"path": [f.path for f in part], "length": [f.size or 0 for f in part], "is_folder": [f.type == FileType.Directory for f in part]})
+
+    level = spark.createDataFrame([(FileSystem.from_uri(root)[1],)], "path string")
+    files = None
+    while not level.isEmpty():
+        found = cut(level.repartition("path").mapInPandas(listed, LISTED))
+        here = found.where(~F.col("is_folder")).select("path", "length")
+        files = here if files is None else files.unionByName(here)
+        level = found.where("is_folder").select("path")
+    return files
+
+
+def digested(files: DataFrame, root: str, chunk: int = CHUNK) -> DataFrame:
+    """files (path, as walk gives them) with sha256 of their bytes, read in chunks by tasks; null if a file cannot be read."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = FileSystem.from_uri(root)
+        for pdf in batches:
+            for path in pdf["path"]:
+                digest = hashlib.sha256()
+                try:
+                    with store.open_input_stream(path) as f:
+                        while part := f.read(chunk):
+                            digest.update(part)
+                    yield pd.DataFrame({"path": [path], "sha256": [digest.hexdigest()]})
+                except OSError:
+                    yield pd.DataFrame({"path": [path], "sha256": [None]})
+
+    # dealt by size: many small files to a task, a large one to a task of its own
+    return files.repartitionByRange("length", "path").select("path").mapInPandas(run, "path string, sha256 string")
 
 
 def media_manifest(spark: SparkSession, path: str, limit: int = LIMIT) -> DataFrame:
-    """The manifest of the files under a path. The reader passes over empty files; they are taken from its listing."""
+    """The manifest of the files under a path, listed and hashed by tasks; a file that cannot be read has error unreadable.
+
+    A store that only Spark's reader opens is read by it: its paths are then listed on the driver, and files of over 2 GB
+    have no hash.
+    """
+    try:
+        FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, OSError):
+        return read_manifest(spark, path, limit)
+    columns, error = described(limit)
+    scheme = re.match(r"[a-z0-9+]+:(?=//)|", path)[0]
+    files = walk(spark, path)
+    hashes = digested(files.where(error.isNull()), path)
+    rows = files.join(hashes, "path", "left").withColumn("_error", F.when(error.isNull() & F.col("sha256").isNull(), "unreadable").otherwise(error))
+    slashes = "" if scheme == "file:" else "//"  # as Spark's reader names files
+    return rows.withColumn("path", F.concat(F.lit(scheme + slashes), "path")).select(*[c.alias(k) for k, c in columns.items()], "sha256", F.col("_error").alias("error_code"))
+
+
+def read_manifest(spark: SparkSession, path: str, limit: int = LIMIT) -> DataFrame:
+    """The manifest by Spark's binary reader, which passes over empty files; they are taken from its listing."""
     files = binary(spark, path)
     listed = [(re.sub(r"^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
     empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
