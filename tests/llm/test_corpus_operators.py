@@ -617,3 +617,41 @@ def test_tokens_of_rows_that_share_an_id_take_many_files(spark, tmp_path):
     assert rows.count() == 4000 and rows.where("doc_id is null").select("shard").distinct().count() > 2
     edges = rows.groupBy("shard").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("a"), F.max(F.coalesce("doc_id", F.lit(-1))).alias("b")).orderBy("shard").collect()
     assert all(x["b"] <= y["a"] for x, y in zip(edges, edges[1:], strict=False))
+
+
+def test_estimated_priors_follow_the_share_of_positives():
+    rng = np.random.default_rng(3)
+    for share in (0.01, 0.1, 0.5, 0.9, 0.99):
+        draw = lambda n, good: np.hstack([rng.normal(2.5 if good else -2.5, 1, (n, 4)), np.ones((n, 1))])
+        n = 6000
+        p, u = draw(n // 3, True), np.vstack([draw(round(n * share), True), draw(n - round(n * share), False)])
+        rng.shuffle(u)
+        prior = quality_classifier.estimate_prior(p, u)
+        among = (prior * (len(p) + len(u)) - len(p)) / len(u)
+        assert abs(among - share) < 0.02 + 0.08 * share, share
+    assert quality_classifier.two_sided(-0.2, 50) == 0.02 and quality_classifier.two_sided(1.1, 50) == 0.98
+
+
+def test_scratch_blocks_of_two_threads_are_apart(spark):
+    from threading import Barrier, Thread
+
+    from tracklake.llm import common
+
+    df, both, seen = spark.range(5), Barrier(2, timeout=60), {}
+
+    def job(name, waits):
+        with common.scratch(spark):
+            table = common.cut(df)
+            both.wait()
+            if waits:
+                both.wait()  # the other block has ended by now
+            seen[name] = table.count()
+        if not waits:
+            both.wait()
+
+    threads = [Thread(target=job, args=(n, n == "a")) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert seen == {"a": 5, "b": 5}

@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-_made: list[list[str]] = []  # paths made in the open scratch blocks
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())  # paths made in the open scratch blocks of this thread
 
 
 def new_path(spark: SparkSession) -> str:
@@ -39,8 +40,8 @@ def new_path(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/tracklake/{uuid.uuid4().hex}"
     fs, hadoop_path = _on_disk(spark, path)
     fs.deleteOnExit(hadoop_path)
-    if _made:
-        _made[-1].append(path)
+    if _made.get():
+        _made.get()[-1].append(path)
     return path
 
 
@@ -52,11 +53,13 @@ def _on_disk(spark: SparkSession, path: str) -> tuple:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written by operators inside the block go at its end: what it gives must have been written elsewhere by then."""
-    _made.append([])
+    paths: list[str] = []
+    token = _made.set((*_made.get(), paths))
     try:
         yield
     finally:
-        for path in _made.pop():
+        _made.reset(token)
+        for path in paths:
             fs, hadoop_path = _on_disk(spark, path)
             fs.delete(hadoop_path, True)
 

@@ -21,7 +21,6 @@ from tracklake.llm.common import small_batches
 
 SAMPLE = 10_000  # rows of each set, about, that the model is fitted on
 HASHED = 256  # places of the hashed words and pairs of words
-PRIORS = (0.05, 0.98)  # an estimated prior is kept within these: at 0 or 1 the risk has no two sides
 STEPS = 400
 RATE = 0.2
 L2, L2_PRIOR = 1e-3, 1e-2
@@ -76,8 +75,13 @@ def descend(gradient, size: int, steps: int = STEPS, rate: float = RATE) -> np.n
     return w
 
 
+def two_sided(prior: float, n: int) -> float:
+    """A prior by which one of n texts is positive and one negative at least: at 0 or 1 the risk has no two sides."""
+    return float(np.clip(prior, 1 / n, 1 - 1 / n))
+
+
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among p and u together, kept within PRIORS: each half is judged by a classifier of the other."""
+    """Share of positives among p and u together: each half is judged by a classifier of the other."""
     on_all, on_p = [], []
     for fold in (0, 1):
         rest_p, rest_u = p[fold::2], u[fold::2]
@@ -86,7 +90,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
         own_p, own_u = sigmoid(p[1 - fold :: 2] @ w), sigmoid(u[1 - fold :: 2] @ w)
         on_all += [own_p, own_u]
         on_p.append(own_p)
-    return float(np.clip(np.concatenate(on_all).mean() / max(np.concatenate(on_p).mean(), 1e-6), *PRIORS))
+    return two_sided(np.concatenate(on_all).mean() / max(np.concatenate(on_p).mean(), 1e-6), len(p) + len(u))
 
 
 def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
@@ -126,7 +130,7 @@ def fit(positives: DataFrame, unlabelled: DataFrame, doc_id: str = "doc_id", tex
     """Model from about `sample` rows of each set, chosen by id hash; only their numbers (1.2 KB a row) come to the driver.
 
     None if either set has under two rows. Null texts are empty ones. The prior of all rows is estimated unless given; it, and that of
-    the unlabelled which follows from it, are kept within PRIORS.
+    the unlabelled which follows from it, leave one text on either side at least.
     """
     def some(df: DataFrame) -> np.ndarray:
         n = df.count()
@@ -143,7 +147,7 @@ def fit(positives: DataFrame, unlabelled: DataFrame, doc_id: str = "doc_id", tex
     p, u = ready(p), ready(u)
     # the prior among the unlabelled, from the one among all
     prior = estimate_prior(p, u) if prior is None else prior
-    prior = float(np.clip((prior * (len(p) + len(u)) - len(p)) / len(u), *PRIORS))
+    prior = two_sided((prior * (len(p) + len(u)) - len(p)) / len(u), len(u))
     return {"mean": mean, "scale": scale, "w": nn_pu(p, u, prior), "prior": prior}
 
 
