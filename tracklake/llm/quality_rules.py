@@ -29,7 +29,7 @@ MIN_REFERENCE = 1000  # words of the documents that speak a language, for a refe
 SPOKEN_WORDS = 4  # different common words of its language that a document must hold to speak it,
 SPOKEN_SHARE = 5  # and the percentage of its words that they must be
 MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.275
+MAX_WORD_DISTANCE = 0.28
 MIN_CHARS = 200
 MIN_WORDS = 100
 
