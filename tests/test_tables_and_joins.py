@@ -111,6 +111,21 @@ def test_rules_take_one_exchange(spark):
         assert got[m, "QR04"] == sum(min(x[3], y[3]) - max(x[2], y[2]) > 100 for x, y in zip(rows, rows[1:], strict=False))
 
 
+def test_checks_take_one_exchange(spark):
+    one = lambda rows, kind: spark.createDataFrame(rows, kind)
+    media = one([(m, "h", 100, "H", 100, "h", "j") for m in range(4)], "media_id long, sha256 string, duration_ms long, vad_sha256 string, vad_duration_ms long, diarization_sha256 string, job_id string")
+    alignment = one([(m, "h", 100, 2, 2, 0, "en", "j") for m in range(3)], "media_id long, sha256 string, duration_ms long, n_segments long, n_aligned long, n_unassigned long, language string, job_id string")
+    judged = one([(m, "h", 100, 1.0, "passed", 11, 0, 0, None) for m in range(4)], "media_id long, sha256 string, duration_ms long, score double, level string, n_passed long, n_failed long, n_warning long, job_id string")
+    asr = one([(m, "h", 2, 2, "en", "j") for m in range(4)], "media_id long, sha256 string, n_segments long, n_rows long, language string, job_id string")
+    said = one([(0, 0, 0, 50, 50, "S"), (1, 0, 0, 101, 101, "S"), (2, 0, 5, 9, 4, None), (3, 0, -1, 9, 10, "S"), (9, 0, -1, 9, 10, "S")], "media_id long, segment_index long, start_ms long, end_ms long, duration_ms long, speaker_label string")
+    rules = media.select("media_id", F.explode(F.array(*[F.lit(f"QR{i:02d}") for i in range(1, 12)])).alias("rule_code")).withColumns({"severity": F.lit("ERROR"), "passed": F.lit(True)})
+    out = quality.validation_checks(media, alignment, judged, asr, said, one([(m, "S") for m in range(4)], "media_id long, speaker_label string"), rules)
+    assert exchanges(out) == 1
+    found = {(r["media_id"], r["check_code"]) for r in out.collect() if r["outcome"] == "error"}
+    assert {x for x in found if x[0] < 3} == {(1, "VC05"), (2, "VC06")}
+    assert {c for m, c in found if m == 3} == {"VC01", "VC04", "VC08", "VC11"} and out.count() == 44
+
+
 def sound_medium(m):
     """(media row, voice, silence, turns, segments) of a medium that breaks nothing."""
     sha = f"{m:064x}"

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions.text import logprob_confidence, word_count
-from tracklake.operators.joins import unknown_speakers
 
 #: (rule, severity, penalty for each occurrence, most occurrences counted as a penalty of 1)
 RULES = (
@@ -104,15 +103,25 @@ def validation_checks(
 
     One-row-a-medium inputs: media (sha256, duration_ms, vad_sha256, vad_duration_ms, diarization_sha256, job_id), alignment
     (sha256, duration_ms, n_segments, n_aligned, n_unassigned, language, job_id), quality (sha256, duration_ms, score, level,
-    n_passed, n_failed, n_warning, job_id), asr (sha256, n_segments, n_rows, language, job_id).
+    n_passed, n_failed, n_warning, job_id), asr (sha256, n_segments, n_rows, language, job_id). All inputs are rows of one table
+    and meet in one aggregate by medium, which counts in tasks first.
     """
-    pre = lambda df, p: df.select("media_id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "media_id"])
-    bad = dialogue.join(alignment.select("media_id", F.col("duration_ms").alias("_t")), "media_id").groupBy("media_id").agg(
-        F.bool_or((F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")) | (F.col("duration_ms") != F.col("end_ms") - F.col("start_ms")) | (F.col("end_ms") > F.col("_t")) | (F.col("segment_index") < 0)).alias("_bad"))
-    unknown = unknown_speakers(dialogue, turns).groupBy("media_id").agg(F.lit(True).alias("_unknown"))
-    counted = rules.groupBy("media_id").agg(
-        F.count("*").alias("_n"), F.count_if("passed").alias("_p"), F.count_if((F.col("severity") == "ERROR") & ~F.col("passed")).alias("_f"), F.count_if((F.col("severity") == "WARNING") & ~F.col("passed")).alias("_w"))
-    one = reduce(lambda a, b: a.join(b, "media_id", "left"), [pre(alignment, "a"), pre(quality, "q"), pre(asr, "s"), bad, unknown, counted], media)
+    whole = lambda df, role: df.select("media_id", F.struct(*[c for c in df.columns if c != "media_id"]).alias(role))
+    judged = rules.select("media_id", F.struct("severity", "passed").alias("r"))
+    said = dialogue.select("media_id", F.struct("segment_index", "start_ms", "end_ms", "duration_ms", "speaker_label").alias("d"))
+    heard = turns.select("media_id", F.struct("speaker_label").alias("t"))
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [whole(media, "m"), whole(alignment, "a"), whole(quality, "q"), whole(asr, "s"), said, heard, judged])
+    d, start, end, failed = F.col("d"), F.col("d.start_ms"), F.col("d.end_ms"), ~F.col("r.passed")
+    wrong = (start < 0) | (end <= start) | (F.col("d.duration_ms") != end - start) | (F.col("d.segment_index") < 0)
+    nameless = F.count_if(d.isNotNull() & F.col("d.speaker_label").isNull()) > 0
+    unknown = F.size(F.array_except(F.collect_set("d.speaker_label"), F.collect_set("t.speaker_label"))) > 0
+    wide = rows.groupBy("media_id").agg(
+        *[F.any_value(c, F.lit(True)).alias(c) for c in "maqs"], F.bool_or(wrong).alias("_wrong"), F.max(end).alias("_end"), (unknown | nameless).alias("_unknown"), F.count("r").alias("_n"), F.count_if("r.passed").alias("_p"),
+        F.count_if((F.col("r.severity") == "ERROR") & failed).alias("_f"), F.count_if((F.col("r.severity") == "WARNING") & failed).alias("_w"),
+    ).where(F.col("m").isNotNull())
+    named = [F.col(f"{role}.{c}").alias(f"{role}_{c}") for role, df in (("a", alignment), ("q", quality), ("s", asr)) for c in df.columns if c != "media_id"]
+    one = wide.select("media_id", "m.*", "a", "_wrong", "_end", "_unknown", "_n", "_p", "_f", "_w", *named)
+    one = one.withColumn("_bad", F.col("a").isNotNull() & (F.coalesce("_wrong", F.lit(False)) | F.coalesce(F.col("_end") > F.col("a_duration_ms"), F.lit(False))))
     sha = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     jobs = F.array_distinct(F.array_compact(F.array("job_id", "a_job_id", "q_job_id", "s_job_id")))
     durations = F.array_compact(F.array("a_duration_ms", "q_duration_ms", F.when(F.col("vad_duration_ms") > 0, F.col("vad_duration_ms"))))
@@ -121,8 +130,8 @@ def validation_checks(
         "VC02": F.size(jobs) <= 1,
         "VC03": ~F.exists(durations, lambda d: d < 0) & (F.size(F.array_distinct(durations)) <= 1),
         "VC04": (F.least("a_n_segments", "a_n_aligned", "a_n_unassigned") >= 0) & (F.col("a_n_aligned") + F.col("a_n_unassigned") <= F.col("a_n_segments")),
-        "VC05": ~F.coalesce("_bad", F.lit(False)),
-        "VC06": F.col("_unknown").isNull(),
+        "VC05": ~F.col("_bad"),
+        "VC06": ~F.col("_unknown"),
         "VC07": F.col("s_n_segments") == F.col("s_n_rows"),
         "VC08": F.col("a_language").eqNullSafe(F.col("s_language")),
         "VC09": F.col("q_score").between(0, 1) & (F.col("q_level") == level_of(F.col("q_score"), pass_at, warn_at)),
