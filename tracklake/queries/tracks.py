@@ -93,15 +93,16 @@ select o_custkey % 200 as project_id, case when o_orderkey % 3 = 0 then 'es' els
 
 
 def stored_writes(x: Inputs) -> DataFrame:
-    """All writes of tracks, put into a store in three batches, the second of them twice."""
-    store, both = new_path(x.spark), writes(x, False).unionByName(writes(x, True))
+    """A track of each document, several of a project and language, put into a store in three batches, the second of them twice."""
+    tracks = x.documents.select(F.floor(F.col("doc_id") / 8).alias("project_id"), F.coalesce("lang", F.lit("und")).alias("language"), F.concat_ws(":", "source", "n_chars").alias("cues"), F.col("doc_id").alias("updated_at"))
+    store = new_path(x.spark)
     for batch in (0, 1, 1, 2):
-        track_store.write_batch(both.where(F.col("updated_at") % 3 == batch), store, batch)
-    return track_store.read_store(x.spark, store, both.schema)
+        track_store.write_batch(tracks.where(F.col("updated_at") % 3 == batch), store, batch)
+    return track_store.read_store(x.spark, store, tracks.schema)
 
 
 book.add("track_sink", stored_writes, """
-select o_custkey % 200 as project_id, case when o_orderkey % 3 = 0 then 'es' else 'en' end as language, max(o_orderkey) as cues, max(o_orderkey) as updated_at from orders group by 1, 2""")
+select doc_id // 8 as project_id, coalesce(lang, 'und') as language, arg_max(concat_ws(':', source, n_chars), doc_id) as cues, max(doc_id) as updated_at from documents group by 1, 2""")
 
 # jobs
 book.add("recent_jobs", lambda x: T.top_jobs(jobs(x), "user_id", 20).select("user_id", "job_id", "rank"), "select * from (select user_id, job_id, row_number() over (partition by user_id order by created_at desc, job_id desc) as rank from fx_jobs) r where rank <= 20")
