@@ -54,15 +54,21 @@ def repeat_words(ws: Column, n: int = 3) -> Column:
 
 
 def class_counts(text: Column, word_chars: Column) -> Column:
-    """Characters by class, as CLASSES; word_chars: those that are no white space."""
-    def without(chars: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, chars, ""))
+    """Characters by class, as CLASSES; word_chars: those that are no white space.
 
-    def cased(c: str) -> Column:
-        return F.length(text) - F.length(F.regexp_replace(text, rf"\p{{{c}}}+", ""))
+    Most characters are lower-case letters: the other classes are looked for in what is left without them, and capitals.
+    """
+    def dropped(t: Column, pattern: str) -> Column:
+        return F.regexp_replace(t, pattern, "")
+
+    def counts(few: Column, rest: Column) -> Column:
+        lost = lambda t: F.length(rest) - F.length(t)
+        return F.array(
+            F.length(text) - F.length(few), F.length(few) - F.length(rest), F.length(text) - word_chars.cast("int"), lost(F.translate(rest, "0123456789", "")), lost(F.translate(rest, ".,;:!?'\"()-", "")),
+            lost(dropped(rest, r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]+")),
+        )
 
-    letters = F.length(text) - F.length(F.regexp_replace(text, r"[\p{Lo}\p{Lm}\p{Lt}\p{M}]+", ""))
-    known = F.array(cased("Ll"), cased("Lu"), F.length(text) - word_chars.cast("int"), without("0123456789"), without(".,;:!?'\"()-"), letters)
+    known = let(dropped(text, r"\p{Ll}+"), lambda few: let(dropped(few, r"\p{Lu}+"), lambda rest: counts(few, rest)))
     return let(known, lambda k: F.concat(k, F.array(F.length(text) - F.aggregate(k, F.lit(0), lambda a, x: a + x))))
 
 
