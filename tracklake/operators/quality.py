@@ -184,14 +184,16 @@ def speaker_summary(turns: DataFrame) -> DataFrame:
 def live_progress(coverage: DataFrame, media: DataFrame, languages: list[str], failed: tuple[str, ...] = ()) -> DataFrame:
     """Covered share over all languages (6 places), and the shortest covered prefix of those that did not fail.
 
-    coverage: disjoint ranges by media_id and language.
+    coverage: disjoint ranges by media_id and language; one aggregate a medium, whatever the number of languages.
     """
-    totals = coverage.where(F.col("language").isin(languages)).groupBy("media_id", "language").agg(
-        F.sum(F.col("end_ms") - F.col("start_ms")).alias("c"), F.max(F.when(F.col("start_ms") <= 0, F.col("end_ms"))).alias("p"))
-    grid = media.select("media_id", "duration_ms", F.explode(F.array(*map(F.lit, languages))).alias("language")).join(totals, ["media_id", "language"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = grid.groupBy("media_id", "duration_ms").agg(
-        F.sum(F.least("duration_ms", zero("c"))).alias("c"), F.min(F.when(~F.col("language").isin(list(failed)) if failed else F.lit(True), F.least("duration_ms", zero("p")))).alias("p"))
+    of = lambda lang, c: F.when(F.col("language") == lang, c)
+    each = [x for i, lang in enumerate(languages) for x in (
+        F.sum(of(lang, F.col("end_ms") - F.col("start_ms"))).alias(f"c{i}"), F.max(of(lang, F.when(F.col("start_ms") <= 0, F.col("end_ms")))).alias(f"p{i}"))]
+    out = media.select("media_id", "duration_ms").join(coverage.where(F.col("language").isin(languages)).groupBy("media_id").agg(*each), "media_id", "left")
+    capped = lambda c: F.least("duration_ms", zero(c))
+    kept = [capped(f"p{i}") for i, lang in enumerate(languages) if lang not in failed]
+    out = out.select("media_id", "duration_ms", sum((capped(f"c{i}") for i in range(len(languages))), F.lit(0)).alias("c"), (F.array_min(F.array(*kept)) if kept else F.lit(None).cast("long")).alias("p"))
     share = F.when(F.col("duration_ms") > 0, F.col("c") / (F.col("duration_ms") * len(languages))).otherwise(F.lit(0.0))
     return out.select("media_id", F.round(share, 6).alias("progress"), zero("p").cast("long").alias("buffered_ms"))
 
