@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,11 +93,12 @@ def storage_fit_plan(media: DataFrame, limit_bytes: int, max_minutes: int = 25,
 
 
 def track_complete(coverage: DataFrame, media: DataFrame, languages: list[str]) -> DataFrame:
-    """(media_id, complete): whether in all languages the first range starts at 0 and reaches the duration."""
-    first = coverage.where(F.col("language").isin(languages)).groupBy("media_id", "language").agg(F.min(F.struct("start_ms", "end_ms")).alias("f"))
-    grid = media.select("media_id", "duration_ms", F.explode(F.array(*map(F.lit, languages))).alias("language")).join(first, ["media_id", "language"], "left")
-    ok = F.coalesce((F.col("f.start_ms") <= 0) & (F.col("f.end_ms") >= F.col("duration_ms")), F.lit(False))
-    return grid.groupBy("media_id").agg(F.bool_and(ok).alias("complete"))
+    """(media_id, complete): whether in all languages the first range starts at 0 and reaches the duration. Ranges are disjoint."""
+    of = lambda lang, c: F.when(F.col("language") == lang, F.col(c))
+    each = [x for i, lang in enumerate(languages) for x in (F.min(of(lang, "start_ms")).alias(f"s{i}"), F.min_by(of(lang, "end_ms"), of(lang, "start_ms")).alias(f"e{i}"))]
+    out = media.select("media_id", "duration_ms").join(coverage.where(F.col("language").isin(languages)).groupBy("media_id").agg(*each), "media_id", "left")
+    ok = [F.coalesce((F.col(f"s{i}") <= 0) & (F.col(f"e{i}") >= F.col("duration_ms")), F.lit(False)) for i in range(len(languages))]
+    return out.select("media_id", reduce(lambda a, b: a & b, ok).alias("complete"))
 
 
 def reindex(rows: DataFrame, order: list[str], key: str = "media_id", name: str = "idx") -> DataFrame:
