@@ -204,3 +204,34 @@ def test_interval_chain_has_one_exchange(df, capsys):
     merged = I.merge_proximal(df.withColumns({"max_conf": F.col("conf_pct"), "sample_count": F.lit(1)}).repartition("media_id"), 20)
     I.trim_to_previous(I.interval_union(merged)).explain()
     assert capsys.readouterr().out.count("Exchange") == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merging_sorts_once_and_hashes_no_rows(spark):
+    rows = [(1, "A", 0, 10, 5), (1, "A", 5, 30, 6), (1, "B", 20, 40, 7), (1, "B", 95, 99, 8), (1, "B", 90, 91, 9), (2, "A", 0, 1, 1)]
+    df = spark.createDataFrame(rows, "media_id long, label string, start_ms long, end_ms long, conf_pct long")
+    order = ("start_ms", "end_ms", "label", "conf_pct")
+    got = I.merge_same_label(I.trim_to_previous(df, order=order, raw="raw_ms"), 50, order=("raw_ms", *order[1:]))
+    assert sorted(map(tuple, got.collect())) == [(1, "A", 0, 30, 5), (1, "B", 30, 99, 7), (2, "A", 0, 1, 1)]
+    for out in (got, I.interval_union(df)):
+        plan = plan_of(out.select("*"))[1]
+        assert plan.count("Sort [") == 1 and "Aggregate" not in plan
+
+
+def test_progress_of_languages_takes_one_aggregate_a_medium(spark):
+    from tracklake.operators.quality import live_progress
+    from tracklake.operators.tracks import track_complete
+
+    coverage = spark.createDataFrame([(1, "en", 0, 50), (1, "en", 60, 200), (1, "es", 0, 100), (2, "es", 10, 100), (1, "fr", 0, 9)], "media_id long, language string, start_ms long, end_ms long")
+    media = spark.createDataFrame([(1, 100), (2, 100), (3, 0)], "media_id long, duration_ms long")
+    progress = live_progress(coverage, media, ["en", "es"], ("es",))
+    assert sorted(map(tuple, progress.collect())) == [(1, 1.0, 50), (2, 0.45, 0), (3, 0.0, 0)]
+    complete = track_complete(coverage, media, ["en", "es"])
+    assert sorted(map(tuple, complete.collect())) == [(1, False), (2, False), (3, False)]
+    assert track_complete(coverage, media, ["es"]).where("complete").collect() == [(1, True)]
+    for out in (progress, complete):
+        plan, _ = plan_of(out)
+        assert "Generate" not in plan and "SortAggregate" not in plan

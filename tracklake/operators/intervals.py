@@ -30,6 +30,14 @@ def islands(df: DataFrame, breaks: Column, w: WindowSpec) -> DataFrame:
     return df.withColumn("_break", breaks.cast("int")).withColumn("_island", F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def of_islands(df: DataFrame, breaks: Column, first: tuple[str, ...], w: WindowSpec) -> DataFrame:
+    """The last row of every island, with _first, the given columns of its first row. The windows' own sort serves; no row is hashed."""
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_break", breaks)
+    rows = rows.withColumns({"_first": F.last(F.when(F.col("_break"), F.struct(*first)), ignorenulls=True).over(so_far), "_last": F.coalesce(F.lead("_break").over(w), F.lit(True))})
+    return rows.where("_last")
+
+
 def speech_runs(frames: DataFrame, totals: DataFrame | None = None, threshold: float = 0.5, frame: int = 512, rate: int = 16000) -> DataFrame:
     """Runs of consecutive frames with prob >= threshold: (media_id, start_ms, end_ms, max_conf, sample_count).
 
@@ -101,9 +109,9 @@ def interval_union(df: DataFrame, keys: tuple[str, ...] = KEYS, bin_ms: int | No
         bins = df.select(*keys, F.floor(F.col("start_ms") / bin_ms).alias("_bin"), "start_ms", "end_ms")
         df = interval_union(bins, (*keys, "_bin")).drop("_bin")
     w = by_time(keys)
-    seen = F.max("end_ms").over(before(w))
-    parts = islands(df, F.coalesce(F.col("start_ms") > seen, F.lit(True)), w).groupBy(*keys, "_island")
-    return parts.agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_island")
+    rows = df.select(*keys, "start_ms", "end_ms").withColumns({"_seen": F.max("end_ms").over(before(w)), "_end": F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    parts = of_islands(rows, F.coalesce(F.col("start_ms") > F.col("_seen"), F.lit(True)), ("start_ms",), w)
+    return parts.select(*keys, F.col("_first.start_ms").alias("start_ms"), F.col("_end").alias("end_ms"))
 
 
 def pad_clip(df: DataFrame, totals: DataFrame, tolerance_ms: int = 100) -> DataFrame:
@@ -113,8 +121,13 @@ def pad_clip(df: DataFrame, totals: DataFrame, tolerance_ms: int = 100) -> DataF
     return interval_union(wide.where("end_ms > start_ms"))
 
 
-def trim_to_previous(df: DataFrame, keys: tuple[str, ...] = KEYS, order: tuple[str, ...] = ("start_ms", "end_ms")) -> DataFrame:
-    """Each row starts no earlier than the largest end before it; empty rows go. Of equal intervals the first in order stays."""
+def trim_to_previous(df: DataFrame, keys: tuple[str, ...] = KEYS, order: tuple[str, ...] = ("start_ms", "end_ms"), raw: str | None = None) -> DataFrame:
+    """Each row starts no earlier than the largest end before it; empty rows go. Of equal intervals the first in order stays.
+
+    raw names a column for the untrimmed start: what is left is in the same order by it, so the next step needs no other sort.
+    """
+    if raw:
+        df, order = df.withColumn(raw, F.col("start_ms")), tuple(raw if c == "start_ms" else c for c in order)
     seen = F.max("end_ms").over(before(by_time(keys, *order)))
     return df.withColumn("start_ms", F.greatest("start_ms", F.coalesce(seen, F.col("start_ms")))).where("end_ms > start_ms")
 
@@ -137,9 +150,8 @@ def merge_same_label(df: DataFrame, gap_ms: int = 50, label: str = "label", conf
     """Merge neighbours of one label whose gap is at most gap_ms; the first confidence stays. Rows must be disjoint."""
     w = by_time(keys, *order)
     same = (F.lag(label).over(w) == F.col(label)) & (F.col("start_ms") - F.lag("end_ms").over(w) <= gap_ms)
-    parts = islands(df, ~F.coalesce(same, F.lit(False)), w).groupBy(*keys, label, "_island")
-    out = parts.agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min_by(conf, "start_ms").alias(conf))
-    return out.select(*keys, label, "start_ms", "end_ms", conf)
+    parts = of_islands(df, ~F.coalesce(same, F.lit(False)), ("start_ms", conf), w)
+    return parts.select(*keys, label, F.col("_first.start_ms").alias("start_ms"), "end_ms", F.col("_first")[conf].alias(conf))
 
 
 def coverage_summary(coverage: DataFrame, at_ms: int, keys: tuple[str, ...] = ("media_id", "language")) -> DataFrame:

@@ -85,7 +85,7 @@ select media_id, idx, start_ms, least(cut, t) as end_ms, segment_index, coalesce
  least(cut, t) > start_ms as valid, greatest(0, least(cut, t) - start_ms) < 10 as too_short from c""")
 
 APART = f"apart as (select * from (select media_id, label, conf_pct, end_ms, greatest(start_ms, coalesce(max(end_ms) over (partition by media_id order by start_ms, end_ms, label, conf_pct {PREV}), start_ms)) as start_ms from fx_intervals) t where end_ms > start_ms)"
-book.add("merge_same_label", lambda x: I.merge_same_label(I.trim_to_previous(x.fx_intervals, order=("start_ms", "end_ms", "label", "conf_pct")).drop("idx"), 50), f"""
+book.add("merge_same_label", lambda x: I.merge_same_label(I.trim_to_previous(x.fx_intervals, order=("start_ms", "end_ms", "label", "conf_pct"), raw="raw_ms").drop("idx"), 50, order=("raw_ms", "end_ms", "label", "conf_pct")), f"""
 with {APART} select media_id, label, min(start_ms) as start_ms, max(end_ms) as end_ms, arg_min(conf_pct, start_ms) as conf_pct from (
  select *, sum(case when pl = label and start_ms - pe <= 50 then 0 else 1 end) over (partition by media_id order by start_ms {SO_FAR}) as isl from (
   select *, lag(label) over (partition by media_id order by start_ms) as pl, lag(end_ms) over (partition by media_id order by start_ms) as pe from apart) a) b group by media_id, label, isl""")
