@@ -12,7 +12,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,8 @@ REMEMBERED = 600_000
 
 #: A word that ends in ASCII marks (no apostrophe: it can begin a token of letters) after a letter.
 _MARKED = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.S).fullmatch
+#: The bytes of such marks.
+_MARKS = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: A capital with a combining mark (U+0300 to U+036F) on it, perhaps after other ones.
 _ACCENTED = re.compile(rb"[A-Z][\x80-\xff]*?(?:\xcc|\xcd[\x80-\xaf])").search
 
@@ -51,8 +52,8 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _UNITS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-class WordEncoder:
-    """Token ids of texts, each distinct word encoded once.
+class WordEncoder(dict):
+    """Token ids of words as little-endian uint32 bytes, each distinct word encoded once, when it is first looked up.
 
     The vocabulary drops white space and never joins across it, nor from a letter to a following mark, and case does not
     matter to it, but that it composes letters and marks first: some small letters have a composed form where the capital
@@ -63,55 +64,40 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        """A word of letters alone is one unit for the vocabulary's model, once it is in normal form; others take the
-        tokenizer's whole way."""
-        tokenize, known, rest = self.tokenizer.model.tokenize, self.known, []
-        for w in words:
-            s = w.decode()
-            if not s.isascii():
-                if not unicodedata.is_normalized("NFC", s) or s.lower() != s:
-                    s = self.tokenizer.normalizer.normalize_str(s)
-                units = s.encode().decode("latin-1").translate(_UNITS)
-            else:
-                units = s
+        self.tokenize = self.tokenizer.model.tokenize
+
+    def __missing__(self, word: bytes) -> bytes:
+        """A word of letters alone is one unit for the vocabulary's model, once it is in normal form; one that ends in marks
+        has its stem's ids and theirs; others take the tokenizer's whole way."""
+        if word[-1] in _MARKS and (m := _MARKED(word)):
+            ids = self[m[1]] + self[m[2]]
+        else:
+            s = word.decode()
+            if not s.isascii() and (not unicodedata.is_normalized("NFC", s) or s.lower() != s):
+                s = self.tokenizer.normalizer.normalize_str(s)
             if s.isalpha():
-                ids = [t.id for t in tokenize(units)]
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                found = [t.id for t in self.tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(_UNITS))]
             else:
-                rest.append(w)
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
 
     @staticmethod
     def _words(text: bytes) -> list[bytes]:
-        """Words as they are known; of bytes: A-Z, and ASCII white space."""
+        """Words as they are looked up; of bytes: A-Z, and ASCII white space."""
         if (b"\xcc" in text or b"\xcd" in text) and _ACCENTED(text):
             return [w if _ACCENTED(w) else w.lower() for w in text.split()]
         return text.lower().split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian uint32 bytes."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [None if b"<|" in t else self._words(t) for t in texts]
-        new: set[bytes] = set()
-        for ws in split:
-            new.update(ws or ())
-        new = set(filterfalse(self.known.__contains__, new))
-        marked = {w: m.groups() for w in new if (m := _MARKED(w))}
-        plain = filterfalse(marked.__contains__, new)
-        self._learn(list(filterfalse(self.known.__contains__, {*plain, *chain.from_iterable(marked.values())})))
-        for w, (stem, marks) in marked.items():
-            self.known[w] = self.known[stem] + self.known[marks]
+        if len(self) > REMEMBERED:
+            self.clear()
         whole = lambda t: np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        out = [whole(t) if ws is None else b"".join(map(self.known.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
-        for w in marked:  # their stems are remembered
-            del self.known[w]
-        return out
+        return [whole(t) if b"<|" in t else b"".join(map(self.__getitem__, self._words(t))) for t in texts]
 
     @classmethod
     def of_worker(cls, path: str) -> WordEncoder:
