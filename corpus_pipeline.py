@@ -30,8 +30,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back: one row for each document."""
-    return tokens.digests(tokens.write_and_read(docs))
+    """Token files in the order of the mix, as its files have it, read back: one row for each document."""
+    return tokens.digests(tokens.write_and_read(docs, order=common.written_order()))
 
 
 STAGES = [

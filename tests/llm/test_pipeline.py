@@ -45,3 +45,15 @@ def test_entry_lists_all():
 def test_mix_stage_keeps_all_rows_of_a_hot_source(spark):
     docs = spark.createDataFrame([(i, "t", "en", "hot" if i % 4 else f"s{i % 3}", 1) for i in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.mix(spark, docs, "").collect()} == set(range(2000))
+
+
+def test_token_files_keep_the_order_of_the_mix(spark, tmp_path):
+    from tracklake.llm import mixing
+
+    rows = [(i, f"a text {i}", "en", "hot" if i % 4 else f"s{i % 3}", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mix(spark, docs, "").write.parquet(f"{tmp_path}/mix")
+    out = corpus_pipeline.token_output(spark, spark.read.parquet(f"{tmp_path}/mix"), "").orderBy("start").collect()
+    slots = mixing.mix(docs).orderBy("_tl_slot", "_tl_rank").collect()
+    assert [r["doc_id"] for r in out] == [r["doc_id"] for r in slots] != sorted(r["doc_id"] for r in slots)
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(out, out[1:]))

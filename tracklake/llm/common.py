@@ -72,6 +72,12 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_order() -> list[Column]:
+    """Place of each row of a table that was written in order and read again: the number that Spark gave its file, its place there."""
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small. The setting belongs to the session: it is read when a plan runs, so it stays."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -1,4 +1,4 @@
-"""Token ids as Parquet list columns, in ascending id order.
+"""Token ids as Parquet list columns, in ascending id order or one that is given.
 
 Token ids repeat, so their column is dictionary-encoded; ids, offsets and counts grow slowly, so theirs are delta-encoded
 (format version 2, no dictionary). Row groups and pages are kept small and every file has a page index: a reader that
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,8 +110,8 @@ class WordEncoder(dict):
         return kept[path]
 
 
-def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID) -> None:
-    """Write (doc_id, shard, first, n_tokens, tokens) to path, ascending by id over files and in each.
+def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = END_ID, order: list[Column] | None = None) -> None:
+    """Write (doc_id, shard, first, n_tokens, tokens) to path, ascending by id, or by `order`, over files and in each.
 
     `first` counts the ids of the shard's earlier documents. Null texts are empty and have the end id alone; null ids come
     first; rows that repeat an id are each written, ordered by a hash of their text, over as many files as they need. An
@@ -120,7 +120,9 @@ def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     small_batches(df.sparkSession)
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
     content = F.coalesce(F.col(text), F.lit(""))
-    source = df.select(F.col(doc_id).alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("tie"))
+    by = [F.col(doc_id), F.xxhash64(content)] if order is None else order
+    places = [f"place{i}" for i in range(len(by))]
+    source = df.select(F.col(doc_id).alias("doc_id"), content.alias("text"), *[c.alias(p) for c, p in zip(by, places, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -137,14 +139,14 @@ def write_tokens(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
             first += int(ends[-1])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    ordered = source.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = source.repartitionByRange(*places).sortWithinPartitions(*places)
     ordered.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shard int, first long, n_tokens long, tokens array<int>").write.options(**FORMAT).parquet(path)
 
 
 def write_and_read(df: DataFrame, path: str | None = None, **how: object) -> DataFrame:
     """Write df's tokens, to a new folder in the shared one unless a path is given, and read them again with `start`.
 
-    `start` counts the ids of all documents before a document. It takes the last `first + n_tokens` of each shard, a
+    `start` counts the ids of all documents before a document, as they were written. It takes the last `first + n_tokens` of each shard, a
     few numbers for each file, read without the tokens.
     """
     path = path or new_path(df.sparkSession)
